@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-FIELDS_DDL = ("service STRING, entity STRING, field_ord INT, name STRING, json_name STRING, type STRING, "
+FIELDS_DDL = ("service STRING, entity STRING, field_ord BIGINT, name STRING, json_name STRING, type STRING, "
               "source_type STRING, optional BOOLEAN")
-ENTITIES_DDL = ("service STRING, entity_ord INT, entity STRING, kind STRING, file STRING, line INT, "
+ENTITIES_DDL = ("service STRING, entity_ord BIGINT, entity STRING, kind STRING, file STRING, line INT, "
                 "`values` ARRAY<STRING>")
-ENDPOINTS_DDL = ("service STRING, ep_ord INT, method STRING, path STRING, handler STRING, returns STRING, "
+ENDPOINTS_DDL = ("service STRING, ep_ord BIGINT, method STRING, path STRING, handler STRING, returns STRING, "
                  "file STRING, line INT")
-PARAMS_DDL = "service STRING, ep_ord INT, param_ord INT, name STRING, location STRING, type STRING"
+PARAMS_DDL = "service STRING, ep_ord BIGINT, param_ord INT, name STRING, location STRING, type STRING"
 SERVICES_DDL = "service STRING, language STRING, framework STRING, root STRING, port INT"
 TOOL_RUNS_DDL = "tool STRING, installed BOOLEAN, returncode INT, stdout STRING, stderr STRING"
 
