@@ -184,6 +184,6 @@ def report_markdown_lines(t: RunTables) -> DataFrame:
 
 
 def write_markdown(lines: DataFrame, path: str) -> None:
-    """One folder per run; its lines stay in order because a run's lines are sorted within one file."""
-    (lines.repartition("run_id").sortWithinPartitions("run_id", "section", "ord", "sub")
+    """One folder per run. Files hold ranges of lines, so a long report is many files whose names are in line order."""
+    (lines.repartitionByRange("run_id", "section", "ord", "sub").sortWithinPartitions("run_id", "section", "ord", "sub")
      .select("run_id", "line").write.mode("overwrite").partitionBy("run_id").text(path))
