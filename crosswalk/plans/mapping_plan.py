@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from crosswalk.functions.types import round_half_even
 from crosswalk.operators import match
+from crosswalk.session import cut_lineage
 
 PAIR_COLUMNS = ["consumer_field", "provider_field", "provider_json", "confidence", "source", "reason"]
 
@@ -72,7 +73,8 @@ def build_plan(pairings: DataFrame, fields: DataFrame, entities: DataFrame, scop
     heuristic = match.heuristic_pairs(candidates, scope).select(*scope, "c_ord", "p_ord", *PAIR_COLUMNS)
     if proposals is None:
         return MappingPlan(pairings, fields, heuristic, None, engine, scope)
-    validated = match.validate_proposals(proposals, pairings, fields, entities, scope)
+    validated = cut_lineage(match.validate_proposals(proposals, pairings, fields, entities, scope))
     accepted = match.accepted_pairs(validated, scope).select(*heuristic.columns)
     notes = validated.filter(F.col("note").isNotNull()).select(*scope, "ord", "note")
-    return MappingPlan(pairings, fields, match.fill_gaps(accepted, heuristic, scope), notes, engine, scope)
+    pairs = cut_lineage(match.fill_gaps(accepted, heuristic, scope))  # read by every table of the plan
+    return MappingPlan(pairings, fields, pairs, notes, engine, scope)
