@@ -6,6 +6,7 @@ import datetime
 import decimal
 import math
 import sys
+import threading
 import time
 
 import duckdb
@@ -13,6 +14,7 @@ import duckdb
 from crosswalk.session import local_session
 from workload import ORACLES, QUERIES
 
+LIMIT_SECONDS = 60
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
           "conversations").split()
 
@@ -45,12 +47,14 @@ def main(sf_dir: str, wanted: list[str]) -> int:
         if wanted and not any(w in name for w in wanted):
             continue
         start = time.time()
+        watch = threading.Timer(LIMIT_SECONDS, lambda: (spark.sparkContext.cancelAllJobs(), con.interrupt()))
+        watch.start()
         try:
             df = fn(spark, sf_dir)
             got = rows_of(df.columns, [tuple(r) for r in df.collect()])
             took = time.time() - start
             if name not in ORACLES:
-                print(f"{name:32s} rows={len(got)} {took:.1f}s (no SQL)")
+                print(f"{name:32s} rows={len(got)} {took:.1f}s (no SQL)", flush=True)
                 continue
             start = time.time()
             cur = con.execute(ORACLES[name])
@@ -67,7 +71,9 @@ def main(sf_dir: str, wanted: list[str]) -> int:
                 print("   sql only  ", [x for x in want if x not in a][:3], flush=True)
         except Exception as problem:  # report and go on with the next query
             bad += 1
-            print(f"{name:32s} FAIL {str(problem)[:600]}", flush=True)
+            print(f"{name:32s} FAIL after {time.time() - start:.0f}s {str(problem)[:600]}", flush=True)
+        finally:
+            watch.cancel()
     return bad
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -67,63 +67,89 @@ def check_rollup(checks: DataFrame, groups: list[str]) -> DataFrame:
         F.count_if(~F.col("ok")).alias("failed_checks"), F.coalesce(F.bool_and("ok"), F.lit(False)).alias("passed"))
 
 
+RowColumn = Callable[[Mapping[str, Column]], Column]
+
+
 @dataclass
 class Rule:
-    """A defect of a row: ``bad`` says whether it is there. Rules of level 2 are looked at only in rows that are
-    clean on level 1."""
+    """A defect of a row: ``bad`` says whether it is there. Both functions get the row, ``r["column"]``. Rules of
+    level 2 are looked at only in rows that are clean on level 1."""
 
     code: str
     level: int
-    bad: Column
-    message: Column
+    bad: RowColumn
+    message: RowColumn
+
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value`` with the value computed and named once."""
+    return F.transform(F.array(value), body)[0]
 
-def diagnostics(rules: Sequence[Rule]) -> Column:
-    """Diagnostics of a row as ``array<string>``, the lowest level that has any."""
+
+def diagnostics(rules: Sequence[Rule], row: Mapping[str, Column]) -> Column:
+    """Diagnostics of a row as ``array<string>``, of the lowest level that has any."""
     def found(level: int) -> Column:
-        hits = [F.when(F.coalesce(r.bad, F.lit(False)), F.concat(F.lit(f"{r.code} "), r.message))
+        hits = [F.when(F.coalesce(r.bad(row), F.lit(False)), F.concat(F.lit(f"{r.code} "), r.message(row)))
                 for r in rules if r.level == level]
-        return F.filter(F.array(*hits), lambda d: d.isNotNull())
+        return F.array_compact(F.array(*hits))
+
+    def first_found(levels: list[int]) -> Column:
+        head, *rest = levels
+        if not rest:
+            return found(head)
+        return _let(found(head), lambda d: F.when(F.size(d) > 0, d).otherwise(first_found(rest)))
 
-    levels = sorted({r.level for r in rules})
-    out = found(levels[-1])
-    for level in reversed(levels[:-1]):
-        out = F.when(F.size(found(level)) > 0, found(level)).otherwise(out)
-    return out
+    return first_found(sorted({r.level for r in rules}))
 
 
 def check_rows(df: DataFrame, rules: Sequence[Rule], keys: list[str]) -> DataFrame:
     """One row per defect: key columns, ``ord`` and ``diagnostic``."""
-    return df.select(*keys, diagnostics(rules).alias("_d")).select(*keys, F.posexplode("_d").alias("ord", "diagnostic"))
+    row = {c: F.col(c) for c in df.columns}
+    return df.select(*keys, diagnostics(rules, row).alias("_d")).select(*keys, F.posexplode("_d").alias("ord", "diagnostic"))
 
 
-def repair_rounds(df: DataFrame, rules: Sequence[Rule], fixes: dict[str, Column], fallback: dict[str, Column] | None = None,
+def repair_rounds(df: DataFrame, rules: Sequence[Rule], fixes: dict[str, RowColumn],
+                  fallback: dict[str, RowColumn] | None = None, columns: Sequence[str] | None = None,
                   max_rounds: int = 3) -> DataFrame:
     """Check, fix, check again, per row and for at most ``max_rounds`` rounds.
 
     Adds ``rounds`` (round, diagnostics, action) and ``passed``. A clean first check records no round. When the safe
-    fixes leave something, the fallback gets the row, or without one the row stops there and is not passed. The
-    rounds are unrolled into projections: a row is repaired where it is, with no shuffle and no job per round."""
-    state = df.withColumn("rounds", F.array().cast("array<struct<round:int,diagnostics:array<string>,action:string>>"))
-    state = state.withColumn("_open", F.lit(True)).withColumn("passed", F.lit(False))
-    for n in range(1, max_rounds + 1):
-        state = state.withColumn("_diags", F.when(F.col("_open"), diagnostics(rules)))
-        clean = F.col("_open") & (F.size("_diags") == 0)
-        state = state.withColumns({"passed": F.col("passed") | clean, "_open": F.col("_open") & ~clean})
-        state = state.withColumns({c: F.when(F.col("_open"), fix).otherwise(F.col(c)) for c, fix in fixes.items()})
-        state = state.withColumn("_left", F.when(F.col("_open"), diagnostics(rules)))
-        solved = F.size("_left") == 0
-        action = F.when(solved, F.lit(SAFE_FIX)).otherwise(F.lit(NO_FALLBACK if fallback is None else FALLBACK))
-        entry = F.struct(F.lit(n).alias("round"), F.when(solved, F.col("_diags")).otherwise(F.col("_left")).alias("diagnostics"),
-                         action.alias("action"))
-        state = state.withColumn("rounds", F.when(F.col("_open"), F.array_append("rounds", entry)).otherwise(F.col("rounds")))
-        if fallback is None:
-            state = state.withColumn("_open", F.col("_open") & solved)
-        else:
-            state = state.withColumns({c: F.when(F.col("_open") & ~solved, f).otherwise(F.col(c))
-                                       for c, f in fallback.items()})
-    final = F.when(F.col("_open"), F.size(diagnostics(rules)) == 0).otherwise(F.col("passed"))
-    return state.withColumn("passed", final).drop("_open", "_diags", "_left")
+    fixes leave something, the fallback gets the row, or without one the row stops there and is not passed. All rounds
+    of a row are one expression: a row is repaired where it is, with no shuffle and no job per round. ``columns``
+    are those the rules and fixes look at (default: all)."""
+    columns = list(columns or df.columns)
+
+    def state(row: Column, rounds: Column, is_open: Column, passed: Column) -> Column:
+        return F.struct(row.alias("row"), rounds.alias("rounds"), is_open.alias("open"), passed.alias("passed"))
+
+    def changed(row: Column, by: dict[str, RowColumn]) -> Column:
+        return F.struct(*[(by[c](row) if c in by else row[c]).alias(c) for c in columns])
+
+    def one_round(s: Column, n: Column) -> Column:
+        def after_check(diags: Column) -> Column:
+            def after_fix(f: Column) -> Column:
+                solved = F.size(f["left"]) == 0
+                action = F.when(solved, F.lit(SAFE_FIX)).otherwise(F.lit(NO_FALLBACK if fallback is None else FALLBACK))
+                entry = F.struct(n.alias("round"), F.when(solved, diags).otherwise(f["left"]).alias("diagnostics"),
+                                 action.alias("action"))
+                row = f["row"] if fallback is None else F.when(solved, f["row"]).otherwise(changed(f["row"], fallback))
+                goes_on = solved if fallback is None else F.lit(True)
+                return state(row, F.array_append(s["rounds"], entry), goes_on, F.lit(False))
+
+            fixed = _let(changed(s["row"], fixes), lambda r: F.struct(r.alias("row"), diagnostics(rules, r).alias("left")))
+            return (F.when(F.size(diags) == 0, state(s["row"], s["rounds"], F.lit(False), F.lit(True)))
+                    .otherwise(_let(fixed, after_fix)))
+
+        return F.when(s["open"], _let(diagnostics(rules, s["row"]), after_check)).otherwise(s)
+
+    no_rounds = F.array().cast("array<struct<round:int,diagnostics:array<string>,action:string>>")
+    start = state(F.struct(*columns), no_rounds, F.lit(True), F.lit(False))
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(max_rounds)), start, one_round, lambda s: F.struct(
+        s["row"].alias("row"), s["rounds"].alias("rounds"),
+        F.when(s["open"], F.size(diagnostics(rules, s["row"])) == 0).otherwise(s["passed"]).alias("passed")))
+    done = df.withColumn("_end", end)
+    return done.select(*[F.col(f"_end.row.{c}").alias(c) if c in fixes or (fallback and c in fallback) else F.col(c)
+                         for c in df.columns], "_end.rounds", "_end.passed")
 
 
 def repair_log(repaired: DataFrame, keys: list[str]) -> DataFrame:

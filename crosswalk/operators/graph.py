@@ -18,7 +18,7 @@ def reachable(edges: DataFrame, roots: DataFrame, scope: list[str] = ()) -> Data
     Only nodes first seen in the last step look for neighbours in the next one. As many steps as the longest
     shortest path; cycles end by themselves because seen nodes are not visited again."""
     scope = list(scope)
-    edges = edges.select("src", "dst").distinct()
+    edges = cut_lineage(edges.select("src", "dst").distinct())  # read once per step
     frontier = cut_lineage(roots.select(*scope, "node").distinct())
     steps = [frontier]
     seen = frontier
