@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from crosswalk.functions.names import package_key
 from crosswalk.operators.skew import salted_join
 
-RULES_PER_PASS = 200
+RULES_PER_PASS, MAX_RULES = 200, 20_000
 
 
 def delta_scope(df: DataFrame, delta: DataFrame | None, keys: list[str]) -> DataFrame:
@@ -25,15 +25,23 @@ def changed_rows(current: DataFrame, previous: DataFrame, keys: list[str]) -> Da
     return current.withColumn("_content", content).join(seen, [*keys, "_content"], "left_anti").drop("_content")
 
 
+def collect_rules(rules: DataFrame) -> list[tuple[str, str]]:
+    """Rules from a table ``(rule, pattern)``. They become part of the plan, so a table of more than ``MAX_RULES`` has to
+    be scanned in parts: the hits of the parts together are the hits of the whole."""
+    rows = rules.select("rule", "pattern").limit(MAX_RULES + 1).collect()
+    if len(rows) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules: scan with parts of the table and union the hits")
+    return [(r["rule"], r["pattern"]) for r in rows]
+
+
 def scan_rules(texts: DataFrame, rules: Sequence[tuple[str, str]] | DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """Every (rule, line) hit of regular-expression rules in a text column: key columns, ``rule``, ``line`` from 1.
 
     Rules are configuration (rule id, pattern): as literals they are compiled once per task and tested where the
     line is, with no shuffle. Whole texts are looked at, line by line, and lines without a hit are dropped right
-    away. Many rules are tested in several passes of ``RULES_PER_PASS``, so their number is not limited. A stateless
+    away. Many rules are tested in several passes of ``RULES_PER_PASS`` over the texts. A stateless
     projection, so it runs on streams too."""
-    listed = [(r["rule"], r["pattern"]) for r in rules.select("rule", "pattern").collect()] \
-        if isinstance(rules, DataFrame) else list(rules)
+    listed = collect_rules(rules) if isinstance(rules, DataFrame) else list(rules)
     lines = texts.select(*keys, F.posexplode(F.split(text, "\n")).alias("_pos", "_line"))
 
     def one_pass(chunk: Sequence[tuple[str, str]]) -> DataFrame:

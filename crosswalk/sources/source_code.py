@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from crosswalk.functions import paths, types
 from crosswalk.operators.skew import spread_missing
+from crosswalk.session import cut_lineage
 from crosswalk.sources import declarations as readers
 
 # Parts of a path whose files are not looked at, and what makes a Python class a model or an enum.
@@ -26,6 +27,8 @@ RAW_COLUMNS = {"row_kind": "string", "name": "string", "owner": "string", "type_
                "bases": "array<string>", "marks": "array<string>", "values": "array<string>"}
 RAW_DDL = "service STRING, file STRING, seq INT, " + ", ".join(f"`{c}` {t}" for c, t in RAW_COLUMNS.items())
 
+ROWS_PER_BATCH = 10_000
+
 Extractor = Callable[[str], Iterator[dict]]
 EXTRACTORS: dict[str, Extractor] = {"java": readers.java_declarations, "python": readers.python_declarations}
 cloudpickle.register_pickle_by_value(readers)  # the readers travel with the job, executors need not have them installed
@@ -71,20 +74,23 @@ def declarations(files: DataFrame, language: str) -> DataFrame:
     extract = EXTRACTORS[language]
     columns = ["service", "file", "seq", *RAW_COLUMNS]
 
+    def table(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame({c: pd.Series(values, dtype=object) for c, values in zip(columns, zip(*rows))})
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            rows: list[tuple] = []
             for service, file, text in zip(batch["service"], batch["file"], batch["text"]):
                 try:
-                    rows = list(extract(text))
+                    found = list(extract(text))
                 except (SyntaxError, ValueError, RecursionError) as problem:
-                    rows = [{"row_kind": "error", "name": type(problem).__name__, "type_text": str(problem)}]
-                if rows:
-                    table = pd.DataFrame(rows).reindex(columns=list(RAW_COLUMNS)).astype(object)
-                    table = table.where(table.notna(), None)
-                    table.insert(0, "service", service)
-                    table.insert(1, "file", file)
-                    table.insert(2, "seq", range(len(rows)))
-                    yield table[columns]
+                    found = [{"row_kind": "error", "name": type(problem).__name__, "type_text": str(problem)}]
+                rows += [(service, file, seq, *[r.get(c) for c in RAW_COLUMNS]) for seq, r in enumerate(found)]
+                if len(rows) >= ROWS_PER_BATCH:
+                    yield table(rows)
+                    rows = []
+            if rows:
+                yield table(rows)
 
     return files.select("service", "file", "text").mapInPandas(read, RAW_DDL)
 
@@ -128,7 +134,7 @@ def _finish(raw: DataFrame, entities: DataFrame, fields: DataFrame, endpoints: D
 
 def extract_python_catalog(files: DataFrame) -> ExtractedCatalog:
     """Models, dataclasses, enums and routes of Python sources."""
-    raw = declarations(files, "python")
+    raw = cut_lineage(declarations(files, "python"))  # read by every table, parsed once
     classes = raw.filter(F.col("row_kind") == "class")
     known = classes.select("service", "name").distinct()
     bases = classes.select("service", "file", "seq", F.explode("bases").alias("name"))
@@ -155,7 +161,7 @@ def extract_python_catalog(files: DataFrame) -> ExtractedCatalog:
 def extract_java_catalog(files: DataFrame) -> ExtractedCatalog:
     """Classes, records, enums and controller routes of Java sources. A class with routes is no entity, nor is a
     class without fields."""
-    raw = declarations(files, "java")
+    raw = cut_lineage(declarations(files, "java"))  # read by every table, parsed once
     types_rows = raw.filter((F.col("row_kind") == "class") & F.col("java_kind").isin("class", "record", "enum"))
     known = types_rows.select("service", "name").distinct()
     members = raw.groupBy("service", "file", "owner").agg(
