@@ -38,25 +38,36 @@ def resolve_enum(fields: DataFrame, entities: DataFrame) -> DataFrame:
     return keyed.join(kinds, ["service", "_ref"], "left").drop("_ref")
 
 
-def provider_side(fields: DataFrame, entities: DataFrame) -> DataFrame:
-    """Everything about a provider field that does not depend on what it is compared with."""
-    words = resolve_enum(fields, entities).select(
+def provider_side(fields: DataFrame, entities: DataFrame, pairings: DataFrame | None = None, scope: list[str] = ()) -> DataFrame:
+    """Everything about a provider field that does not depend on what it is compared with. With ``pairings`` only the
+    fields these need, with the scope columns: names are taken apart after that join, on its parallelism."""
+    rows = resolve_enum(fields, entities).select(
         F.col("service").alias("provider_service"), F.col("entity").alias("provider_entity"),
         F.col("field_ord").alias("p_ord"), F.col("name").alias("provider_field"),
         F.col("json_name").alias("provider_json"), F.col("type").alias("p_type"),
-        types.provider_base(F.col("type"), F.col("ref_kind")).alias("p_base"),
-        names.tagged("name").alias("p_words"), names.tagged("json_name").alias("p_wire"),
-        names.tokens("entity").alias("p_strip"))
-    return words.withColumn("p_keys", F.array_union(names.blocking_keys("p_words"), names.blocking_keys("p_wire")))
+        types.provider_base(F.col("type"), F.col("ref_kind")).alias("p_base"))
+    rows = _of_pairings(rows, pairings, scope, "provider").withColumns({
+        "p_words": names.tagged("provider_field"), "p_wire": names.tagged("provider_json"),
+        "p_strip": names.tokens("provider_entity")})
+    return rows.withColumn("p_keys", F.array_union(names.blocking_keys("p_words"), names.blocking_keys("p_wire")))
 
 
-def consumer_side(fields: DataFrame) -> DataFrame:
-    words = fields.select(
+def consumer_side(fields: DataFrame, pairings: DataFrame | None = None, scope: list[str] = ()) -> DataFrame:
+    """The same for a consumer field."""
+    rows = fields.select(
         F.col("service").alias("consumer_service"), F.col("entity").alias("consumer_entity"),
         F.col("field_ord").alias("c_ord"), F.col("name").alias("consumer_field"), F.col("type").alias("c_type"),
-        types.base_type(F.col("type")).alias("c_base"), names.tagged("name").alias("c_words"),
-        names.tokens("entity").alias("c_strip"))
-    return words.withColumn("c_keys", names.blocking_keys("c_words"))
+        types.base_type(F.col("type")).alias("c_base"))
+    rows = _of_pairings(rows, pairings, scope, "consumer").withColumns({
+        "c_words": names.tagged("consumer_field"), "c_strip": names.tokens("consumer_entity")})
+    return rows.withColumn("c_keys", names.blocking_keys("c_words"))
+
+
+def _of_pairings(rows: DataFrame, pairings: DataFrame | None, scope: list[str], role: str) -> DataFrame:
+    if pairings is None:
+        return rows
+    on = [c for c in (f"{role}_service", f"{role}_entity") if c in pairings.columns]
+    return rows.join(pairings.select(*scope, *on), on)
 
 
 def _score() -> Column:
@@ -82,14 +93,10 @@ def candidate_pairs(pairings: DataFrame, fields: DataFrame, entities: DataFrame,
     no two words alike and scores zero. A pair sharing several keys is produced by the first of them only, so no
     ``distinct`` is needed. Types that cannot reach the threshold are dropped before the names are compared."""
     by_entity = "provider_entity" in pairings.columns
-    p_on = ["provider_service", "provider_entity"] if by_entity else ["provider_service"]
-    c_on = ["consumer_service", "consumer_entity"] if by_entity else ["consumer_service"]
-    enums = non_enum_entities(lookup_entity(entities)).select("service", "entity")
-    usable = fields if by_entity else fields.join(enums, ["service", "entity"], "left_semi")
-    left = (pairings.select(*scope, *c_on).join(consumer_side(usable), c_on)
-            .withColumn("key", F.explode("c_keys")))
-    right = (pairings.select(*scope, *p_on).join(provider_side(usable, entities), p_on)
-             .withColumn("key", F.explode("p_keys")))
+    records = non_enum_entities(lookup_entity(entities)).select("service", "entity")
+    usable = fields if by_entity else fields.join(records, ["service", "entity"], "left_semi")
+    left = consumer_side(usable, pairings, scope).withColumn("key", F.explode("c_keys"))
+    right = provider_side(usable, entities, pairings, scope).withColumn("key", F.explode("p_keys"))
     met = salted_join(left, right, [*scope, "key"], ["consumer_service", "consumer_entity", "consumer_field"])
     first_shared = F.array_min(F.array_intersect("c_keys", "p_keys")) == F.col("key")
     fits = types.type_compat(F.col("p_base"), F.col("c_base")) >= F.lit(threshold)
