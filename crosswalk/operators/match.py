@@ -95,9 +95,13 @@ def candidate_pairs(pairings: DataFrame, fields: DataFrame, entities: DataFrame,
     by_entity = "provider_entity" in pairings.columns
     records = non_enum_entities(lookup_entity(entities)).select("service", "entity")
     usable = fields if by_entity else fields.join(records, ["service", "entity"], "left_semi")
-    left = consumer_side(usable, pairings, scope).withColumn("key", F.explode("c_keys"))
-    right = provider_side(usable, entities, pairings, scope).withColumn("key", F.explode("p_keys"))
-    met = salted_join(left, right, [*scope, "key"], ["consumer_service", "consumer_entity", "consumer_field"])
+    # both sides are counted and joined; taking names apart twice would cost more than writing them down
+    consumers = cut_lineage(consumer_side(usable, pairings, scope))
+    providers = cut_lineage(provider_side(usable, entities, pairings, scope))
+    left = consumers.withColumn("key", F.explode("c_keys"))
+    right = providers.withColumn("key", F.explode("p_keys"))
+    met = salted_join(left, right, [*scope, "key"], ["consumer_service", "consumer_entity", "consumer_field"],
+                      ["provider_service", "provider_entity", "provider_field"])
     first_shared = F.array_min(F.array_intersect("c_keys", "p_keys")) == F.col("key")
     fits = types.type_compat(F.col("p_base"), F.col("c_base")) >= F.lit(threshold)
     scored = met.filter(first_shared & fits).withColumn("score", _score())
@@ -145,7 +149,7 @@ def entity_pairs(pairings: DataFrame, entities: DataFrame, candidates: DataFrame
     first_p = p.groupBy(*scope).agg(F.min_by("provider_entity", "p_ent_ord").alias("provider_entity"))
     first_c = c.groupBy(*scope).agg(F.min_by("consumer_entity", "c_ent_ord").alias("consumer_entity"))
     alike = (salted_join(c.withColumn("key", F.explode("c_keys")), p.withColumn("key", F.explode("p_keys")),
-                         [*scope, "key"], ["consumer_entity"])
+                         [*scope, "key"], ["consumer_entity"], ["provider_entity"])
              .filter(F.array_min(F.array_intersect("c_keys", "p_keys")) == F.col("key")))
     keys = [*scope, "provider_entity", "consumer_entity"]
     wanted = (candidates.select(*keys).unionByName(alike.select(*keys))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crosswalk.functions.names import package_key
-from crosswalk.operators.skew import salted_join
+from crosswalk.operators.skew import key_counts, salted_join
 
 RULES_PER_PASS, MAX_RULES = 200, 20_000
 
@@ -70,9 +70,10 @@ def match_advisories(packages: DataFrame, advisories: DataFrame, keys: list[str]
     p = packages.withColumn("_key", package_key(F.col("name")))
     known = advisories.select(package_key(F.col("name")).alias("_key"), "advisory",
                               version_parts(F.col("introduced")).alias("_from"), version_parts(F.col("fixed")).alias("_to"))
-    versions = p.select("_key", "version").distinct().withColumn("_v", version_parts(F.col("version")))
-    affected = (salted_join(versions, known, ["_key"], ["version"])
+    counted = key_counts(p, ["_key", "version"])
+    versions = counted.select("_key", "version", version_parts(F.col("version")).alias("_v"))
+    affected = (salted_join(versions, known, ["_key"], ["version"], ["advisory"])
                 .filter((F.col("_v") >= F.col("_from")) & (F.col("_to").isNull() | (F.col("_v") < F.col("_to"))))
                 .select("_key", "version", "advisory"))
-    hits = salted_join(p, affected, ["_key", "version"], keys)
+    hits = salted_join(p, affected, ["_key", "version"], keys, ["advisory"], left_counts=counted)
     return hits.select(*keys, "advisory", F.concat("advisory", F.lit(" "), "name", F.lit("@"), "version").alias("item"))

@@ -8,23 +8,40 @@ from pyspark.sql import functions as F
 ROWS_PER_SALT = 1_000_000
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread_by: list[str],
-                rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
-    """Inner equi-join that splits every key with more than ``rows_per_salt`` rows on the left.
-
-    The rows of such a key go to ``ceil(rows / rows_per_salt)`` parts by a hash of ``spread_by`` (stable when a
-    task is run again), the right rows of the key are copied to each part. All other keys join as usual. The list
-    of split keys has at most ``left rows / rows_per_salt`` entries, which is what makes broadcasting it safe."""
-    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    hot = F.broadcast(
-        counts.filter(F.col("_rows") > rows_per_salt)
-        .select(*keys, F.ceil(F.col("_rows") / F.lit(rows_per_salt)).cast("int").alias("_parts")))
-    parts = F.coalesce(F.col("_parts"), F.lit(1))
-    salted_left = (left.join(hot, keys, "left")
-                   .withColumn("_salt", F.pmod(F.xxhash64(*spread_by), parts).cast("int")).drop("_parts"))
-    salted_right = (right.join(hot, keys, "left")
-                    .withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts"))
-    return salted_left.join(salted_right, [*keys, "_salt"]).drop("_salt")
+def key_counts(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows per key, merged before the shuffle."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+
+
+def _parts(counts: DataFrame, keys: list[str], rows_per_salt: int, name: str) -> DataFrame:
+    return (counts.filter(F.col("_rows") > rows_per_salt)
+            .select(*keys, F.ceil(F.col("_rows") / F.lit(rows_per_salt)).cast("int").alias(name)))
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], left_spread: list[str], right_spread: list[str],
+                rows_per_salt: int = ROWS_PER_SALT, left_counts: DataFrame | None = None,
+                right_counts: DataFrame | None = None) -> DataFrame:
+    """Inner equi-join that splits every key with more than ``rows_per_salt`` rows on either side.
+
+    The left rows of a hot key go to ``ceil(left rows / rows_per_salt)`` parts by a hash of ``left_spread``, the right
+    rows likewise, and each part of one side is copied to the parts of the other, so every pair meets exactly once
+    and no task gets more than ``rows_per_salt`` rows of a key from one side. The hashes are of row content, so a task
+    that runs again does the same. Keys below the limit join as usual. The list of hot keys has at most
+    ``(left rows + right rows) / rows_per_salt`` entries, which is what makes broadcasting it safe. Counts already at
+    hand (the keys and ``_rows``) can be passed in."""
+    by_left = _parts(key_counts(left, keys) if left_counts is None else left_counts, keys, rows_per_salt, "_l_parts")
+    by_right = _parts(key_counts(right, keys) if right_counts is None else right_counts, keys, rows_per_salt, "_r_parts")
+    hot = F.broadcast(by_left.join(by_right, keys, "full_outer"))
+    l_parts, r_parts = F.coalesce("_l_parts", F.lit(1)), F.coalesce("_r_parts", F.lit(1))
+
+    def salted(df: DataFrame, own: str, own_parts: Column, spread: list[str], other: str, other_parts: Column) -> DataFrame:
+        return (df.join(hot, keys, "left")
+                .withColumn(own, F.pmod(F.xxhash64(*spread), own_parts).cast("int"))
+                .withColumn(other, F.explode(F.sequence(F.lit(0), other_parts - 1))).drop("_l_parts", "_r_parts"))
+
+    return (salted(left, "_l_salt", l_parts, left_spread, "_r_salt", r_parts)
+            .join(salted(right, "_r_salt", r_parts, right_spread, "_l_salt", l_parts), [*keys, "_l_salt", "_r_salt"])
+            .drop("_l_salt", "_r_salt"))
 
 
 def spread_missing(key: Column, *spread_by: Column) -> Column:

@@ -110,7 +110,7 @@ def test_rounds_equal_the_greedy_walk(spark):
 
 def test_salted_join_splits_hot_keys_and_keeps_every_row(spark):
     left = spark.range(1000).select(F.col("id").alias("l"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("k"))
-    right = spark.range(120).select(F.col("id").alias("r"), (F.col("id") % 50).alias("k"))
+    right = spark.range(120).select(F.col("id").alias("r"), F.when(F.col("id") > 60, 7).otherwise(F.col("id") % 50).alias("k"))
     plain = left.join(right, ["k"]).select("l", "r", "k")
-    salted = salted_join(left, right, ["k"], ["l"], rows_per_salt=25).select("l", "r", "k")
+    salted = salted_join(left, right, ["k"], ["l"], ["r"], rows_per_salt=25).select("l", "r", "k")
     assert salted.exceptAll(plain).count() == 0 and plain.exceptAll(salted).count() == 0
