@@ -75,5 +75,6 @@ def match_advisories(packages: DataFrame, advisories: DataFrame, keys: list[str]
     affected = (salted_join(versions, known, ["_key"], ["version"], ["advisory"])
                 .filter((F.col("_v") >= F.col("_from")) & (F.col("_to").isNull() | (F.col("_v") < F.col("_to"))))
                 .select("_key", "version", "advisory"))
-    hits = salted_join(p, affected, ["_key", "version"], keys, ["advisory"], left_counts=counted)
+    # one version of one package has few advisories, however many packages use it: only the package side can be hot
+    hits = salted_join(p, affected, ["_key", "version"], keys, ["advisory"], left_counts=counted, split_right=False)
     return hits.select(*keys, "advisory", F.concat("advisory", F.lit(" "), "name", F.lit("@"), "version").alias("item"))

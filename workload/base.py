@@ -59,7 +59,10 @@ FIELD_EXPRS = {
 
 
 def fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("e"))
+    # each customer becomes 26 fields: the two keys are spread first, the table may be one small file
+    keys = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    customers = (keys.repartition(spark.sparkContext.defaultParallelism, "c_custkey")
+                 .withColumn("e", F.explode(F.sequence(F.lit(0), F.lit(1)))))
     parts = []
     for role, n in (("provider", P_FIELDS), ("consumer", C_FIELDS)):
         rows = customers.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
