@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +22,6 @@ def match_routes(requests: DataFrame, routes: DataFrame, keys: list[str], url: s
     few = routes.select("ep_ord", "method", "path", "handler").orderBy("ep_ord").limit(inline_limit + 1).collect()
     path = request_path(F.col(url))
     if len(few) <= inline_limit:
-        import re
         hits = [F.when((F.col(method) == r["method"]) & F.col("_path").rlike("^" + re.sub(r"\{\w+\}", "[^/]+", r["path"]) + "/?$"),
                        F.struct(F.lit(r["ep_ord"]).cast("bigint").alias("ep_ord"), F.lit(r["path"]).alias("path"),
                                 F.lit(r["handler"]).alias("handler"))) for r in few]
