@@ -46,11 +46,11 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SPACES = r"[\x20\x09-\x0D]+"
 QUALITY_SQL = rf"""
 WITH split AS (
-  SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPACES}'), x -> x <> '') AS w
+  SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPACES}'), lambda x: x <> '') AS w
   FROM documents),
 lines AS (
-  SELECT *, list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l,
-    list_transform(range(1, len(w) - 6), i -> array_to_string(w[i:i + 7], ' ')) AS windows
+  SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l,
+    list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' ')) AS windows
   FROM split),
 again AS (
   SELECT doc_id, count(DISTINCT p) AS n FROM (
@@ -68,7 +68,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words
     OR 2 * n_dup_lines > len(l) OR 10 * (length(t) - length(replace(t, '!', ''))) > 3 * n_words
     OR 2 * length(regexp_replace(t, '\P{{Lu}}+', '', 'g')) > length(regexp_replace(t, '\P{{L}}+', '', 'g'))
-    OR 2 * len(list_filter(w, x -> regexp_matches(x, '\p{{L}}'))) < n_words) AS kept
+    OR 2 * len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}'))) < n_words) AS kept
 FROM judged"""
 
 
