@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosswalk.llm import bpe, packing, quality, secrets, simhash, tokens, urls, winnow
+from crosswalk.llm import bpe, lm, packing, quality, secrets, shards, simhash, tokens, urls, winnow
 from crosswalk.llm.common import cut_lineage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,3 +113,13 @@ def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_document_fingerprints")
 def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op6_lm_scoring")
+def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
+@query("op9_training_shards")
+def training_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.materialise(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
