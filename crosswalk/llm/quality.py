@@ -55,7 +55,8 @@ def repeated_words(w: Column, window: int = WINDOW) -> Column:
             return F.aggregate(gaps, F.lit(0).cast("long"), lambda a, g: a + g)
         return let(ranked, lambda s: let(starts(s), total))
 
-    hashes = F.transform(F.sequence(F.lit(1), F.size(w) - window + 1), lambda i: F.xxhash64(F.slice(w, i, window)))
+    # single elements: slice() copies the whole array for each window
+    hashes = F.transform(F.sequence(F.lit(0), F.size(w) - window), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(window)]))
     none = F.lit(0).cast("long")
     return F.when(F.size(w) <= window, none).otherwise(let(hashes, lambda h: F.when(
         F.size(F.array_distinct(h)) == F.size(h), none).otherwise(covered(h))))

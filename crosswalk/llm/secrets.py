@@ -55,7 +55,8 @@ def running_sums(numbers: Column) -> Column:
         return F.aggregate(block, F.array().cast("array<bigint>"),
                            lambda a, x: F.concat(a, F.array(F.coalesce(F.get(a, F.size(a) - 1), F.lit(0)) + x)))
     blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / 256).cast("int")),
-                         lambda b: F.slice(numbers, b * 256 + 1, 256))
+                         lambda b: F.transform(F.sequence(b * 256, F.least(b * 256 + 255, F.size(numbers) - 1)),
+                                               lambda i: F.get(numbers, i)))
     return let(F.transform(blocks, within), lambda sums: let(
         F.aggregate(sums, F.array(F.lit(0).cast("long")), lambda a, s: F.concat(
             a, F.array(F.element_at(a, -1) + F.element_at(s, -1)))),

@@ -15,6 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from crosswalk.llm.common import cut_lineage, map_rows, with_bytes
 
@@ -190,14 +191,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """One row of each component: that of its smallest key. Rows without key stay. Where the key that stays is repeated,
-    one of its rows does, the least by the other columns."""
+    """One row of each component, one of its smallest key. Rows without key stay. Keys are looked at first: only where some
+    are repeated do rows have to be told apart by fingerprint; of those that are left the least by the other columns stays."""
     found = cut_lineage(near_duplicates(docs.filter(F.col(key).isNotNull()), key, text, shingle))
-    gone = found.filter(F.col(key) != F.col("component_id")).select(key).distinct()
-    kept = docs.join(gone, key, "left_anti").select(*docs.columns)
     if found.groupBy(key).count().filter("count > 1").isEmpty():
-        return kept
-    others = [F.col(c) for c in docs.columns if c != key]
-    ranked = kept.filter(F.col(key).isNotNull()).withColumn("__rank", F.row_number().over(
-        Window.partitionBy(key).orderBy(*(others or [F.lit(0)]))))
-    return ranked.filter("__rank = 1").select(*docs.columns).unionByName(docs.filter(F.col(key).isNull()))
+        gone = found.filter(F.col(key) != F.col("component_id")).select(key)
+        return docs.join(gone, key, "left_anti").select(*docs.columns)
+    own = F.struct(*[F.col(c) for c in docs.columns]).alias("__own")
+    at = docs.columns.index(text)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        prints = np.fromiter((fingerprint(t, shingle) for t in with_bytes(batch.column(0).field(at))), np.uint64, batch.num_rows)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["__own", "__print"])
+    rows = map_rows(docs.filter(F.col(key).isNotNull()).select(own), run, StructType(
+        [StructField("__own", docs.schema), StructField("__print", LongType())]))
+    stay = found.filter(F.col(key) == F.col("component_id")).select(
+        F.col(key).alias("__key"), F.col("fingerprint").alias("__print")).distinct()
+    kept = rows.withColumn("__key", F.col("__own")[key]).join(stay, ["__key", "__print"])
+    ranked = kept.withColumn("__rank", F.row_number().over(Window.partitionBy("__key").orderBy("__own")))
+    return ranked.filter("__rank = 1").select("__own.*").unionByName(docs.filter(F.col(key).isNull()))
