@@ -20,12 +20,23 @@ _OFFSET = r"(Z|[+-]\d{2}(:?\d{2}){0,2})$"
 _TIME_PART = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}"
 
 
+def number_form(text: Column) -> Column:
+    """A number's text in normal form: sign, digits without outer zeros, exponent of the last digit. Two numbers are equal
+    exactly if their forms are, whatever their length. Null for text that is no number."""
+    bare = F.lower(F.regexp_replace(text, r"\s+", ""))
+    sign = F.when(bare.startswith("-"), F.lit("-")).otherwise(F.lit("+"))
+    whole, fraction = F.regexp_extract(bare, r"^[+-]?(\d*)", 1), F.regexp_extract(bare, r"\.(\d*)", 1)
+    exponent = F.coalesce(F.regexp_extract(bare, r"e\+?(-?\d+)$", 1).try_cast("decimal(38,0)"), F.lit(0))
+    front = F.regexp_replace(F.concat(whole, fraction), "^0+", "")
+    digits = F.regexp_replace(front, "0+$", "")
+    scale = exponent - F.length(fraction) + (F.length(front) - F.length(digits))
+    form = (F.when(bare.contains("inf"), F.concat(sign, F.lit("inf"))).when(digits == "", F.lit("0"))
+            .otherwise(F.concat(sign, digits, F.lit("e"), scale.cast("decimal(38,0)").cast("string"))))
+    return F.when(text.rlike(_NUMBER), form)
+
+
 def _same_number(expected: Column, actual: Column) -> Column:
-    """Equal as decimals of the text; beyond 38 digits or 18 decimals the double decides."""
-    e_dec, a_dec = expected.try_cast("decimal(38,18)"), actual.try_cast("decimal(38,18)")
-    e_dbl, a_dbl = expected.try_cast("double"), actual.try_cast("double")
-    literal = expected.rlike(_NUMBER) & actual.rlike(_NUMBER)
-    return literal & F.coalesce(e_dec == a_dec, F.lit(True)) & (e_dbl == a_dbl)
+    return number_form(expected) == number_form(actual)
 
 
 def _same_datetime(expected: Column, actual: Column) -> Column:

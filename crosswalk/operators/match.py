@@ -33,7 +33,7 @@ def resolve_enum(fields: DataFrame, entities: DataFrame) -> DataFrame:
     """Adds ``ref_kind``: the kind of the entity a ``ref:`` type points to, null where there is none."""
     kinds = lookup_entity(entities.select("service", "entity", "entity_ord", "kind")).select(
         "service", F.col("entity").alias("_ref"), F.col("kind").alias("ref_kind"))
-    ref = F.when(F.col("type").startswith("ref:"), F.substring("type", 5, 1_000_000))
+    ref = F.when(F.col("type").startswith("ref:"), F.substr(F.col("type"), F.lit(5)))
     keyed = fields.withColumn("_ref", spread_missing(ref, F.col("service"), F.col("entity"), F.col("name")))
     return keyed.join(kinds, ["service", "_ref"], "left").drop("_ref")
 
@@ -219,7 +219,7 @@ def validate_proposals(proposals: DataFrame, pairings: DataFrame, fields: DataFr
     is_accepted = F.col("_c_ord").eqNullSafe(F.col("ord")) & F.col("_p_ord").eqNullSafe(F.col("ord"))
     outcome = (F.when(~F.col("known"), F.lit("unknown")).when(is_accepted, F.lit("accepted"))
                .when(taken, F.lit("duplicate")).otherwise(F.lit("type_clash")))
-    pair_text = F.concat("consumer_field", F.lit(" <- "), "provider_field")
+    pair_text = F.concat(F.coalesce("consumer_field", F.lit("None")), F.lit(" <- "), F.coalesce("provider_field", F.lit("None")))
     note = (F.when(F.col("outcome") == "unknown", F.concat(F.lit("rejected LLM pair with unknown field: "), pair_text))
             .when(F.col("outcome") == "duplicate", F.concat(F.lit("rejected duplicate LLM pair: "), pair_text))
             .when(F.col("outcome") == "type_clash",

@@ -19,7 +19,7 @@ def sample_fields(fields: DataFrame, entities: DataFrame) -> DataFrame:
     nesting = F.size(F.split("type", "list<")) - 1
     known = lookup_entity(entities).select("service", F.col("entity").alias("_ref"), F.col("kind").alias("ref_kind"),
                                            F.col("values").alias("ref_values"))
-    ref = F.when(F.col("inner").startswith("ref:"), F.substring("inner", 5, 1_000_000))
+    ref = F.when(F.col("inner").startswith("ref:"), F.substr(F.col("inner"), F.lit(5)))
     return (fields.withColumn("inner", inner).withColumn("nesting", nesting).withColumn("seed", name_seed(F.col("name")))
             .withColumn("ref", ref).withColumn("_ref", spread_missing(ref, F.col("service"), F.col("entity"), F.col("name")))
             .join(known, ["service", "_ref"], "left").drop("_ref"))

@@ -56,16 +56,28 @@ def scan_rules(texts: DataFrame, rules: Sequence[tuple[str, str]] | DataFrame, k
     return out
 
 
+_PRE = r"(?i)(?<=[0-9])[-._]?(dev|alpha|a|beta|b|preview|pre|rc|c)[-._]?(\d*)([-+.].*)?$"
+
+
 def version_parts(version: Column) -> Column:
-    """``1.10.2`` as numbers, so that versions compare number by number. Parts that are no number count as 0."""
-    return F.transform(F.split(version, r"\."), lambda p: F.coalesce(F.regexp_extract(p, r"^\d+", 0).try_cast("int"), F.lit(0)))
+    """``1.10.2`` as numbers, so that versions compare number by number; null stays null. Zeros at the end do not count
+    (``1.0`` is ``1.0.0``), parts that are no number are 0, numbers may have 38 digits, and dev, alpha, beta and release
+    candidates come in this order before their release."""
+    release = F.split(F.regexp_replace(version, _PRE, ""), r"\.")
+    numbers = F.transform(release, lambda p: F.coalesce(F.regexp_extract(p, r"^\d+", 0).try_cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")))
+    used = F.coalesce(F.array_max(F.transform(numbers, lambda n, i: F.when(n != 0, i + 1))), F.lit(0))
+    kind = F.lower(F.regexp_extract(version, _PRE, 1))
+    rank = (F.when(kind == "", F.lit(0)).when(kind == "dev", F.lit(-4)).when(kind.startswith("a"), F.lit(-3))
+            .when(kind.startswith("b"), F.lit(-2)).otherwise(F.lit(-1)))
+    count = F.coalesce(F.regexp_extract(version, _PRE, 2).try_cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))
+    return F.when(version.isNotNull(), F.struct(F.filter(numbers, lambda n, i: i < used).alias("numbers"), rank.alias("rank"), count.alias("count")))
 
 
 def match_advisories(packages: DataFrame, advisories: DataFrame, keys: list[str]) -> DataFrame:
     """Packages with an affected version and the advisory: key columns, ``advisory``, ``item``.
 
-    ``packages`` has ``name`` and ``version``; ``advisories`` has ``advisory``, ``name``, ``introduced`` and ``fixed``
-    (null: never). Versions are judged once per distinct (package, version), and only the affected ones meet the
+    ``packages`` has ``name`` and ``version``; ``advisories`` has ``advisory``, ``name``, ``introduced`` (null: from
+    the first version on) and ``fixed`` (null: never). Versions are judged once per distinct (package, version), and only the affected ones meet the
     package rows again, with popular ones split."""
     p = packages.withColumn("_key", package_key(F.col("name")))
     known = advisories.select(package_key(F.col("name")).alias("_key"), "advisory",
@@ -73,7 +85,7 @@ def match_advisories(packages: DataFrame, advisories: DataFrame, keys: list[str]
     counted = key_counts(p, ["_key", "version"])
     versions = counted.select("_key", "version", version_parts(F.col("version")).alias("_v"))
     affected = (salted_join(versions, known, ["_key"], ["version"], ["advisory"])
-                .filter((F.col("_v") >= F.col("_from")) & (F.col("_to").isNull() | (F.col("_v") < F.col("_to"))))
+                .filter((F.col("_from").isNull() | (F.col("_v") >= F.col("_from"))) & (F.col("_to").isNull() | (F.col("_v") < F.col("_to"))))
                 .select("_key", "version", "advisory"))
     # one version of one package has few advisories, however many packages use it: only the package side can be hot
     hits = salted_join(p, affected, ["_key", "version"], keys, ["advisory"], left_counts=counted, split_right=False)

@@ -27,15 +27,15 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], left_spread:
     rows likewise, and each part of one side is copied to the parts of the other, so every pair meets exactly once
     and no task gets more than ``rows_per_salt`` rows of a key from one side. The hashes are of row content, so a task
     that runs again does the same. Keys below the limit join as usual. The list of hot keys has at most
-    ``(left rows + right rows) / rows_per_salt`` entries, which is what makes broadcasting it safe. Counts already at
+    ``(left rows + right rows) / rows_per_salt`` entries; whether it is broadcast is left to its size. Counts already at
     hand (the keys and ``_rows``) can be passed in. Without ``split_right`` only the left side is counted and split, for a
     right side that is known to have few rows per key."""
     by_left = _parts(key_counts(left, keys) if left_counts is None else left_counts, keys, rows_per_salt, "_l_parts")
     if split_right:
         by_right = _parts(key_counts(right, keys) if right_counts is None else right_counts, keys, rows_per_salt, "_r_parts")
-        hot = F.broadcast(by_left.join(by_right, keys, "full_outer"))
+        hot = by_left.join(by_right, keys, "full_outer")
     else:
-        hot = F.broadcast(by_left.withColumn("_r_parts", F.lit(1)))
+        hot = by_left.withColumn("_r_parts", F.lit(1))
     l_parts, r_parts = F.coalesce("_l_parts", F.lit(1)), F.coalesce("_r_parts", F.lit(1))
 
     def salted(df: DataFrame, own: str, own_parts: Column, spread: list[str], other: str, other_parts: Column) -> DataFrame:

@@ -48,8 +48,10 @@ def catalog_from_json(documents: DataFrame) -> Catalog:
     )
 
 
-def read_catalog_json(spark: SparkSession, path: str) -> Catalog:
-    return catalog_from_json(spark.read.schema(model.SERVICE_JSON_DDL).json(path, multiLine=True))
+def read_catalog_json(spark: SparkSession, path: str, one_per_file: bool = False) -> Catalog:
+    """Documents as ``write_catalog_json`` writes them, one on each line. ``one_per_file``: each file is one document over any
+    number of lines."""
+    return catalog_from_json(spark.read.schema(model.SERVICE_JSON_DDL).json(path, multiLine=one_per_file))
 
 
 def catalog_documents(catalog: Catalog) -> DataFrame:

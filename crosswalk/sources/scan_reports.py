@@ -150,7 +150,7 @@ def flatten_report(runs: DataFrame, tool: str, keys: list[str]) -> DataFrame:
 
 def classify_scan(runs: DataFrame, keys: list[str], timeout: int = 600) -> DataFrame:
     """Status of every tool run. Not installed and nothing examined are ``skipped``; a missing exit code means the
-    time ran out; exit codes other than 0 and 1, and output that cannot be read, are ``error``; never an implicit
+    time ran out; exit codes other than 0 and 1, and output that cannot be read, or of a tool without reader, are ``error``; never an implicit
     clean result."""
     parsed = F.coalesce(*[F.when(F.col("tool") == tool, parse_report(tool, F.col("stdout"))) for tool in FLATTENERS])
     staged = runs.withColumn("_r", parsed).withColumn("_err", last_line(F.col("stderr")))
@@ -158,11 +158,12 @@ def classify_scan(runs: DataFrame, keys: list[str], timeout: int = 600) -> DataF
     ran = F.col("installed") & F.col("returncode").isin(0, 1)
     state = F.col("_r.state")
     status = (F.when(~F.col("installed"), F.lit("skipped")).when(~F.coalesce(ran, F.lit(False)), F.lit("error"))
-              .when(state == "nothing", F.lit("skipped")).when(state == "broken", F.lit("error"))
+              .when(state == "nothing", F.lit("skipped")).when(state.isNull() | (state == "broken"), F.lit("error"))
               .when(F.size("_r.items") > 0, F.lit("findings")).otherwise(F.lit("clean")))
     detail = (F.when(~F.col("installed"), F.lit("not installed"))
               .when(F.col("returncode").isNull(), F.lit(f"timed out after {timeout}s"))
               .when(~F.col("returncode").isin(0, 1), F.format_string("exit %d: %s", "returncode", "_err"))
+              .when(state.isNull(), F.lit("unknown tool"))
               .when(state == "nothing", F.col("_r.detail"))
               .when(state == "broken", F.format_string("unreadable output (%s): %s", "_r.detail", "_err"))
               .otherwise(F.lit("")))

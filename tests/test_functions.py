@@ -50,7 +50,10 @@ def test_same_value(spark):
     rows = [("10.50", "10.5", "decimal", True), ("NaN", "NaN", "decimal", False), ("1", "true", "integer", False), (None, None, "string", True),
             ("a", None, "string", False), (None, "a", "string", False), ("2026-09-14T21:15:30", "2026-09-14 21:15:30", "datetime", True),
             ("2026-09-14T21:15:30Z", "2026-09-14T21:15:30", "datetime", False), ("2026-09-14T21:15:30Z", "2026-09-14T22:15:30+01:00", "string", True),
-            ("1e40", "1e40", "decimal", True), ("1", "1d", "decimal", False), ("0.1", "0.10000000000000000001", "decimal", True),
+            ("1e40", "1e40", "decimal", True), ("1", "1d", "decimal", False), ("0.1", "0.10000000000000000001", "decimal", False),
+            ("123456789012345678901234", "123456789012345678901235", "integer", False), ("1e400", "2e400", "decimal", False),
+            ("1e400", "10.0E399", "decimal", True), ("-0.0", "0", "decimal", True), ("-1", "1", "integer", False), (" +012.50 ", "1.25e1", "decimal", True),
+            ("1e-5", ".00001", "decimal", True), ("inf", "Infinity", "decimal", True), ("inf", "-inf", "decimal", False),
             ("true", "true", "boolean", True), ("2026-09-14T21:15:30", "junk", "datetime", False)]
     got = one(spark, rows, "e STRING, a STRING, t STRING, w BOOLEAN", "e", "a", "w", values.same_value(F.col("e"), F.col("a"), F.col("t")))
     assert [r for r in got if r[2] != r[3]] == []

@@ -104,3 +104,24 @@ def test_many_rules_run_in_passes(spark, monkeypatch):
     df = spark.createDataFrame([(1, "one two\nthree")], "id INT, text STRING")
     hits = scan.scan_rules(df, [("a", "one"), ("b", "two"), ("c", "three"), ("d", "four"), ("e", "e$")], ["id"]).collect()
     assert sorted((r["rule"], r["line"]) for r in hits) == [("a", 1), ("b", 1), ("c", 2), ("e", 2)]
+
+
+def test_versions_of_all_shapes(spark):
+    from pyspark.sql import functions as F
+
+    from crosswalk.operators import scan
+    packages = spark.createDataFrame([(i, "lib", v) for i, v in enumerate(
+        ["1.0", "1.0.0", "0.9", "1.0.0rc1", "2.0.0rc1", "2.0", "20240131000000000000", "1.10", "1.9-beta.2"])], "id int, name string, version string")
+    advisories = spark.createDataFrame([("A", "lib", "1.0.0", "2.0.0"), ("B", "lib", None, "1.0"), ("C", "lib", "20240130000000000000", None)],
+                                       "advisory string, name string, introduced string, fixed string")
+    found = {(r.version, r.advisory) for r in scan.match_advisories(packages, advisories, ["id"]).select(
+        F.element_at(F.split("item", "@"), 2).alias("version"), "advisory").collect()}
+    assert found == {("1.0", "A"), ("1.0.0", "A"), ("2.0.0rc1", "A"), ("1.10", "A"), ("1.9-beta.2", "A"), ("0.9", "B"), ("1.0.0rc1", "B"),
+                     ("20240131000000000000", "C")}
+
+
+def test_unknown_tool_is_never_clean(spark):
+    from crosswalk.sources.scan_reports import classify_scan
+    runs = spark.createDataFrame([(1, "newtool", True, 0, "{}", "")], "id int, tool string, installed boolean, returncode int, stdout string, stderr string")
+    row = classify_scan(runs, ["id"]).first()
+    assert (row.status, row.detail) == ("error", "unknown tool")
