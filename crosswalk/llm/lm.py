@@ -185,6 +185,21 @@ def score_tables(spark, model: Model, vector: np.ndarray) -> tuple[np.ndarray, n
     return one, two, total
 
 
+def most_frequent(counts: DataFrame) -> list[tuple[bytes, int]]:
+    """Words of at most ``LONGEST`` bytes by count, as many whole classes of counts (64 to each doubling) as have ``LISTED``
+    words together at most. The classes are counted first: a few thousand numbers reach the driver, then the words."""
+    short = counts.filter(F.length("w") <= LONGEST).withColumn("class", F.floor(F.log2("c") * 64))
+    lowest, seen = None, 0
+    for row in sorted(short.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["class"]):
+        seen += row.n
+        if seen > LISTED:
+            break
+        lowest = row["class"]
+    if lowest is None:
+        return []
+    return sorted(((bytes(r.w), r.c) for r in short.filter(F.col("class") >= lowest).collect()), key=lambda x: (-x[1], x[0]))
+
+
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
     """``key, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
@@ -194,7 +209,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: Se
     spark = docs.sparkSession
     counts = cut_lineage(training_counts(docs, key, text))
     total, distinct = (x or 0 for x in counts.agg(F.sum("c"), F.count(F.lit(1))).first())
-    listed = [(bytes(r.w), r.c) for r in counts.filter(F.length("w") <= LONGEST).orderBy(F.desc("c"), "w").limit(LISTED).collect()]
+    listed = most_frequent(counts)
     names = [w for w, _ in listed]
     vocabulary = ([END] if END in names else []) + [w for w in names if w != END]
     vocabulary = vocabulary[:settings.vocabulary]
