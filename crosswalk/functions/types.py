@@ -68,20 +68,35 @@ def type_compat(provider: Column, consumer: Column) -> Column:
 
 
 def round_half_even(value: Column, digits: int = 3) -> Column:
-    """Round a double as an exact binary value, ties to even.
-
-    Decimal rounding of the printed form moves ties such as 0.5375 (stored slightly below it) the wrong way.
-    In 2**-10..1 the value times 2**62 is a whole number, so the tie can be decided with exact decimals."""
-    scale = 10 ** digits
-    unit = 2 ** 62
-    whole = (value * F.lit(float(unit))).cast("bigint").cast("decimal(20,0)") * F.lit(scale).cast("decimal(6,0)")
-    unit_col = F.lit(str(unit)).cast("decimal(20,0)")
-    floor = F.floor(whole / unit_col).cast("bigint")
-    rest = whole - floor.cast("decimal(20,0)") * unit_col
-    half = F.lit(str(unit // 2)).cast("decimal(20,0)")
-    up = (rest > half) | ((rest == half) & (F.pmod(floor, F.lit(2)) == 1))
-    exact = (floor + F.when(up, 1).otherwise(0)).cast("double") / F.lit(float(scale))
-    return F.when((value >= F.lit(2.0 ** -10)) & (value <= F.lit(1.0)), exact).otherwise(F.bround(value, digits))
+    """Round a double as the exact binary value it is, ties to even, over the whole range.
+
+    Decimal rounding of the printed form moves ties such as 0.5375 (stored slightly below it) the wrong way. The value times
+    10**digits is held as a rounded product and its exact error (Dekker), so the distance to the nearest whole number is
+    compared with one half exactly. From 2**53 / 10**digits on the nearest double to the rounded value is the value itself."""
+    scale, halves = float(10 ** digits), 134217729.0
+    big = scale * halves
+    high = big - (big - scale)
+    low = scale - high
+
+    def named(x: Column, use) -> Column:
+        return F.get(F.transform(F.array(x), use), F.lit(0))
+
+    def split(v: Column) -> Column:
+        head = v * F.lit(halves) - (v * F.lit(halves) - v)
+        return F.struct(v.alias("v"), (v * F.lit(scale)).alias("product"), head.alias("head"), (v - head).alias("tail"))
+
+    def placed(s: Column) -> Column:
+        error = (s.head * F.lit(high) - s.product + s.head * F.lit(low) + s.tail * F.lit(high)) + s.tail * F.lit(low)
+        return F.struct(s.v.alias("v"), F.rint(s.product).alias("near"), (s.product - F.rint(s.product)).alias("off"), error.alias("error"))
+
+    def decided(s: Column) -> Column:
+        odd = F.pmod(s.near, F.lit(2.0)) == 1.0
+        above, below = F.lit(0.5) - s.off, F.lit(-0.5) - s.off
+        step = (F.when((s.error > above) | ((s.error == above) & odd), 1.0)
+                .when((s.error < below) | ((s.error == below) & odd), -1.0).otherwise(0.0))
+        return F.when(F.abs(s.v) >= F.lit(2.0 ** 53 / scale), s.v).otherwise((s.near + step) / F.lit(scale))
+
+    return named(value.cast("double"), lambda v: named(split(v), lambda s: named(placed(s), decided)))
 
 
 def render_type(depth: Column, simple: Column) -> Column:
@@ -218,7 +233,7 @@ def target_type(ctype: Column, ref_kind: Column) -> Column:
     depth = F.size(F.split(ctype, "list<")) - 1
     inner = F.regexp_replace(F.regexp_replace(ctype, "^(list<)+", ""), ">+$", "")
     simple = (F.when(inner.startswith("ref:"), F.when(ref_kind == "enum", F.lit("STRING"))
-                     .when(ref_kind.isNotNull(), F.concat(F.lit("STRUCT "), F.substring(inner, 5, 1000000)))
+                     .when(ref_kind.isNotNull(), F.concat(F.lit("STRUCT "), inner.substr(F.lit(5), F.length(inner))))
                      .otherwise(F.lit("STRING")))
               .otherwise(F.coalesce(_lookup(SPARK_TARGETS, inner), F.lit("STRING"))))
     return F.concat(F.repeat(F.lit("ARRAY<"), depth), simple, F.repeat(F.lit(">"), depth))
@@ -233,6 +248,14 @@ def spark_cast_type(ctype: str, source_type: str = "") -> str | None:
     return SPARK_TARGETS.get(ctype) if ctype not in ("object",) else None
 
 
+def empty_type(ctype: str, source_type: str = "") -> str:
+    """Spark type of a consumer field that nothing is mapped to."""
+    depth = ctype.count("list<")
+    inner = ctype[5 * depth:len(ctype) - depth]
+    simple = "DOUBLE" if inner == "decimal" else spark_cast_type(inner, source_type) or "STRING"
+    return "ARRAY<" * depth + simple + ">" * depth
+
+
 def canonical_spark(data_type: T.DataType, entity_name: str = "") -> str:
     """Canonical type of a Spark type; a struct is a reference to the entity ``entity_name``."""
     if isinstance(data_type, T.ArrayType):

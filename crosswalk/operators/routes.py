@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crosswalk.functions.paths import request_path, route_pattern, slash_count
@@ -17,8 +17,8 @@ def match_routes(requests: DataFrame, routes: DataFrame, keys: list[str], url: s
     """The first declared route with the method and a matching template for each request, null where none matches.
 
     ``routes`` has ``ep_ord``, ``method``, ``path``, ``handler``. Up to ``inline_limit`` routes become literal patterns,
-    each compiled once, in one projection (also on a stream). More are joined on method and number of slashes: a
-    template variable never contains one, so that is an exact key."""
+    each compiled once, in one projection (also on a stream). More are joined, with the same result. Keys only pass
+    through: they may repeat or be null."""
     few = routes.select("ep_ord", "method", "path", "handler").orderBy("ep_ord").limit(inline_limit + 1).collect()
     path = request_path(F.col(url))
     if len(few) <= inline_limit:
@@ -31,17 +31,36 @@ def match_routes(requests: DataFrame, routes: DataFrame, keys: list[str], url: s
     return match_many_routes(requests, routes, keys, url, method)
 
 
+def _segment(path: Column, i: int) -> Column:
+    return F.coalesce(F.get(F.split(path, "/", -1), F.lit(i)), F.lit(""))
+
+
 def match_many_routes(requests: DataFrame, routes: DataFrame, keys: list[str], url: str = "url",
                       method: str = "method") -> DataFrame:
-    """``match_routes`` for a large route table. ``keys`` have to identify a request."""
-    slashes = slash_count(F.col("path"))
+    """``match_routes`` for a large route table, on batches. Distinct requests meet the routes on method, number of slashes
+    and two segments, which a template has as they are or as anything; templates with signs that mean something in
+    a pattern are asked for every path of their method."""
+    anything = F.lit("*")
+
+    def key(i: int) -> Column:
+        part = _segment(F.col("path"), i)
+        return F.when(part.contains("{"), anything).otherwise(F.concat(F.lit("="), part))
+
+    def place(n: Column, one: Column, two: Column) -> Column:
+        return F.struct(n.cast("int").alias("n"), one.alias("one"), two.alias("two"))
+
+    slashes, anywhere = slash_count(F.col("path")), place(F.lit(-1), anything, anything)
+    plain = F.col("path").rlike(r"^(?:[A-Za-z0-9_~/-]|\{\w+\})*$")
     # the optional final slash adds one to what the template itself has
-    keyed = routes.select(F.col("method").alias("_m"), F.explode(F.array(slashes, slashes + 1)).alias("_n"),
-                          route_pattern(F.col("path")).alias("_rx"),
+    places = F.when(plain, F.array(place(slashes, key(1), key(2)), place(slashes + 1, key(1), key(2)))).otherwise(F.array(anywhere))
+    keyed = routes.select(F.col("method").alias("_m"), F.explode(places).alias("_at"), route_pattern(F.col("path")).alias("_rx"),
                           F.struct(F.col("ep_ord").cast("bigint").alias("ep_ord"), "path", "handler").alias("_r"))
-    asked = requests.withColumn("_path", request_path(F.col(url)))
-    hits = (asked.select(*keys, F.col(method).alias("_m"), "_path", slash_count(F.col("_path")).alias("_n"))
-            .join(keyed, ["_m", "_n"]).filter(F.expr("_path RLIKE _rx"))
-            .groupBy(*keys).agg(F.min("_r").alias("_hit")))
-    return asked.select(*keys).join(hits, keys, "left").select(
+    asked = requests.select(*keys, F.col(method).alias("_m"), request_path(F.col(url)).alias("_path"))
+    own = [F.concat(F.lit("="), _segment(F.col("_path"), i)) for i in (1, 2)]
+    n = slash_count(F.col("_path"))
+    asked_at = F.array(*[place(n, one, two) for one in (own[0], anything) for two in (own[1], anything)], anywhere)
+    hits = (asked.filter(F.col("_m").isNotNull() & F.col("_path").isNotNull()).select("_m", "_path").distinct()
+            .withColumn("_at", F.explode(asked_at)).join(keyed, ["_m", "_at"]).filter(F.expr("_path RLIKE _rx"))
+            .groupBy("_m", "_path").agg(F.min("_r").alias("_hit")))
+    return asked.join(hits, ["_m", "_path"], "left").select(
         *keys, "_hit.ep_ord", F.col("_hit.path").alias("route"), "_hit.handler")

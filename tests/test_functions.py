@@ -43,7 +43,18 @@ def test_type_compat_resolves_only_the_provider(spark):
 def test_round_half_even_is_exact(spark):
     numbers = [k / 10000 for k in range(0, 10001)]
     got = one(spark, [(x,) for x in numbers], "x DOUBLE", "x", types.round_half_even(F.col("x")))
-    assert all(r == round(x, 3) for x, r in got if x >= 2 ** -10)
+    assert all(r == round(x, 3) for x, r in got)
+
+
+def test_round_half_even_over_the_whole_range(spark):
+    import random
+    rng = random.Random(5)
+    numbers = [0.0005, 0.0015, 2.45, 12.35, -2.5, 1e300, -1e-300, 4503599627370.4965, 8796093022207.9995] + [
+        rng.choice([-1, 1]) * rng.randint(0, 2 ** 53) * 2.0 ** rng.randint(-80, 20) for _ in range(3000)] + [
+        (k + 0.5) / 1000 for k in range(-3000, 3000)] + [k / 16 for k in range(-4000, 4000)]
+    for digits in (1, 3):
+        got = one(spark, [(x,) for x in numbers], "x DOUBLE", "x", types.round_half_even(F.col("x"), digits))
+        assert [(x, r) for x, r in got if r != round(x, digits)] == []
 
 
 def test_same_value(spark):

@@ -88,6 +88,10 @@ def test_both_ways_of_route_matching_agree(spark):
     requests = spark.createDataFrame([(i, *u) for i, u in enumerate(urls)], "id INT, method STRING, url STRING")
     few = {r["id"]: r["handler"] for r in routes.match_routes(requests, declared, ["id"]).collect()}
     many = {r["id"]: r["handler"] for r in routes.match_routes(requests, declared, ["id"], inline_limit=2).collect()}
+    for limit in (2, 256):  # repeated and null keys pass through
+        again = requests.withColumn("id", F.expr("nullif(id % 2, 1)"))
+        rows = [r["handler"] for r in routes.match_routes(again, declared, ["id"], inline_limit=limit).collect()]
+        assert sorted(map(str, rows)) == sorted(map(str, few.values()))
     assert few == many == {0: "one", 1: "one", 2: None, 3: "slash", 4: "slash", 5: None, 6: "two", 7: None, 8: "root", 9: None}
 
 
@@ -125,3 +129,24 @@ def test_unknown_tool_is_never_clean(spark):
     runs = spark.createDataFrame([(1, "newtool", True, 0, "{}", "")], "id int, tool string, installed boolean, returncode int, stdout string, stderr string")
     row = classify_scan(runs, ["id"]).first()
     assert (row.status, row.detail) == ("error", "unknown tool")
+
+
+def test_decimals_keep_their_digits_and_lists_their_type(spark):
+    fields = [{"name": n, "type": t, "source_type": ""} for n, t in (("a", "decimal"), ("b", "decimal"), ("c", "decimal"), ("d", "list<decimal>"))]
+    df = spark.createDataFrame([(1e25, "1.2345678901234567e-5")], "x DOUBLE, y STRING").withColumn("z", F.expr("CAST(1.23 AS DECIMAL(30,20))"))
+    out = apply.apply_mapping(df, [("a", "x"), ("b", "y"), ("c", "z")], fields)
+    assert out.first().a == 1e25 and out.first().b == 1.2345678901234567e-5 and str(out.first().c).startswith("1.23")
+    assert out.schema["d"].dataType.simpleString() == "array<double>"
+
+
+def test_wire_records_by_snake_name_and_as_deep_as_they_are(spark):
+    def field(name, wire, ctype):
+        return {"name": name, "json_name": wire, "type": ctype}
+    catalog = {"E0": ("class", [field("shipCity", "ship-city", "string"), field("next", "next", "ref:E1")])}
+    for i in range(1, 6):
+        catalog[f"E{i}"] = ("class", [field("next", "next", f"ref:E{i + 1}")])
+    catalog["E6"] = ("class", [field("leafValue", "leafValue", "integer"), field("back", "back", "ref:E0")])
+    body = '{"ship_city": "Rome", "next": ' + '{"next": ' * 5 + '{"leafValue": 7, "back": {"a": 1}}' + "}" * 6
+    row = apply.parse_dto(spark.createDataFrame([(body,)], "body STRING"), "body", "E0", catalog).select(
+        "ship_city", "next.next.next.next.next.next.leaf_value", "next.next.next.next.next.next.back").first()
+    assert tuple(row) == ("Rome", 7, '{"a":1}')

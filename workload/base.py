@@ -193,14 +193,8 @@ def sql_compat(p: str, c: str) -> str:
 
 
 def sql_round3(x: str) -> str:
-    """Ties to even on the exact binary value of a double in 2**-10..1."""
-    unit = 2 ** 62
-    whole = f"((({x}) * {float(unit)}::DOUBLE)::HUGEINT * 1000)"
-    floor = f"({whole} // {unit}::HUGEINT)"
-    rest = f"({whole} % {unit}::HUGEINT)"
-    return (f"CASE WHEN ({x}) >= 0.0009765625::DOUBLE AND ({x}) <= 1.0::DOUBLE THEN ({floor} + CASE WHEN {rest} > {unit // 2}::HUGEINT "
-            f"OR ({rest} = {unit // 2}::HUGEINT AND {floor} % 2 = 1) THEN 1 ELSE 0 END)::DOUBLE / 1000.0::DOUBLE "
-            f"ELSE round_even({x}, 3) END")
+    """Printing with three digits rounds the exact binary value, ties to even."""
+    return f"printf('%.3f', ({x})::DOUBLE)::DOUBLE"
 
 
 # Every field pair of the given scope, scored one by one, with nothing left out by keys.
