@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosswalk.llm.common import fresh_folder
+from crosswalk.llm.common import fresh_folder, map_rows
 from crosswalk.llm.tokens import word_encoder
 
 #: Fills the last sequence of a partition; no id of a vocabulary of fewer than 65,535 entries.
@@ -81,54 +81,74 @@ def _sequences(batches: Iterator[pa.RecordBatch], path: str, length: int) -> Ite
         yield bytes(waiting) + PAD.to_bytes(2, "little") * ((size - len(waiting)) // 2)
 
 
+def _codec() -> pa.Codec:
+    return pa.Codec("zstd", compression_level=3)
+
+
 def write_shards(docs: DataFrame, path: str, folder: str, length: int = 1024, per_shard: int = 8192, key: int = 42,
                  text: str = "text") -> int:
     """Writes the ids of all texts (each followed by id 1) to ``folder``/shard=s/ and returns the number N of sequences.
 
-    A record is ``length`` ids as unsigned 16-bit little-endian numbers and one line feed. The texts are read twice, once to
-    count sequences per partition, once to write; the second reading checks that it finds what the first one found, so a
-    source that is not read in the same order twice is refused, never written wrongly. Two numbers per partition
-    reach the driver. Null and empty texts are one end id. An empty table gives no shards and 0."""
+    A record is ``length`` ids as unsigned 16-bit little-endian numbers and one line feed. The texts are encoded once, into a
+    table of sequences in the shared folder: slots need N, and a table gives the same order however often a lost executor
+    makes it be read. One count per partition reaches the driver. On the way to its shard each record is compressed by
+    itself; one task holds one shard. Null and empty texts are one end id. An empty table gives no shards and 0."""
     spark = docs.sparkSession
-    texts = docs.select(text)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, crc = 0, 0
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n, rows = TaskContext.get().partitionId(), 0, []
+
+        def batch_of() -> pa.RecordBatch:
+            at = np.arange(n - len(rows), n)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), part, np.int32)), pa.array(at), pa.array(rows, pa.binary())],
+                                              ["part", "n", "record"])
         for sequence in _sequences(batches, path, length):
-            n, crc = n + 1, zlib.crc32(sequence, crc)
-        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (TaskContext.get().partitionId(), n, crc)],
-                                         ["part", "n", "crc"])
-    counted = sorted(tuple(r) for r in texts.mapInArrow(count, "part long, n long, crc long").collect())
+            rows.append(sequence)
+            n += 1
+            if len(rows) == 1024:
+                yield batch_of()
+                rows = []
+        if rows:
+            yield batch_of()
+    stored = fresh_folder(spark, "sequences")
+    (docs.select(text).mapInArrow(encode, "part int, n long, record binary")
+     .write.option("compression", "zstd").parquet(stored))
+    sequences = spark.read.schema("part int, n long, record binary").parquet(stored)
     firsts, total = {}, 0
-    for part, n, crc in counted:
-        firsts[part] = (total, n, crc)
+    for part, n in sorted(tuple(r) for r in sequences.groupBy("part").count().collect()):
+        firsts[part] = total
         total += n
     if not total:
         return 0
     where = spark.sparkContext.broadcast(firsts)
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, expected, expected_crc = where.value[TaskContext.get().partitionId()]
-        n, crc, rows = 0, 0, []
+    def place(batch: pa.RecordBatch) -> pa.RecordBatch:
+        codec = _codec()
+        first = np.fromiter(map(where.value.__getitem__, batch.column(0).to_pylist()), np.int64, batch.num_rows)
+        to = slots(first + batch.column(1).to_numpy(), total, key)
+        records = [codec.compress(r.as_buffer(), asbytes=True) for r in batch.column(2)]
+        return pa.RecordBatch.from_arrays([pa.array((to // per_shard).astype(np.int32)), pa.array(to), pa.array(records, pa.binary())],
+                                          ["shard", "slot", "record"])
 
-        def batch_of(rows: list[bytes], upto: int) -> pa.RecordBatch:
-            to = slots(np.arange(first + upto - len(rows), first + upto), total, key)
-            return pa.RecordBatch.from_arrays([pa.array((to // per_shard).astype(np.int32)), pa.array(to),
-                                               pa.array(rows, pa.binary())], ["shard", "slot", "record"])
-        for sequence in _sequences(batches, path, length):
-            n, crc = n + 1, zlib.crc32(sequence, crc)
-            rows.append(sequence)
-            if len(rows) == 1024:
-                yield batch_of(rows, n)
-                rows = []
-        if (n, crc) != (expected, expected_crc):
-            raise RuntimeError("the source was read in another order than before; write it to a table first")
-        if rows:
-            yield batch_of(rows, n)
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec, shard, lines = _codec(), None, []
 
-    placed = texts.mapInArrow(place, "shard int, slot long, record binary")
-    (placed.repartitionById((total - 1) // per_shard + 1, F.col("shard")).sortWithinPartitions("shard", "slot")
-     .select(F.col("record").cast("string").alias("value"), "shard")
+        def whole() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([b"\n".join(lines)], pa.binary()), pa.array([shard], pa.int32())], ["value", "shard"])
+        for batch in batches:
+            for s, r in zip(batch.column(0).to_pylist(), batch.column(2)):
+                if lines and shard != s:
+                    yield whole()
+                    lines = []
+                shard = s
+                lines.append(codec.decompress(r.as_buffer(), 2 * length, asbytes=True))
+        if lines:
+            yield whole()
+
+    shards = (total - 1) // per_shard + 1
+    placed = map_rows(sequences, place, "shard int, slot long, record binary")
+    (placed.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "slot").mapInArrow(join, "value binary, shard int")
+     .select(F.col("value").cast("string").alias("value"), "shard")
      .write.partitionBy("shard").option("compression", "none").text(folder))
     return total
 
