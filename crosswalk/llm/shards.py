@@ -130,25 +130,15 @@ def write_shards(docs: DataFrame, path: str, folder: str, length: int = 1024, pe
         return pa.RecordBatch.from_arrays([pa.array((to // per_shard).astype(np.int32)), pa.array(to), pa.array(records, pa.binary())],
                                           ["shard", "slot", "record"])
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, shard, lines = _codec(), None, []
+    def restore(batch: pa.RecordBatch) -> pa.RecordBatch:
+        codec = _codec()
+        records = [codec.decompress(r.as_buffer(), 2 * length, asbytes=True) for r in batch.column(2)]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(records, pa.binary())], ["shard", "slot", "record"])
 
-        def whole() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([b"\n".join(lines)], pa.binary()), pa.array([shard], pa.int32())], ["value", "shard"])
-        for batch in batches:
-            for s, r in zip(batch.column(0).to_pylist(), batch.column(2)):
-                if lines and shard != s:
-                    yield whole()
-                    lines = []
-                shard = s
-                lines.append(codec.decompress(r.as_buffer(), 2 * length, asbytes=True))
-        if lines:
-            yield whole()
-
-    shards = (total - 1) // per_shard + 1
-    placed = map_rows(sequences, place, "shard int, slot long, record binary")
-    (placed.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "slot").mapInArrow(join, "value binary, shard int")
-     .select(F.col("value").cast("string").alias("value"), "shard")
+    form = "shard int, slot long, record binary"
+    dealt = map_rows(sequences, place, form).repartitionById((total - 1) // per_shard + 1, F.col("shard"))
+    (map_rows(dealt, restore, form).sortWithinPartitions("shard", "slot")
+     .select(F.col("record").cast("string").alias("value"), "shard")
      .write.partitionBy("shard").option("compression", "none").text(folder))
     return total
 
