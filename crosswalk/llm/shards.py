@@ -77,6 +77,7 @@ def _sequences(batches: Iterator[pa.RecordBatch], path: str, length: int) -> Ite
                 for at in range(0, whole, size):
                     yield bytes(waiting[at:at + size])
                 del waiting[:whole]
+        pa.default_memory_pool().release_unused()
     if waiting:
         yield bytes(waiting) + PAD.to_bytes(2, "little") * ((size - len(waiting)) // 2)
 
@@ -146,25 +147,23 @@ def write_shards(docs: DataFrame, path: str, folder: str, length: int = 1024, pe
 def read_shards(spark, folder: str, total: int, length: int = 1024, per_shard: int = 8192, key: int = 42) -> DataFrame:
     """One row per sequence as it lies in the shards: ``slot, shard, byte_offset, sequence_index, n_tokens, ids_crc32``."""
     stride = 2 * length + 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for shard, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = content.as_buffer()
-                n = data.size // stride
-                records = np.frombuffer(data, np.uint8)[:n * stride].reshape(n, stride)[:, :-1]
-                ids = np.ascontiguousarray(records).view("<u2")
-                slot = np.arange(n, dtype=np.int64) + shard * per_shard
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(slot), pa.array(np.full(n, shard, np.int64)), pa.array(np.arange(n, dtype=np.int64) * stride),
-                    pa.array(indexes(slot, total, key)), pa.array((ids != PAD).sum(axis=1).astype(np.int64)),
-                    pa.array([zlib.crc32(r.tobytes()) for r in records], pa.int64())],
-                    ["slot", "shard", "byte_offset", "sequence_index", "n_tokens", "ids_crc32"])
     schema = "slot long, shard long, byte_offset long, sequence_index long, n_tokens long, ids_crc32 long"
     if not total:
         return spark.createDataFrame([], schema)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        shard, at, crc = (batch.column(i).to_numpy() for i in (0, 1, 3))
+        slot = shard * per_shard + at
+        tokens = [int((np.frombuffer(r.as_buffer(), "<u2") != PAD).sum()) for r in batch.column(2)]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (slot, shard, at * stride, indexes(slot, total, key), tokens, crc)],
+                                          ["slot", "shard", "byte_offset", "sequence_index", "n_tokens", "ids_crc32"])
     files = spark.read.format("binaryFile").load(f"{folder}/shard=*")
-    return files.select(F.regexp_extract("path", r"shard=(\d+)", 1).cast("long").alias("shard"), "content").mapInArrow(run, schema)
+    places = F.sequence(F.lit(0), (F.col("length") / stride).cast("int") - 1)
+    records = (files.select(F.regexp_extract("path", r"shard=(\d+)", 1).cast("long").alias("shard"), "content", F.explode(places).alias("at"))
+               .select("shard", F.col("at").cast("long").alias("at"),
+                       F.expr(f"substring(content, at * {stride} + 1, {stride - 1})").alias("record"))
+               .withColumn("crc", F.crc32("record")))
+    return map_rows(records, run, schema)
 
 
 def materialise(docs: DataFrame, path: str, length: int = 1024, per_shard: int = 8192, key: int = 42, text: str = "text") -> DataFrame:
