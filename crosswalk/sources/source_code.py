@@ -21,10 +21,13 @@ SUFFIXES = {"java": ".java", "python": ".py"}
 MODEL_BASES = ["BaseModel", "SQLModel"]
 ENUM_BASES = ["Enum", "StrEnum", "IntEnum"]
 CONTROLLER_MARKS = ["RestController", "Controller"]
+PYTHON_VERBS = ["get", "post", "put", "patch", "delete"]
+WIRE_KEYWORDS = ["alias", "serialization_alias"]
 
 RAW_COLUMNS = {"row_kind": "string", "name": "string", "owner": "string", "type_text": "string", "wire": "string",
                "flag": "boolean", "line": "int", "method": "string", "path": "string", "java_kind": "string",
-               "bases": "array<string>", "marks": "array<string>", "values": "array<string>"}
+               "bases": "array<string>", "marks": "array<string>", "values": "array<string>", "callee": "string",
+               "keys": "array<string>", "texts": "array<string>", "constants": "array<string>"}
 RAW_DDL = "service STRING, file STRING, seq INT, " + ", ".join(f"`{c}` {t}" for c, t in RAW_COLUMNS.items())
 
 ROWS_PER_BATCH = 10_000
@@ -132,10 +135,24 @@ def _finish(raw: DataFrame, entities: DataFrame, fields: DataFrame, endpoints: D
     )
 
 
+def _last_part(dotted: Column) -> Column:
+    return F.element_at(F.split(dotted, r"\."), -1)
+
+
+def _argument(keywords: list[str], what: str) -> Column:
+    """The first argument under one of the keywords that has a ``what`` (``texts`` or ``constants``)."""
+    fitting = F.filter(F.arrays_zip("keys", what), lambda a: a["keys"].isin(keywords) & a[what].isNotNull())
+    return F.get(fitting, F.lit(0))[what]
+
+
 def extract_python_catalog(files: DataFrame) -> ExtractedCatalog:
     """Models, dataclasses, enums and routes of Python sources."""
     raw = cut_lineage(declarations(files, "python"))  # read by every table, parsed once
-    classes = raw.filter(F.col("row_kind") == "class")
+    constants = (raw.filter(F.col("row_kind") == "constant").groupBy("service", "file", F.col("owner").alias("name"))
+                 .agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "name"))), lambda c: c["name"]).alias("values")))
+    classes = (raw.filter(F.col("row_kind") == "class").drop("values")
+               .withColumns({c: F.transform(c, _last_part) for c in ("bases", "marks")})
+               .join(constants, ["service", "file", "name"], "left"))
     known = classes.select("service", "name").distinct()
     bases = classes.select("service", "file", "seq", F.explode("bases").alias("name"))
     derived = bases.join(known, ["service", "name"], "left_semi").select("service", "file", "seq").distinct()
@@ -149,11 +166,19 @@ def extract_python_catalog(files: DataFrame) -> ExtractedCatalog:
     owners = entities.filter(F.col("kind") == "class").select("service", "file", F.col("name").alias("owner")).distinct()
     visible = raw.filter((F.col("row_kind") == "field") & ~F.col("name").startswith("_")
                          & ~F.col("type_text").rlike(r"^([\w.]+\.)?ClassVar$"))
-    fields = (resolve_refs(visible.join(owners, ["service", "file", "owner"], "left_semi"), parts, known, "type")
+    wired = visible.withColumn("wire", F.when(_last_part(F.col("callee")) == "Field", _argument(WIRE_KEYWORDS, "constants")))
+    fields = (resolve_refs(wired.join(owners, ["service", "file", "owner"], "left_semi"), parts, known, "type")
               .withColumn("optional", F.col("_parts.optional") | F.coalesce("flag", F.lit(False))))
-    endpoints = resolve_refs(raw.filter(F.col("row_kind") == "endpoint"), parts, known, "_type").withColumn(
+    verb = _last_part(F.col("callee"))
+    unnamed = F.when(F.get("keys", F.lit(0)) == "", F.get("constants", F.lit(0)))
+    routes = (raw.filter((F.col("row_kind") == "decorator") & F.col("callee").contains(".") & verb.isin(PYTHON_VERBS))
+              .withColumns({"method": F.upper(verb), "path": F.coalesce(unnamed, F.lit("/")),
+                            "type_text": F.coalesce(_argument(["response_model"], "texts"), "type_text")}))
+    endpoints = resolve_refs(routes, parts, known, "_type").withColumn(
         "type", F.when(F.col("type_text").isNotNull(), F.col("_type"))).withColumn("full_path", F.col("path"))
-    params = resolve_refs(raw.filter(F.col("row_kind") == "param"), parts, known, "type").withColumn(
+    handled = (raw.filter(F.col("row_kind") == "argument").drop("path")
+               .join(routes.select("service", "file", "owner", "line", "path"), ["service", "file", "owner", "line"]))
+    params = resolve_refs(handled, parts, known, "type").withColumn(
         "location", paths.param_location(F.col("name"), F.col("type"), F.col("path")))
     return _finish(raw, entities, fields, endpoints, params)
 
