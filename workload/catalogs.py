@@ -58,15 +58,15 @@ def service_counts(spark, sf):
 
 
 # a source tree per customer, with files named by its orders
-_TREE = "CASE o_orderkey % 6 WHEN 0 THEN concat('src/A', o_orderkey, '.java') WHEN 1 THEN concat('app/b', o_orderkey, '.py') WHEN 2 THEN 'requirements.txt' WHEN 3 THEN 'docs/pom.xml' ELSE concat('web/', o_orderkey, '.ts') END"
+_TREE = "CASE o_custkey % 4 + o_orderkey % 3 WHEN 0 THEN concat('src/A', o_orderkey, '.java') WHEN 1 THEN concat('app/b', o_orderkey, '.py') WHEN 2 THEN 'requirements.txt' WHEN 3 THEN 'docs/pom.xml' ELSE concat('web/', o_orderkey, '.ts') END"
 
 
-@query("detect_language", f"""WITH f AS (SELECT o_custkey AS root, {_TREE} AS path FROM orders WHERE o_orderkey % 5 = 0 OR o_custkey % 3 = 0),
+@query("detect_language", f"""WITH f AS (SELECT o_custkey AS root, {_TREE} AS path FROM orders),
 g AS (SELECT root, bool_or(path LIKE '%.java' OR path IN ('pom.xml', 'build.gradle')) AS j, bool_or(path LIKE '%.py' OR path IN ('pyproject.toml', 'requirements.txt')) AS p FROM f GROUP BY ALL)
 SELECT root, CASE WHEN j THEN 'java' WHEN p THEN 'python' END AS language,
 CASE WHEN NOT j AND NOT p THEN 'no supported language found in ' || root || ' (supported: java, python)' END AS error FROM g""")
 def detect_language(spark, sf):
-    files = table(spark, sf, "orders").filter("o_orderkey % 5 = 0 OR o_custkey % 3 = 0").select(
+    files = table(spark, sf, "orders").select(
         F.col("o_custkey").cast("string").alias("root"), F.expr(_TREE).alias("path"))
     return cat.detect_language(files).withColumn("root", F.col("root").cast("bigint"))
 

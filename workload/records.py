@@ -306,16 +306,17 @@ def scan_rules(spark, sf):
     return scan.scan_rules(table(spark, sf, "documents").select("doc_id", "text"), RULES, ["doc_id"])
 
 
-# packages: one per line item, versions out of its numbers; advisories: one per part name
-_PKG = {"name": "replace(p_name, ' ', CASE WHEN l_orderkey % 2 = 0 THEN '_' ELSE '.' END)",
+# packages: one per line item, versions out of its numbers; advisories: one per part
+_RANGE = "cast(floor(p_partkey / 97) AS INT)"  # a name with its range of parts, so that results grow with the tables
+_PKG = {"name": f"concat(replace(p_name, ' ', CASE WHEN l_orderkey % 2 = 0 THEN '_' ELSE '.' END), '-', {_RANGE})",
         "version": "concat(l_linenumber, '.', cast(l_quantity AS INT), '.', l_suppkey % 10)"}
 _ADV = "concat('ADV-', p_partkey)"
 
 
 @query("match_advisories", f"""WITH pkgs AS (SELECT l_orderkey, l_linenumber, l_partkey, {_PKG['name']} AS name, {_PKG['version']} AS version
 FROM lineitem JOIN part ON l_partkey = p_partkey),
-adv AS (SELECT {_ADV} AS advisory, upper(replace(p_name, ' ', '-')) AS name, [(p_size % 5) + 1, p_size, 0] AS f,
-CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE [(p_size % 5) + 1, p_size + 3, 5] END AS t FROM part WHERE p_partkey % 97 = 0)
+adv AS (SELECT {_ADV} AS advisory, upper(concat(replace(p_name, ' ', '-'), '-', {_RANGE})) AS name, [(p_size % 5) + 1, p_size, 0] AS f,
+CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE [(p_size % 5) + 1, p_size + 3, 5] END AS t FROM part)
 SELECT l_orderkey, l_linenumber, l_partkey, advisory, advisory || ' ' || p.name || '@' || version AS item FROM pkgs p JOIN adv a
 ON lower(regexp_replace(p.name, '[-_.]+', '-', 'g')) = lower(a.name)
 AND list_transform(string_split(version, '.'), lambda x: x::INT) >= f AND (t IS NULL OR list_transform(string_split(version, '.'), lambda x: x::INT) < t)""")
@@ -323,8 +324,8 @@ def match_advisories(spark, sf):
     part = table(spark, sf, "part")
     pkgs = table(spark, sf, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(
         "l_orderkey", "l_linenumber", "l_partkey", *[F.expr(t).alias(n) for n, t in _PKG.items()])
-    adv = part.filter("p_partkey % 97 = 0").select(
-        F.expr(_ADV).alias("advisory"), F.expr("upper(replace(p_name, ' ', '-'))").alias("name"),
+    adv = part.select(
+        F.expr(_ADV).alias("advisory"), F.expr(f"upper(concat(replace(p_name, ' ', '-'), '-', {_RANGE}))").alias("name"),
         F.expr("concat(p_size % 5 + 1, '.', p_size, '.0')").alias("introduced"),
         F.expr("IF(p_partkey % 3 = 0, NULL, concat(p_size % 5 + 1, '.', p_size + 3, '.5'))").alias("fixed"))
     return scan.match_advisories(pkgs, adv, ["l_orderkey", "l_linenumber", "l_partkey"])
