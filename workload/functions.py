@@ -150,15 +150,16 @@ def round_half_even(spark, sf):
 _SEED = "list_sum(list_transform(string_split(name, ''), lambda ch: ord(ch)))::BIGINT"
 
 
-@query("sample_value", f"""WITH {CATALOG_SQL}, s AS (SELECT service, entity, name, type, {_SEED} AS seed FROM flds WHERE type NOT LIKE 'ref:%')
+@query("sample_value", f"""WITH {CATALOG_SQL}, s AS (SELECT f.*, k.kind, {_SEED.replace('name', 'f.name')} AS seed FROM flds f
+LEFT JOIN ents k ON k.service = f.service AND 'ref:' || k.entity = f.type WHERE coalesce(k.kind, 'enum') = 'enum')
 SELECT service, entity, name, CASE type WHEN 'string' THEN '"' || name || '-' || (seed % 97) || '"' WHEN 'list<string>' THEN '["' || name || '-' || (seed % 97) || '"]'
 WHEN 'integer' THEN (1000 + seed % 9000)::VARCHAR WHEN 'decimal' THEN ((seed % 10000 + 49)::DOUBLE / 100.0::DOUBLE)::VARCHAR
 WHEN 'datetime' THEN '"2026-09-' || lpad((1 + seed % 28)::VARCHAR, 2, '0') || 'T' || lpad((seed % 24)::VARCHAR, 2, '0') || ':15:30"'
-WHEN 'date' THEN '"2026-09-' || lpad((1 + seed % 28)::VARCHAR, 2, '0') || '"' END AS sample FROM s""")
+WHEN 'date' THEN '"2026-09-' || lpad((1 + seed % 28)::VARCHAR, 2, '0') || '"'
+ELSE CASE WHEN kind = 'enum' THEN '"' || split_part('PENDING,PAID,SHIPPED', ',', (seed % 3)::INT + 1) || '"' ELSE 'null' END END AS sample FROM s""")
 def sample_value(spark, sf):
     from crosswalk.operators.samples import sample_values
-    rows = fields(spark, sf).filter(~F.col("type").startswith("ref:"))
-    return sample_values(rows, entities(spark, sf)).select("service", "entity", "name", "sample")
+    return sample_values(fields(spark, sf), entities(spark, sf)).select("service", "entity", "name", "sample")
 
 
 @query("sample_entities", f"""WITH {CATALOG_SQL}, s AS (SELECT f.*, k.kind, {_SEED.replace('name', 'f.name')} AS seed FROM flds f
