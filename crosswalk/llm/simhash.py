@@ -8,6 +8,7 @@ discarded and only the survivors are compared bit by bit.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -15,7 +16,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, LongType, StructField, StructType
 
 from crosswalk.llm.common import cut_lineage, map_rows, with_bytes
 
@@ -190,10 +192,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
         key, "fingerprint", "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """One row of each component, one of its smallest key. Rows without key stay. Keys are looked at first: only where some
-    are repeated do rows have to be told apart by fingerprint; of those that are left the least by the other columns stays."""
-    found = cut_lineage(near_duplicates(docs.filter(F.col(key).isNotNull()), key, text, shingle))
+def keep_rows(docs: DataFrame, found: DataFrame, key: str, text: str, name: Callable[[bytes], object], column: str,
+              kind: DataType) -> DataFrame:
+    """One row of each component of ``found`` (``key``, ``column``, ``component_id``), one of its smallest key. ``column`` holds
+    what ``name`` says of a text. Rows without key stay. Keys are looked at first: only where some are repeated do rows have to be
+    told apart by that name; of those that are left the least by the other columns stays."""
     if found.groupBy(key).count().filter("count > 1").isEmpty():
         gone = found.filter(F.col(key) != F.col("component_id")).select(key)
         return docs.join(gone, key, "left_anti").select(*docs.columns)
@@ -201,12 +204,18 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     at = docs.columns.index(text)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        prints = np.fromiter((fingerprint(t, shingle) for t in with_bytes(batch.column(0).field(at))), np.uint64, batch.num_rows)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["__own", "__print"])
+        names = pa.array([name(t) for t in with_bytes(batch.column(0).field(at))], to_arrow_type(kind))
+        return pa.RecordBatch.from_arrays([batch.column(0), names], ["__own", "__print"])
     rows = map_rows(docs.filter(F.col(key).isNotNull()).select(own), run, StructType(
-        [StructField("__own", docs.schema), StructField("__print", LongType())]))
+        [StructField("__own", docs.schema), StructField("__print", kind)]))
     stay = found.filter(F.col(key) == F.col("component_id")).select(
-        F.col(key).alias("__key"), F.col("fingerprint").alias("__print")).distinct()
+        F.col(key).alias("__key"), F.col(column).alias("__print")).distinct()
     kept = rows.withColumn("__key", F.col("__own")[key]).join(stay, ["__key", "__print"])
     ranked = kept.withColumn("__rank", F.row_number().over(Window.partitionBy("__key").orderBy("__own")))
     return ranked.filter("__rank = 1").select("__own.*").unionByName(docs.filter(F.col(key).isNull()))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
+    """One row of each component of fingerprints, one of its smallest key. Rows without key stay."""
+    found = cut_lineage(near_duplicates(docs.filter(F.col(key).isNotNull()), key, text, shingle))
+    return keep_rows(docs, found, key, text, lambda t: (fingerprint(t, shingle) + 2**63) % 2**64 - 2**63, "fingerprint", LongType())
