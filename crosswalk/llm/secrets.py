@@ -1,6 +1,6 @@
 """Secret scans: known shapes, and strings that a battery of randomness tests tells from ordinary text.
 
-A candidate is a run of characters of some encoding. Its encoding is inferred, and three tests look at it: chi-squared
+A candidate is a run of characters of some encoding. Its encoding is inferred from the classes of characters it has, and three tests look at it: chi-squared
 uniformity over the encoding's alphabet, the number of runs of one character class, and serial correlation. Evidence is the
 chance that ordinary text of that length shows as even a spread and as many runs. Short strings give weak evidence however
 random they are, and the false-discovery control works within each encoding and length class over all candidates of
@@ -35,10 +35,15 @@ class Encoding:
     changes: float
 
 
-#: In the order in which they are tried.
+#: In the order in which they are tried. Digits alone are the known shape of hex.
 ENCODINGS = (
+    Encoding("lower", r"^[a-z]+=*$", _LOWER, 0.7, 0.0),
+    Encoding("upper", r"^[A-Z]+=*$", _UPPER, 0.7, 0.0),
     Encoding("hex", r"^(?:[0-9a-f]+|[0-9A-F]+)$", _DIGITS + "abcdef", 0.6, 0.15),
     Encoding("base32", r"^[A-Z2-7]+=*$", _UPPER + "234567", 1.1, 0.15),
+    Encoding("base32lower", r"^[a-z2-7]+=*$", _LOWER + "234567", 1.1, 0.15),
+    Encoding("base36", r"^[A-Z0-9]+=*$", _UPPER + _DIGITS, 1.2, 0.15),
+    Encoding("base36lower", r"^[a-z0-9]+=*$", _LOWER + _DIGITS, 1.2, 0.15),
     Encoding("base62", r"^[A-Za-z0-9]+=*$", _UPPER + _LOWER + _DIGITS, 2.2, 0.15),
     Encoding("base64", r"^[A-Za-z0-9+/]+=*$", _UPPER + _LOWER + _DIGITS + "+/", 2.2, 0.15),
     Encoding("base64url", r"^[A-Za-z0-9_-]+=*$", _UPPER + _LOWER + _DIGITS + "-_", 2.2, 0.15),
@@ -98,7 +103,8 @@ def _phi(z: Column) -> Column:
 
 
 def _battery(token: Column, e: Encoding) -> Column:
-    """``z`` of the evidence against ordinary text (low: unlikely to be text), null where a test says it is not random."""
+    """``z`` of the evidence against ordinary text (low: unlikely to be text), null where a test says it is not random. An
+    alphabet of one class has no runs, so its evidence is the spread alone."""
     k = len(e.alphabet)
     body = F.rtrim(F.lower(token) if e.name == "hex" else token, F.lit("="))
     classes = F.translate(body, e.alphabet + "=", "".join(
@@ -113,6 +119,15 @@ def _battery(token: Column, e: Encoding) -> Column:
         even = (chi - (k - 1)) / F.sqrt(F.lit(2.0 * (k - 1)) * (n - 1) / n)
         spread = (chi - (k - 1) - (n - 1) * e.uneven) / F.sqrt(F.lit(2.0 * (k - 1)) + n * (4 * e.uneven))
 
+        def serial(v: Column) -> Column:
+            total = F.aggregate(v, F.lit(0.0), lambda a, y: a + y)
+            square = F.aggregate(v, F.lit(0.0), lambda a, y: a + y * y)
+            cross = F.aggregate(F.transform(v, lambda y, i: y * F.coalesce(F.get(v, i + 1), F.get(v, F.lit(0)))), F.lit(0.0),
+                                lambda a, y: a + y)
+            return let(F.array(total, square, cross), lambda p: F.when(
+                n * F.get(p, F.lit(1)) > F.pow(F.get(p, F.lit(0)), F.lit(2.0)),
+                ((n * F.get(p, F.lit(2)) - F.pow(F.get(p, F.lit(0)), F.lit(2.0)))
+                 / (n * F.get(p, F.lit(1)) - F.pow(F.get(p, F.lit(0)), F.lit(2.0))) + F.lit(1.0) / (n - 1)) * F.sqrt(n)))
         def change(s: Column) -> Column:
             kinds = ["d", "u", "l", "o"]
             both = [a + b for a in kinds for b in kinds if a != b]
@@ -123,31 +138,18 @@ def _battery(token: Column, e: Encoding) -> Column:
         shares = [sum(c.isdigit() for c in e.alphabet), sum(c.isupper() for c in e.alphabet),
                   sum(c.islower() for c in e.alphabet), sum(not c.isalnum() for c in e.alphabet)]
         q = 1 - sum((s / k) ** 2 for s in shares)
+        random = let(values, lambda v: let(serial(v), lambda s: s.isNotNull() & (F.abs(s) < NOT_RANDOM)))
+        if not q:
+            return F.when((F.abs(even) < NOT_RANDOM) & random, spread)
         changes = change(classes)
         runs = (changes - (n - 1) * q) / F.sqrt((n - 1) * (q * (1 - q)))
         texty = (F.lit(-1.0) * (changes - 0.5 - (n - 1) * e.changes)) / F.sqrt((n - 1) * (e.changes * (1 - e.changes)))
 
-        def serial(v: Column) -> Column:
-            total = F.aggregate(v, F.lit(0.0), lambda a, y: a + y)
-            square = F.aggregate(v, F.lit(0.0), lambda a, y: a + y * y)
-            cross = F.aggregate(F.transform(v, lambda y, i: y * F.coalesce(F.get(v, i + 1), F.get(v, F.lit(0)))), F.lit(0.0),
-                                lambda a, y: a + y)
-            return let(F.array(total, square, cross), lambda p: F.when(
-                n * F.get(p, F.lit(1)) > F.pow(F.get(p, F.lit(0)), F.lit(2.0)),
-                ((n * F.get(p, F.lit(2)) - F.pow(F.get(p, F.lit(0)), F.lit(2.0)))
-                 / (n * F.get(p, F.lit(1)) - F.pow(F.get(p, F.lit(0)), F.lit(2.0))) + F.lit(1.0) / (n - 1)) * F.sqrt(n)))
-        random = let(values, lambda v: let(serial(v), lambda s: s.isNotNull() & (F.abs(s) < NOT_RANDOM)))
         return F.when((F.abs(even) < NOT_RANDOM) & (F.abs(runs) < NOT_RANDOM) & random,
                       (spread + texty) / F.lit(2 ** 0.5))
     return let(body, tests)
 
 
-def _mixed(token: Column) -> Column:
-    """At least two of small letters, capitals and digits: what is of one class only is a word or a number."""
-    return (F.when(token.rlike("[a-z]"), 1).otherwise(0) + F.when(token.rlike("[A-Z]"), 1).otherwise(0)
-            + F.when(token.rlike("[0-9]"), 1).otherwise(0)) >= 2
-
-
 def candidates(text: Column) -> Column:
     """Runs of 16 or more characters of an encoding with their encoding, length class and evidence ``z``."""
     def judged(m: Column) -> Column:
@@ -159,8 +161,7 @@ def candidates(text: Column) -> Column:
         return F.struct(m.start.alias("start"), m.rank.alias("rank"), m.end.alias("end"), m.kind.alias("kind"),
                         F.concat_ws("-", name, F.floor(F.log2(F.length(m.found)))).alias("stratum"),
                         F.greatest(F.lit(_LOWEST), F.least(F.lit(5.0), z)).alias("z"))
-    found = F.filter(matches(text, CANDIDATE, RANDOM, len(SHAPES)), lambda m: _mixed(m.found))
-    return F.transform(found, judged)
+    return F.transform(matches(text, CANDIDATE, RANDOM, len(SHAPES)), judged)
 
 
 def scan(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
@@ -175,7 +176,7 @@ def thresholds(scanned: DataFrame, false_discoveries: float = FALSE_DISCOVERIES)
     """For each encoding and length class the largest ``z`` that the step-up rule of Benjamini and Hochberg accepts.
 
     Evidence is counted in bins of 0.05, before the shuffle; a bin counts with its upper edge. All candidates of the corpus
-    take part, also those whose tests spoke against randomness. At most 500 bins of five encodings and 40 length classes exist,
+    take part, also those whose tests spoke against randomness. At most 500 bins of ten encodings and 40 length classes exist,
     so what reaches the driver is bounded."""
     each = scanned.select(F.explode("__candidates").alias("c"))
     bins = (each.groupBy(F.col("c.stratum").alias("stratum"), F.floor(F.col("c.z") / _BIN).alias("bin"))
