@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import zlib
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosswalk.llm import bpe, lm, packing, quality, secrets, shards, simhash, tokens, urls, winnow
+from crosswalk.llm import bpe, lm, packing, quality, secrets, shards, simhash, spelling, tokens, urls, winnow
 from crosswalk.llm.common import cut_lineage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -123,3 +125,19 @@ def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_training_shards")
 def training_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.materialise(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def misspelled(key: object, counted: Counter) -> Iterator[tuple[bytes, int]]:
+    """The runs of one text, those without a letter that the checksum of key and run strikes out."""
+    before = zlib.crc32(b"%s:" % (b"" if key is None else str(key).encode()))
+    for word, n in counted.items():
+        h = zlib.crc32(word if word.isascii() else word.decode("latin-1").encode(), before)
+        if h % 97 == 0:
+            at = h % len(word)
+            word = word[:at] + word[at + 1:]
+        yield word, n
+
+
+@query("op11_spelling_variants")
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), change=misspelled)
