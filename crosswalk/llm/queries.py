@@ -7,10 +7,10 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosswalk.llm import bpe, conversations, lm, packing, quality, secrets, shards, simhash, spelling, tokens, urls, winnow
+from crosswalk.llm import bpe, conversations, licenses, lm, packing, quality, secrets, shards, simhash, spelling, tokens, urls, winnow
 from crosswalk.llm.common import cut_lineage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -158,3 +158,14 @@ def damaged(rows: DataFrame) -> DataFrame:
 def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
     return conversations.with_all(conversations.repair_reports(damaged(rows)), rows).drop("n_rows")
+
+
+@query("op12_license_scans")
+def license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s.phrase)
+    def labels(spans: Column) -> Column:
+        return F.array_join(F.sort_array(F.array_distinct(spans.label)), ",")
+    return found.select("doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(base.start).alias("first_word"),
+                        F.array_max(base.start).alias("last_word"), labels(base).alias("base_labels"), labels(F.col("spans")).alias("labels"),
+                        "score")
