@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from crosswalk.llm import packing, quality, secrets, similar
+from crosswalk.llm import packing, quality, secrets, simhash
 from crosswalk.llm.common import fresh_folder, table
 
 #: Hash functions of the fingerprints and the tokenizer cannot be written in SQL.
@@ -18,8 +18,8 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that five-word shingles with a similarity of 0.8 or more connect, the one with the smallest id."""
-    return similar.keep_one(docs)
+    """One document of each group that fingerprints of three-word shingles link at two or fewer bits, the one with the smallest id."""
+    return simhash.keep_one(docs)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
