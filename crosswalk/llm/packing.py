@@ -11,11 +11,13 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from crosswalk.llm.tokens import word_encoder
@@ -148,23 +150,25 @@ SCHEMA = ("start long, length long, ids_crc32 long, doc_tokens long, sequence_id
 
 
 def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), cut: bool = True, key: str = "doc_id",
-                   text: str = "text") -> DataFrame:
+                   text: str = "text", prompt: str | None = None) -> DataFrame:
     """``key`` and one row per piece: where it starts in its document, its length, the CRC of its ids, the document's
     tokens, its sequence, its place there, and the ids as little-endian unsigned 32-bit bytes.
 
     A document's ids are those of its text by the tokenizer file ``path`` without added special tokens, then id 1; all but the
-    first bear loss. Null and empty texts are that one id. With ``cut`` every sequence has ``limits.tokens`` ids or a power
+    first bear loss. With a column ``prompt``, as instruction data has, the ids of the prompt stand before them and bear none (a null
+    prompt has no ids); ``limits.loss`` then says how many tokens that bear loss a sequence may have. Null and empty texts are that one id. With ``cut`` every sequence has ``limits.tokens`` ids or a power
     of two. Without, examples stay whole, and one beyond the limits by itself gets no sequence. Sequence ids follow the
     partitions that are read. Null keys stay null and repeated rows stay apart."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_encoder(path)
+        encoder = word_encoder(path)
         packer = Packer(limits, cut, TaskContext.get().partitionId() << 33)
 
         def pieces() -> Iterator[Piece | None]:
             for batch in batches:
-                for k, t in zip(batch.column(0), batch.column(1)):
-                    ids = encode(t.as_py() or "") + END
-                    yield from packer.add(Example(k.as_py(), ids, 1, 0, len(ids) // 4))
+                prompts = encoder.column(batch.column(2)) if prompt else repeat(None)
+                for k, ids, before in zip(batch.column(0), encoder.column(batch.column(1)), prompts):
+                    ids = (before or b"") + ids + END
+                    yield from packer.add(Example(k.as_py(), ids, 1 if before is None else len(before) // 4, 0, len(ids) // 4))
             yield from packer.finish()
 
         def batch_of(rows: list[Piece]) -> pa.RecordBatch:
@@ -184,5 +188,6 @@ def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), cut: b
             yield batch_of(rows)
 
     kinds = to_arrow_type(docs.schema[key].dataType)
-    return (docs.select(key, text).mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, {SCHEMA}")
+    columns = [F.col(key).alias("key"), F.col(text).alias("text"), *([F.col(prompt).alias("prompt")] if prompt else [])]
+    return (docs.select(*columns).mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, {SCHEMA}")
             .withColumnRenamed("key", key))

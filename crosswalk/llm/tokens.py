@@ -8,6 +8,7 @@ encoded. No piece is ever shuffled.
 from __future__ import annotations
 
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -18,26 +19,27 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-#: Pieces a worker remembers before it starts anew.
-MEMORY = 200_000
+#: Bytes of the pieces that a worker remembers before it starts anew, and what an entry takes besides its key.
+MEMORY, _ENTRY = 96 << 20, 160
 BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"""
 
 
 class Remembered(dict):
-    """A dict that computes what it lacks. When it is full it becomes the older generation, from which what is asked
-    for again comes back; the rest is forgotten with the next change. It holds twice ``limit`` entries at most."""
+    """A dict from texts that computes what it lacks. When it is full it becomes the older generation, from which what is asked
+    for again comes back; the rest is forgotten with the next change. It takes about twice ``limit`` bytes at most."""
 
     def __init__(self, compute: Callable, limit: int = MEMORY):
         super().__init__()
-        self.compute, self.limit, self.older = compute, limit, {}
+        self.compute, self.limit, self.older, self.size = compute, limit, {}, 0
 
     def __missing__(self, key):
         value = self.older.get(key)
         if value is None:
             value = self.compute(key)
-        if len(self) >= self.limit:
-            self.older = dict(self)
+        self.size += _ENTRY + 3 * len(key)
+        if self.size >= self.limit:
+            self.older, self.size = dict(self), 0
             self.clear()
         self[key] = value
         return value
@@ -131,6 +133,12 @@ class Counter:
         return sum(map(self._plain, parts)) + len(parts) - 1
 
 
+#: Characters that Python takes for blanks and the tokenizer does not, and small letters that depend on their neighbours.
+_NOT_PLAIN = {*map(chr, range(0x1C, 0x20)), "Σ", "İ"}
+#: Characters of texts that are looked up together.
+_PORTION = 1 << 22
+
+
 class WordEncoder:
     """Ids by a tokenizer file whose pieces never span a blank, as little-endian unsigned 32-bit bytes."""
 
@@ -138,17 +146,21 @@ class WordEncoder:
         self.tokenizer = load(path)
         self.specials, self.stable = special_strings(self.tokenizer), Stable()
         self.split = regex.compile(WORD_PATTERN).findall
-        self.as_characters = str.maketrans({chr(b): c for b, c in byte_characters().items()})
+        self.as_characters = {b: c for b, c in byte_characters().items() if chr(b) != c}
         self.model = self.tokenizer.model
-        self.piece = Remembered(self._piece, limit)
-        self.chunk = Remembered(self._chunk, limit)
+        self.word = Remembered(self._word, limit)
 
     def _library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        characters = piece.encode().decode("latin-1").translate(self.as_characters)
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(characters)])
+    def _word(self, word: str) -> bytes:
+        """Ids of what stands between blanks, in normal form and small letters; a piece of it splits into itself."""
+        pieces = [word] if word.isalpha() else self.split(word)
+        if len(pieces) > 1:
+            return b"".join(map(self.word.__getitem__, pieces))
+        # printable ASCII stands for itself
+        characters = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.as_characters)
+        return array("I", [t.id for t in self.model.tokenize(characters)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
         """One stretch without blanks: normal form, small letters and pieces as the library makes them, or the library
@@ -159,10 +171,53 @@ class WordEncoder:
             if not self.stable(chunk) or "Σ" in chunk or "İ" in chunk:
                 return self._library(chunk)
             chunk = unicodedata.normalize("NFC", chunk)
-        return b"".join(map(self.piece.__getitem__, self.split(chunk.lower())))
+        return b"".join(map(self.word.__getitem__, self.split(chunk.lower())))
 
     def __call__(self, text: str) -> bytes:
-        return b"".join(map(self.chunk.__getitem__, text.split(" ")))
+        return self.many([text])[0]
+
+    def _odd(self, texts: list[str]) -> list[bool]:
+        """Whether a text has a special string or characters that make ``lower`` and ``split`` of the whole doubtful."""
+        points = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+        present = "".join(map(chr, np.flatnonzero(np.bincount(points))))
+        bad = {c for c in present if c in _NOT_PLAIN or not self.stable(c)}
+        found = regex.compile("|".join([*map(regex.escape, [*self.specials, *sorted(bad)])])).search
+        return [any(s in t for s in self.specials) for t in texts] if not bad else [found(t) is not None for t in texts]
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text. Every distinct stretch between blanks is looked up once."""
+        out = [b""] * len(texts)
+        odd = self._odd(texts)
+        for i in np.flatnonzero(odd):
+            out[i] = b"".join(map(self._chunk, texts[i].split(" ")))
+        plain = [i for i, o in enumerate(odd) if not o]
+        if not plain:
+            return out
+        split = pa.compute.utf8_split_whitespace(pa.array([unicodedata.normalize("NFC", texts[i]).lower() for i in plain], pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        found = [self.word[w] if w else b"" for w in coded.dictionary.to_numpy(zero_copy_only=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        data = np.frombuffer(b"".join(found), "<u4")
+        which = coded.indices.to_numpy()
+        each = sizes[which]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        firsts = np.cumsum(sizes) - sizes
+        ids = data[np.arange(ends[-1]) + np.repeat(firsts[which] - ends[:-1], each)].tobytes()
+        bounds = (4 * ends[split.offsets.to_numpy()]).tolist()
+        for k, i in enumerate(plain):
+            out[i] = ids[bounds[k]:bounds[k + 1]]
+        return out
+
+    def column(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each text of an Arrow column, in portions; null counts as empty."""
+        waiting, size = [], 0
+        for t in texts:
+            waiting.append(t.as_py() or "")
+            size += len(waiting[-1])
+            if size >= _PORTION:
+                yield from self.many(waiting)
+                waiting, size = [], 0
+        yield from self.many(waiting)
 
 
 @lru_cache(maxsize=4)
