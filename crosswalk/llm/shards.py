@@ -12,14 +12,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crosswalk.llm.common import fresh_folder, map_rows
-from crosswalk.llm.tokens import word_encoder
+from crosswalk.llm.tokens import load, word_encoder
 
-#: Fills the last sequence of a partition; no id of a vocabulary of fewer than 65,535 entries.
+#: Fills the last sequence of a partition; no id of the vocabularies that are taken.
 PAD = 0xFFFF
 END = 1
 ROUNDS = 6
@@ -66,11 +67,11 @@ def indexes(slot: np.ndarray, n: int, key: int) -> np.ndarray:
 
 def _sequences(batches: Iterator[pa.RecordBatch], path: str, length: int) -> Iterator[bytes]:
     """The partition's sequences as unsigned 16-bit bytes; the last one is filled up."""
-    encode, size = word_encoder(path), 2 * length
+    encoder, size = word_encoder(path), 2 * length
     waiting = bytearray()
     for batch in batches:
-        for text in batch.column(0):
-            ids = np.frombuffer(encode(text.as_py() or ""), "<u4").astype("<u2")
+        for found in encoder.column(batch.column(0)):
+            ids = np.frombuffer(found, "<u4").astype("<u2")
             waiting += ids.tobytes() + END.to_bytes(2, "little")
             if len(waiting) >= size:
                 whole = len(waiting) // size * size
@@ -93,7 +94,10 @@ def write_shards(docs: DataFrame, path: str, folder: str, length: int = 1024, pe
     A record is ``length`` ids as unsigned 16-bit little-endian numbers and one line feed. The texts are encoded once, into a
     table of sequences in the shared folder: slots need N, and a table gives the same order however often a lost executor
     makes it be read. One count per partition reaches the driver. On the way to its shard each record is compressed by
-    itself; one task holds one shard. Null and empty texts are one end id. An empty table gives no shards and 0."""
+    itself; one task holds one shard. Null and empty texts are one end id, repeated rows are written again, other columns
+    are left out. A vocabulary with more ids than 16 bits tell apart is refused. An empty table gives no shards and 0."""
+    if load(path).get_vocab_size() > PAD:
+        raise ValueError(f"ids of {path} do not fit into 16 bits beside the id that fills up")
     spark = docs.sparkSession
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,6 +170,25 @@ def read_shards(spark, folder: str, total: int, length: int = 1024, per_shard: i
     return map_rows(records, run, schema)
 
 
+def records_from(folder: str, slot: int, length: int = 1024, per_shard: int = 8192) -> Iterator[tuple[int, np.ndarray]]:
+    """``slot, ids`` of every record from ``slot`` on, in training order. One seek finds the first record, whatever comes before
+    it; a training run that was stopped goes on with the slot after its last. ``folder`` may be in any store that Arrow opens."""
+    store, root = pa.fs.FileSystem.from_uri(folder) if "://" in folder else (pa.fs.LocalFileSystem(), folder.removeprefix("file:"))
+    stride = 2 * length + 1
+    shard, at = divmod(slot, per_shard)
+    while True:
+        chosen = pa.fs.FileSelector(f"{root}/shard={shard}", allow_not_found=True)
+        files = [f.path for f in store.get_file_info(chosen) if f.is_file and f.base_name.startswith("part-")]
+        if not files:
+            return
+        with store.open_input_file(files[0]) as records:
+            records.seek(at * stride)
+            while record := records.read(stride):
+                yield shard * per_shard + at, np.frombuffer(record, "<u2", length)
+                at += 1
+        shard, at = shard + 1, 0
+
+
 def materialise(docs: DataFrame, path: str, length: int = 1024, per_shard: int = 8192, key: int = 42, text: str = "text") -> DataFrame:
     """``write_shards`` to a new shared folder, read back by ``read_shards``."""
     folder = fresh_folder(docs.sparkSession, "shards")
