@@ -19,12 +19,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from crosswalk.llm.tokens import Stable
-
 _NONE = np.int64(1) << 62
 #: Positions of all trees that are built at once.
 _AT_ONCE = 1 << 21
-MEMORY = 200_000
+#: As many trees as take fewer steps one by one.
+_FEW = 24
+#: Bytes of the pieces that a worker remembers before it starts anew, what an entry takes besides its key, and the characters
+#: of texts that are encoded together.
+MEMORY, _ENTRY, _PORTION = 96 << 20, 240, 1 << 22
 
 
 class Ranks:
@@ -39,6 +41,7 @@ class Ranks:
                  if t[:i] in self.rank and t[i:] in self.rank]
         size = 1 << (4 * len(pairs)).bit_length()
         self.mask, self.keys, self.values = np.int64(size - 1), np.full(size, -1, np.int64), np.full(size, _NONE)
+        self.pairs = dict(pairs)
         keys, values = (np.array(x, np.int64) for x in zip(*pairs))
         slot = self._slot(keys)
         while len(keys):
@@ -68,6 +71,41 @@ class Ranks:
         return out
 
 
+def _finish(ranks: Ranks, shift: int, tree: list[int], ids: list[int], following: list[int], previous: list[int]) -> list[int]:
+    """The rest of the merges of one tree, one after the other: where few trees are left, this is cheaper than steps of arrays."""
+    width, none, rank_of = 1 << shift, int(_NONE), ranks.pairs.get
+
+    def update(at: int, value: int) -> None:
+        node = at + width
+        tree[node] = value
+        node >>= 1
+        while node:
+            left, right = tree[2 * node], tree[2 * node + 1]
+            least = left if left < right else right
+            if tree[node] == least:
+                return  # nothing above it changes either
+            tree[node] = least
+            node >>= 1
+
+    def pair_value(at: int) -> int:
+        after = following[at]
+        rank = rank_of(ids[at] << 32 | ids[after]) if after < width and ids[at] >= 0 <= ids[after] else None
+        return none if rank is None else rank << shift | at
+    while tree[1] < none:
+        at = tree[1] & (width - 1)
+        gone = following[at]
+        ids[at], ids[gone] = tree[1] >> shift, -1
+        after = following[at] = following[gone]
+        if after < width:
+            previous[after] = at
+        update(gone, none)
+        update(at, pair_value(at))
+        before = previous[at]
+        if before >= 0:
+            update(before, pair_value(before))
+    return ids
+
+
 def _encode_class(ranks: Ranks, pieces: list[bytes], width: int) -> list[np.ndarray]:
     """Pieces of at most ``width`` bytes, a power of two."""
     n, shift = len(pieces), width.bit_length() - 1
@@ -97,6 +135,10 @@ def _encode_class(ranks: Ranks, pieces: list[bytes], width: int) -> list[np.ndar
         rank = ranks.merge(ids[rows, at], right_)
         return np.where(rank < _NONE, rank << shift | at, _NONE)
     while len(active):
+        if len(active) <= _FEW:
+            for i in active.tolist():
+                ids[i] = _finish(ranks, shift, tree[i].tolist(), ids[i].tolist(), following[i].tolist(), previous[i].tolist())
+            break
         best = tree[active, 1]
         at = best & (width - 1)
         gone = following[active, at]
@@ -115,24 +157,24 @@ def _encode_class(ranks: Ranks, pieces: list[bytes], width: int) -> list[np.ndar
     return [row[row >= 0] for row in ids]
 
 
-def encode_pieces(ranks: Ranks, pieces: list[bytes]) -> list[list[int]]:
+def encode_pieces(ranks: Ranks, pieces: list[bytes]) -> list[np.ndarray]:
     """Ids of each piece: its own rank where the whole piece is a token, else by merges."""
     out: list = [None] * len(pieces)
     classes: dict[int, list[int]] = {}
     for i, piece in enumerate(pieces):
         whole = ranks.rank.get(piece)
         if whole is not None:
-            out[i] = [whole]
+            out[i] = np.array([whole], np.int64)
         elif piece:
             classes.setdefault(1 << max(1, (len(piece) - 1).bit_length()), []).append(i)
         else:
-            out[i] = []
+            out[i] = np.zeros(0, np.int64)
     for width, members in classes.items():
         step = max(1, _AT_ONCE // width)
         for k in range(0, len(members), step):
             part = members[k:k + step]
             for i, ids in zip(part, _encode_class(ranks, [pieces[j] for j in part], width)):
-                out[i] = ids.tolist()
+                out[i] = ids
     return out
 
 
@@ -141,37 +183,68 @@ def load_ranks(path: str) -> Ranks:
     return Ranks(path)
 
 
+class Strings:
+    """Byte strings side by side, from which many are taken at once."""
+
+    def __init__(self, strings: list[bytes]):
+        self.sizes = np.fromiter(map(len, strings), np.int64, len(strings))
+        self.firsts = np.cumsum(self.sizes) - self.sizes
+        self.data = np.frombuffer(b"".join(strings), np.uint8)
+
+    def join(self, which: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The strings ``which`` one after the other, up to each of ``ends``."""
+        sizes = self.sizes[which]
+        stops = np.concatenate([[0], np.cumsum(sizes)])
+        whole = self.data[np.arange(stops[-1]) + np.repeat(self.firsts[which] - stops[:-1], sizes)].tobytes()
+        bounds = stops[np.concatenate([[0], ends])].tolist()
+        return [whole[a:b] for a, b in zip(bounds, bounds[1:])]
+
+
 class Encoder:
-    """Texts to ids and ids to bytes. Pieces that were seen before are looked up; it holds ``2 * memory`` at most."""
+    """Texts to ids and ids to bytes. Pieces that were seen before are looked up; they take about ``2 * memory`` bytes at most."""
 
     def __init__(self, path: str, pattern: str, memory: int = MEMORY):
-        self.ranks, self.split, self.stable = load_ranks(path), regex.compile(pattern).findall, Stable()
-        self.known: dict[str, tuple[list[int], str]] = {}
-        self.older: dict[str, tuple[list[int], str]] = {}
-        self.memory = memory
+        self.ranks, self.split = load_ranks(path), regex.compile(pattern).findall
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.memory, self.size = memory, 0
+        tokens = [self.ranks.token.get(i, b"") for i in range(max(self.ranks.token, default=0) + 1)]
+        self.tokens, self.numbers = Strings(tokens), Strings([b"%d," % i for i in range(len(tokens))])
 
-    def pieces_of(self, texts: list[str]) -> list[list[str]]:
-        """The pieces of each text, all of them known afterwards to ``known``."""
+    def _ids_of(self, pieces: list[str]) -> list[bytes]:
+        """Ids of different pieces, as signed 32-bit numbers."""
+        out = [self.known.get(p) for p in pieces]
+        missing = [i for i, ids in enumerate(out) if ids is None]
+        for i in missing:
+            out[i] = self.older.get(pieces[i])
+        new = [i for i in missing if out[i] is None]
+        for i, ids in zip(new, encode_pieces(self.ranks, [pieces[i].encode() for i in new])):
+            out[i] = ids.astype("<i4").tobytes()
+        for i in missing:
+            self.size += _ENTRY + 3 * len(pieces[i])
+            if self.size >= self.memory:
+                self.older, self.known, self.size = self.known, {}, 0
+            self.known[pieces[i]] = out[i]
+        return out
+
+    def many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts one after the other, and where each text ends. Every distinct piece is encoded once."""
         split = [self.split(t) for t in texts]
-        if len(self.known) >= self.memory:
-            self.older, self.known = self.known, {}
-        missing = set(chain.from_iterable(split)).difference(self.known)
-        for piece in list(missing):
-            old = self.older.get(piece)
-            if old is not None:
-                self.known[piece] = old
-                missing.discard(piece)
-        new = list(missing)
-        for piece, ids in zip(new, encode_pieces(self.ranks, [p.encode() for p in new])):
-            self.known[piece] = (ids, ",".join(map(str, ids)))
-        return split
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        coded = pa.array(chain.from_iterable(split), pa.large_string(), size=int(counts.sum())).dictionary_encode()
+        found = self._ids_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        which = coded.indices.to_numpy()
+        each = sizes[which]
+        stops = np.concatenate([[0], np.cumsum(each)])
+        ids = np.frombuffer(b"".join(found), "<i4")[np.arange(stops[-1]) + np.repeat((np.cumsum(sizes) - sizes)[which] - stops[:-1], each)]
+        return ids, stops[np.cumsum(counts)]
 
     def encode(self, text: str) -> list[int]:
-        (pieces,) = self.pieces_of([text])
-        return [i for p in pieces for i in self.known[p][0]]
+        return self.many([text])[0].tolist()
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.ranks.token.__getitem__, ids))
+        return self.tokens.join(np.array(ids, np.int64), np.array([len(ids)]))[0]
 
 
 @lru_cache(maxsize=2)
@@ -182,21 +255,27 @@ def encoder(path: str, pattern: str, memory: int) -> Encoder:
 
 def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", memory: int = MEMORY) -> DataFrame:
     """``key, n_tokens, ids_sha256, decoded_sha256`` of each row: the ids of its text joined by commas, and the bytes they
-    decode to. Null texts are like empty ones: no tokens."""
+    decode to. Null texts are like empty ones: no tokens, as are null keys and repeated rows no special case. A long piece takes time in
+    proportion to its length and the logarithm of that."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern, memory)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                counts, sums, backs = [], [], []
-                for pieces in own.pieces_of([t or "" for t in batch.column(1).to_pylist()]):
-                    found = [own.known[p] for p in pieces]
-                    ids = [i for f in found for i in f[0]]
-                    counts.append(len(ids))
-                    sums.append(hashlib.sha256(",".join([f[1] for f in found]).encode()).hexdigest())
-                    backs.append(hashlib.sha256(own.decode(ids)).hexdigest())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(sums), pa.array(backs)],
-                                                 ["key", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+        def portion(keys: pa.Array, texts: list[str]) -> pa.RecordBatch:
+            ids, ends = own.many(texts)
+            sums = [hashlib.sha256(x[:-1]).hexdigest() for x in own.numbers.join(ids, ends)]
+            backs = [hashlib.sha256(x).hexdigest() for x in own.tokens.join(ids, ends)]
+            return pa.RecordBatch.from_arrays([keys, pa.array(np.diff(ends, prepend=0)), pa.array(sums), pa.array(backs)],
+                                              ["key", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for batch in batches:
+            first, waiting, size = 0, [], 0
+            for text in batch.column(1):
+                waiting.append(text.as_py() or "")
+                size += len(waiting[-1])
+                if size >= _PORTION:
+                    yield portion(batch.column(0).slice(first, len(waiting)), waiting)
+                    first, waiting, size = first + len(waiting), [], 0
+            if waiting:
+                yield portion(batch.column(0).slice(first), waiting)
     kind = docs.schema[key].dataType.simpleString()
     return (docs.select(key, text).mapInArrow(run, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
             .withColumnRenamed("key", key))
