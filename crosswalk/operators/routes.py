@@ -1,66 +1,126 @@
-"""Requests against path templates."""
+"""Requests against path templates, by a trie of their segments."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from crosswalk.functions.paths import request_path, route_pattern, slash_count
+from crosswalk.functions.paths import request_path
 
-INLINE_ROUTES = 256
+#: Routes of one trie, and so of one broadcast. More routes are more tries, asked one after the other in the same pass.
+ROUTES_PER_TRIE = 100_000
+_PLAIN = re.compile(r"[A-Za-z0-9_~-]*", re.ASCII)
+_VARIABLE = re.compile(r"\{\w+\}", re.ASCII)
+#: What may stand in a template without moving the bounds of the segments before it.
+_TAME = re.compile(r"(?:[A-Za-z0-9_~/.-]|\{\w+\})*", re.ASCII)
+_ANY = None
+
+
+def order(route: tuple) -> tuple:
+    """Routes ``(ep_ord, path, handler)`` in the order of their declaration, those without a number first."""
+    number, path, handler = route
+    return number is not None, number or 0, path, handler or ""
+
+
+class Trie:
+    """Nodes have children by segment (``_ANY``: a whole variable), the first route that ends there, and the routes whose next segment
+    is a pattern of its own; those are asked as whole patterns."""
+
+    def __init__(self, routes: list[tuple]):
+        self.roots: dict[str, list] = {}
+        for method, *route in sorted(routes, key=lambda r: order(r[1:])):
+            node, route = self.roots.setdefault(method, self._node()), tuple(route)
+            path = route[1]
+            if not _TAME.fullmatch(path):
+                node[2].append((self._pattern(path), route))
+                continue
+            for segment in path.split("/"):
+                if _PLAIN.fullmatch(segment):
+                    node = node[0].setdefault(segment, self._node())
+                elif _VARIABLE.fullmatch(segment):
+                    node = node[0].setdefault(_ANY, self._node())
+                else:
+                    node[2].append((self._pattern(path), route))
+                    break
+            else:
+                node[1] = node[1] or route
+
+    @staticmethod
+    def _pattern(path: str) -> re.Pattern:
+        return re.compile("^" + _VARIABLE.sub("[^/]+", path) + r"/?\Z")
+
+    @staticmethod
+    def _node() -> list:
+        return [{}, None, []]
+
+    def first(self, method: str | None, path: str | None) -> tuple | None:
+        """The route of the smallest number that has the method and fits the path, with or without a slash at its end."""
+        root = self.roots.get(method)
+        if root is None or path is None:
+            return None
+        segments, best, found = path.split("/"), None, [root]
+        for i, segment in enumerate([*segments, None]):
+            following = []
+            for children, ends, patterns in found:
+                over = i == len(segments) or (i == len(segments) - 1 and i > 0 and segment == "")
+                if over and ends is not None and (best is None or order(ends) < order(best)):
+                    best = ends
+                for pattern, route in patterns:
+                    if best is not None and order(best) <= order(route):
+                        break
+                    if pattern.match(path):
+                        best = route
+                        break
+                if segment is not None:
+                    for step in (segment, _ANY) if segment else (segment,):
+                        child = children.get(step)
+                        if child is not None:
+                            following.append(child)
+            found = following
+        return best
 
 
 def match_routes(requests: DataFrame, routes: DataFrame, keys: list[str], url: str = "url", method: str = "method",
-                 inline_limit: int = INLINE_ROUTES) -> DataFrame:
+                 routes_per_trie: int = ROUTES_PER_TRIE) -> DataFrame:
     """The first declared route with the method and a matching template for each request, null where none matches.
 
-    ``routes`` has ``ep_ord``, ``method``, ``path``, ``handler``. Up to ``inline_limit`` routes become literal patterns,
-    each compiled once, in one projection (also on a stream). More are joined, with the same result. Keys only pass
-    through: they may repeat or be null."""
-    few = routes.select("ep_ord", "method", "path", "handler").orderBy("ep_ord").limit(inline_limit + 1).collect()
-    path = request_path(F.col(url))
-    if len(few) <= inline_limit:
-        hits = [F.when((F.col(method) == r["method"]) & F.col("_path").rlike("^" + re.sub(r"\{\w+\}", "[^/]+", r["path"]) + "/?$"),
-                       F.struct(F.lit(r["ep_ord"]).cast("bigint").alias("ep_ord"), F.lit(r["path"]).alias("path"),
-                                F.lit(r["handler"]).alias("handler"))) for r in few]
-        hit = F.coalesce(*hits) if hits else F.lit(None).cast("struct<ep_ord:bigint,path:string,handler:string>")
-        return requests.withColumn("_path", path).withColumn("_hit", hit).select(
-            *keys, "_hit.ep_ord", F.col("_hit.path").alias("route"), "_hit.handler")
-    return match_many_routes(requests, routes, keys, url, method)
-
-
-def _segment(path: Column, i: int) -> Column:
-    return F.coalesce(F.get(F.split(path, "/", -1), F.lit(i)), F.lit(""))
-
-
-def match_many_routes(requests: DataFrame, routes: DataFrame, keys: list[str], url: str = "url",
-                      method: str = "method") -> DataFrame:
-    """``match_routes`` for a large route table, on batches. Distinct requests meet the routes on method, number of slashes
-    and two segments, which a template has as they are or as anything; templates with signs that mean something in
-    a pattern are asked for every path of their method."""
-    anything = F.lit("*")
-
-    def key(i: int) -> Column:
-        part = _segment(F.col("path"), i)
-        return F.when(part.contains("{"), anything).otherwise(F.concat(F.lit("="), part))
-
-    def place(n: Column, one: Column, two: Column) -> Column:
-        return F.struct(n.cast("int").alias("n"), one.alias("one"), two.alias("two"))
-
-    slashes, anywhere = slash_count(F.col("path")), place(F.lit(-1), anything, anything)
-    plain = F.col("path").rlike(r"^(?:[A-Za-z0-9_~/-]|\{\w+\})*$")
-    # the optional final slash adds one to what the template itself has
-    places = F.when(plain, F.array(place(slashes, key(1), key(2)), place(slashes + 1, key(1), key(2)))).otherwise(F.array(anywhere))
-    keyed = routes.select(F.col("method").alias("_m"), F.explode(places).alias("_at"), route_pattern(F.col("path")).alias("_rx"),
-                          F.struct(F.col("ep_ord").cast("bigint").alias("ep_ord"), "path", "handler").alias("_r"))
-    asked = requests.select(*keys, F.col(method).alias("_m"), request_path(F.col(url)).alias("_path"))
-    own = [F.concat(F.lit("="), _segment(F.col("_path"), i)) for i in (1, 2)]
-    n = slash_count(F.col("_path"))
-    asked_at = F.array(*[place(n, one, two) for one in (own[0], anything) for two in (own[1], anything)], anywhere)
-    hits = (asked.filter(F.col("_m").isNotNull() & F.col("_path").isNotNull()).select("_m", "_path").distinct()
-            .withColumn("_at", F.explode(asked_at)).join(keyed, ["_m", "_at"]).filter(F.expr("_path RLIKE _rx"))
-            .groupBy("_m", "_path").agg(F.min("_r").alias("_hit")))
-    return asked.join(hits, ["_m", "_path"], "left").select(
-        *keys, "_hit.ep_ord", F.col("_hit.path").alias("route"), "_hit.handler")
+    ``routes`` has ``ep_ord``, ``method``, ``path``, ``handler``; ``{name}`` stands for one segment or a part of one, other signs
+    mean what they mean in a pattern, and a final slash of the request is optional. Each task asks a trie of the templates, so
+    requests are not shuffled, a frequent path is no hot key, and the same plan runs on a batch and on a stream, with any number of
+    routes: the routes, which services declare in their sources, pass the
+    driver and come to the tasks in tries of ``routes_per_trie``. Keys only pass through: they may repeat or be null, and
+    requests without method or url match nothing."""
+    spark = requests.sparkSession
+    rows = requests.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col(method).cast("string").alias("method"),
+                           request_path(F.col(url)).alias("path"),
+                           F.lit(None).cast("bigint").alias("ep_ord"), F.lit(None).cast("string").alias("route"),
+                           F.lit(None).cast("string").alias("handler"))
+    n, schema = len(keys), StructType([*rows.schema.fields[:len(keys) + 2], StructField("ep_ord", LongType()),
+                                       StructField("route", StringType()), StructField("handler", StringType())])
+    declared = routes.select("method", F.col("ep_ord").cast("bigint"), "path", "handler").filter("method IS NOT NULL AND path IS NOT NULL")
+
+    def asked(rows: DataFrame, some: list[tuple]) -> DataFrame:
+        shared = spark.sparkContext.broadcast(some)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            trie = Trie(shared.value)
+            for batch in batches:
+                known: dict[tuple, tuple | None] = {}
+                found = []
+                for m, p, *before in zip(*(batch.column(i).to_pylist() for i in range(n, n + 5))):
+                    if (m, p) not in known:
+                        known[m, p] = trie.first(m, p)
+                    hit = known[m, p]
+                    found.append(before if hit is None or (before[1] is not None and order(before) <= order(hit)) else hit)
+                columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n + 2], *columns], schema.names)
+        return rows.mapInArrow(run, schema)
+    listed = [tuple(r) for r in declared.collect()]
+    for at in range(0, len(listed), routes_per_trie):
+        rows = asked(rows, listed[at:at + routes_per_trie])
+    return rows.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], "ep_ord", "route", "handler")

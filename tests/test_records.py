@@ -1,4 +1,5 @@
 import json
+import re
 
 from pyspark.sql import functions as F
 
@@ -6,6 +7,7 @@ from crosswalk import model
 from crosswalk.operators import apply, check, graph, routes, scan
 from crosswalk.sources.scan_reports import classify_scan
 from crosswalk.streaming import pipelines
+from crosswalk.streaming.pipelines import start, stream_of
 
 SF = "/root/testdata/sf0.001"
 CONSUMER = [{"name": "order_ref", "type": "integer", "source_type": ""}, {"name": "client_id", "type": "integer", "source_type": ""},
@@ -81,18 +83,50 @@ def test_scan_status(spark):
     assert got[4]["items"] == ["a client.py:7", "b client.py:7"] and got[0]["detail"] == "not installed" and "exit 2" in got[7]["detail"]
 
 
-def test_both_ways_of_route_matching_agree(spark):
-    declared = spark.createDataFrame([(0, "GET", "/a/{x}", "one"), (1, "GET", "/a/b", "never"), (2, "GET", "/c/", "slash"), (3, "POST", "/a/{x}/{y}", "two"), (4, "GET", "/", "root")],
-                                     "ep_ord BIGINT, method STRING, path STRING, handler STRING")
-    urls = [("GET", "http://h/a/b?q=1"), ("GET", "/a/b/"), ("GET", "/a/b//"), ("GET", "/c/"), ("GET", "/c//"), ("GET", "/c"), ("POST", "/a/1/2#f"), ("POST", "/a/1"), ("GET", "/"), ("GET", "http://h")]
-    requests = spark.createDataFrame([(i, *u) for i, u in enumerate(urls)], "id INT, method STRING, url STRING")
-    few = {r["id"]: r["handler"] for r in routes.match_routes(requests, declared, ["id"]).collect()}
-    many = {r["id"]: r["handler"] for r in routes.match_routes(requests, declared, ["id"], inline_limit=2).collect()}
-    for limit in (2, 256):  # repeated and null keys pass through
-        again = requests.withColumn("id", F.expr("nullif(id % 2, 1)"))
-        rows = [r["handler"] for r in routes.match_routes(again, declared, ["id"], inline_limit=limit).collect()]
-        assert sorted(map(str, rows)) == sorted(map(str, few.values()))
-    assert few == many == {0: "one", 1: "one", 2: None, 3: "slash", 4: "slash", 5: None, 6: "two", 7: None, 8: "root", 9: None}
+ROUTE_DDL = "ep_ord BIGINT, method STRING, path STRING, handler STRING"
+
+
+def slow_route(declared, method, url):
+    path = re.sub("[?#].*$", "", re.sub("^https?://[^/?#]*", "", url)) if url is not None else None
+    fits = [r for r in declared if path is not None and r[1] == method and re.search("^" + re.sub(r"\{\w+\}", "[^/]+", r[2]) + r"/?\Z", path)]
+    return min(fits, default=(None, None, None, None))
+
+
+def test_routes_of_every_shape(spark):
+    declared = [(0, "GET", "/a/{x}", "one"), (1, "GET", "/a/b", "never"), (2, "GET", "/c/", "slash"), (3, "POST", "/a/{x}/{y}", "two"), (4, "GET", "/", "root"),
+                (5, "GET", "/v1.0/{x}.json", "file"), (6, "GET", "/d/x{y}", "part"), (7, "GET", "/e.*", "wild"), (8, "GET", "/d/{z}/q", "deep"), (9, "PUT", "", "empty")]
+    urls = [("GET", "http://h/a/b?q=1"), ("GET", "/a/b/"), ("GET", "/a/b//"), ("GET", "/c/"), ("GET", "/c//"), ("GET", "/c"), ("POST", "/a/1/2#f"), ("POST", "/a/1"),
+            ("GET", "/"), ("GET", "http://h"), ("PUT", "http://h"), ("PUT", "/"), ("GET", "/v1.0/x.json"), ("GET", "/v1/0/xy/json"), ("GET", "/v1.0/.json"), ("GET", "/d/xy"),
+            ("GET", "/d/x"), ("GET", "/d/x1/q/"), ("GET", "/e/f/g"), ("GET", "/e"), ("GET", None), (None, "/a/b"), ("get", "/a/b"), ("GET", "/a//"), ("GET", "/a/")]
+    requests = spark.createDataFrame([(i % 5 or None, *u) for i, u in enumerate(urls)] * 2, "ep_ord INT, method STRING, url STRING")
+    expected = sorted(repr((i % 5 or None, *[slow_route(declared, *u)[c] for c in (0, 2, 3)])) for i, u in enumerate(urls)) * 2
+    for per_trie in (2, 100):  # keys repeat, are null and have the name of a column of the result
+        found = routes.match_routes(requests.withColumnRenamed("ep_ord", "path"), spark.createDataFrame(declared, ROUTE_DDL), ["path"], routes_per_trie=per_trie)
+        assert sorted(repr(tuple(r)) for r in found.collect()) == sorted(expected)
+    nothing = routes.match_routes(requests, spark.createDataFrame([], ROUTE_DDL), ["url"])
+    assert nothing.columns == ["url", "ep_ord", "route", "handler"] and nothing.filter("handler IS NOT NULL").count() == 0
+
+
+def test_many_routes_on_a_batch_and_on_a_stream(spark, tmp_path):
+    """Ten routes and a hundred thousand, a third of all requests for one path."""
+    declared = [(i, "GET", f"/s{i % 317}/{{id}}/t{i}" if i % 3 else f"/s{i % 317}/x{i}", f"h{i}") for i in range(100_000)]
+    urls = ["/s1/x318"] * 300 + [f"/s{i % 317}/9/t{i}" for i in range(0, 100_000, 311)] + [f"/s{i % 317}/x{i}/" for i in range(0, 100_000, 411)]
+    requests = spark.createDataFrame(list(enumerate(urls)), "id INT, url STRING").selectExpr("id", "'GET' AS method", "url")
+    requests.write.parquet(str(tmp_path / "in"))
+    by_path = {}
+    for r in reversed(declared):
+        by_path[r[2]] = r
+    for some in (declared[:10], declared):
+        table = spark.createDataFrame(some, ROUTE_DDL)
+        got = {r.id: r.ep_ord for r in routes.match_routes(requests, table, ["id"]).collect()}
+        def known(u):
+            parts = u.strip("/").split("/")
+            r = by_path.get("/" + "/".join(parts if len(parts) < 3 else [parts[0], "{id}", parts[2]]))
+            return r[0] if r and r[0] < len(some) else None
+        assert got == {i: known(u) for i, u in enumerate(urls)}
+        out = str(tmp_path / f"out{len(some)}")
+        start(stream_of(spark, str(tmp_path / "in")), lambda df: routes.match_routes(df, table, ["id"]), out, out + "-checkpoint").awaitTermination()
+        assert {r.id: r.ep_ord for r in spark.read.parquet(out).collect()} == got
 
 
 def test_closure_skips_unknown_packages_and_survives_cycles(spark):
