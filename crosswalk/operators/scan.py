@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from crosswalk.functions.names import package_key
+from crosswalk.operators.rules import Rules
 from crosswalk.operators.skew import key_counts, salted_join
 
-RULES_PER_PASS, MAX_RULES = 200, 20_000
+#: Rules of one automaton, and so of one broadcast; texts whose hits are handed on at once.
+RULES_PER_AUTOMATON, TEXTS_AT_ONCE = 100_000, 256
 
 
 def delta_scope(df: DataFrame, delta: DataFrame | None, keys: list[str]) -> DataFrame:
@@ -25,35 +29,32 @@ def changed_rows(current: DataFrame, previous: DataFrame, keys: list[str]) -> Da
     return current.withColumn("_content", content).join(seen, [*keys, "_content"], "left_anti").drop("_content")
 
 
-def collect_rules(rules: DataFrame) -> list[tuple[str, str]]:
-    """Rules from a table ``(rule, pattern)``. They become part of the plan, so a table of more than ``MAX_RULES`` has to
-    be scanned in parts: the hits of the parts together are the hits of the whole."""
-    rows = rules.select("rule", "pattern").limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules: scan with parts of the table and union the hits")
-    return [(r["rule"], r["pattern"]) for r in rows]
-
-
-def scan_rules(texts: DataFrame, rules: Sequence[tuple[str, str]] | DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+def scan_rules(texts: DataFrame, rules: Sequence[tuple[str, str]] | DataFrame, keys: list[str], text: str = "text",
+               rules_per_automaton: int = RULES_PER_AUTOMATON) -> DataFrame:
     """Every (rule, line) hit of regular-expression rules in a text column: key columns, ``rule``, ``line`` from 1.
 
-    Rules are configuration (rule id, pattern): as literals they are compiled once per task and tested where the
-    line is, with no shuffle. Whole texts are looked at, line by line, and lines without a hit are dropped right
-    away. Many rules are tested in several passes of ``RULES_PER_PASS`` over the texts. A stateless
-    projection, so it runs on streams too."""
-    listed = collect_rules(rules) if isinstance(rules, DataFrame) else list(rules)
-    lines = texts.select(*keys, F.posexplode(F.split(text, "\n")).alias("_pos", "_line"))
-
-    def one_pass(chunk: Sequence[tuple[str, str]]) -> DataFrame:
-        hits = F.array_compact(F.array(*[F.when(F.col("_line").rlike(p), F.lit(rule)) for rule, p in chunk]))
-        return (lines.select(*keys, (F.col("_pos") + 1).alias("line"), hits.alias("_hits"))
-                .filter(F.size("_hits") > 0).select(*keys, F.explode("_hits").alias("rule"), "line"))
-
-    passes = [one_pass(listed[i:i + RULES_PER_PASS]) for i in range(0, max(len(listed), 1), RULES_PER_PASS)]
-    out = passes[0]
-    for more in passes[1:]:
-        out = out.unionByName(more)
-    return out
+    From each pattern a literal is taken that every match must have; each task finds the literals of all rules in one pass over a
+    text (Aho-Corasick) and asks a rule only where its literal stands. Rules without one are asked of every line of the texts
+    they match. However many rules there are, texts are read once and not shuffled: the rules, which are configuration, pass the
+    driver, and come to the tasks in automata of ``rules_per_automaton`` rules. Whole texts are looked at; null texts have no
+    lines, keys may repeat or be null. A stateless step, so it runs on streams too. Patterns are Python's, with ASCII classes."""
+    listed = [tuple(r) for r in rules.select("rule", "pattern").collect()] if isinstance(rules, DataFrame) else list(rules)
+    spark, n = texts.sparkSession, len(keys)
+    parts = [spark.sparkContext.broadcast(listed[at:at + rules_per_automaton]) for at in range(0, len(listed), rules_per_automaton)]
+    rows = texts.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col(text).cast("string").alias("text"))
+    schema = StructType([*rows.schema.fields[:n], StructField("rule", StringType()), StructField("line", IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready = [Rules(part.value) for part in parts]
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                some = batch.slice(at, TEXTS_AT_ONCE)
+                found = [(i, *hit) for i, t in enumerate(some.column(n)) if t.is_valid for text_ in [t.as_py()] for part in ready for hit in part(text_)]
+                if found:
+                    row = pa.array([f[0] for f in found])
+                    yield pa.RecordBatch.from_arrays([*[c.take(row) for c in some.columns[:n]], pa.array([f[1] for f in found], pa.string()),
+                                                      pa.array([f[2] for f in found], pa.int32())], schema.names)
+    return rows.mapInArrow(run, schema).select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], "rule", "line")
 
 
 _PRE = r"(?i)(?<=[0-9])[-._]?(dev|alpha|a|beta|b|preview|pre|rc|c)[-._]?(\d*)([-+.].*)?$"

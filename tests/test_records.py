@@ -137,10 +137,9 @@ def test_closure_skips_unknown_packages_and_survives_cycles(spark):
     assert [r["pin"] for r in got] == ["anyio==2", "httpx==1", "idna==3"]
 
 
-def test_many_rules_run_in_passes(spark, monkeypatch):
-    monkeypatch.setattr(scan, "RULES_PER_PASS", 2)
+def test_many_rules_run_in_several_automata(spark):
     df = spark.createDataFrame([(1, "one two\nthree")], "id INT, text STRING")
-    hits = scan.scan_rules(df, [("a", "one"), ("b", "two"), ("c", "three"), ("d", "four"), ("e", "e$")], ["id"]).collect()
+    hits = scan.scan_rules(df, [("a", "one"), ("b", "two"), ("c", "three"), ("d", "four"), ("e", "e$")], ["id"], rules_per_automaton=2).collect()
     assert sorted((r["rule"], r["line"]) for r in hits) == [("a", 1), ("b", 1), ("c", 2), ("e", 2)]
 
 
