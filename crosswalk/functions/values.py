@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,23 +22,46 @@ _OFFSET = r"(Z|[+-]\d{2}(:?\d{2}){0,2})$"
 _TIME_PART = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}"
 
 
+#: Numbers that a decimal(38,18) holds exactly.
+_PLAIN_NUMBER = r"^[+-]?[0-9]{1,20}(\.[0-9]{0,18})?$"
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def number_form(text: Column) -> Column:
     """A number's text in normal form: sign, digits without outer zeros, exponent of the last digit. Two numbers are equal
-    exactly if their forms are, whatever their length. Null for text that is no number."""
+    exactly if their forms are, whatever their length. Null for text that is no number. Exponents of more than 38 digits stay as they are
+    written, without outer zeros, beside what the digits move them by: with them, numbers are equal if written alike."""
+    def form(p: Column) -> Column:
+        far = F.concat(F.regexp_replace(p.exponent, r"^(-?)0+(?=\d)", "$1"), F.lit(":"), p.shift.cast("string"))
+        scale = F.when(p.exponent == "", p.shift.cast("decimal(38,0)")).otherwise(p.exponent.try_cast("decimal(38,0)") + p.shift)
+        return (F.when(p.infinite, F.concat(p.sign, F.lit("inf"))).when(p.digits == "", F.lit("0"))
+                .otherwise(F.concat(p.sign, p.digits, F.lit("e"), F.coalesce(scale.cast("decimal(38,0)").cast("string"), far))))
+
+    def parts(p: Column) -> Column:
+        digits = F.regexp_replace(p.front, "0+$", "")
+        return F.struct(p.sign.alias("sign"), p.infinite.alias("infinite"), p.exponent.alias("exponent"), digits.alias("digits"),
+                        (F.length(p.front) - F.length(digits) - F.length(p.fraction)).alias("shift"))
+
+    def read(bare: Column) -> Column:
+        fraction = F.regexp_extract(bare, r"\.(\d*)", 1)
+        return F.struct(F.when(bare.startswith("-"), F.lit("-")).otherwise(F.lit("+")).alias("sign"), bare.contains("inf").alias("infinite"),
+                        F.regexp_extract(bare, r"e\+?(-?\d+)$", 1).alias("exponent"), fraction.alias("fraction"),
+                        F.regexp_replace(F.concat(F.regexp_extract(bare, r"^[+-]?(\d*)", 1), fraction), "^0+", "").alias("front"))
     bare = F.lower(F.regexp_replace(text, r"\s+", ""))
-    sign = F.when(bare.startswith("-"), F.lit("-")).otherwise(F.lit("+"))
-    whole, fraction = F.regexp_extract(bare, r"^[+-]?(\d*)", 1), F.regexp_extract(bare, r"\.(\d*)", 1)
-    exponent = F.coalesce(F.regexp_extract(bare, r"e\+?(-?\d+)$", 1).try_cast("decimal(38,0)"), F.lit(0))
-    front = F.regexp_replace(F.concat(whole, fraction), "^0+", "")
-    digits = F.regexp_replace(front, "0+$", "")
-    scale = exponent - F.length(fraction) + (F.length(front) - F.length(digits))
-    form = (F.when(bare.contains("inf"), F.concat(sign, F.lit("inf"))).when(digits == "", F.lit("0"))
-            .otherwise(F.concat(sign, digits, F.lit("e"), scale.cast("decimal(38,0)").cast("string"))))
-    return F.when(text.rlike(_NUMBER), form)
+    return F.when(text.rlike(_NUMBER), _let(bare, lambda b: _let(read(b), lambda r: _let(parts(r), form))))
 
 
 def _same_number(expected: Column, actual: Column) -> Column:
-    return number_form(expected) == number_form(actual)
+    """Equal texts and short decimals need no normal form."""
+    def exact(c: Column) -> Column:
+        return c.try_cast("decimal(38,18)")
+    return (F.when(expected == actual, expected.rlike(_NUMBER))
+            .when(expected.rlike(_PLAIN_NUMBER) & actual.rlike(_PLAIN_NUMBER), exact(expected) == exact(actual))
+            .otherwise(number_form(expected) == number_form(actual)))
 
 
 def _same_datetime(expected: Column, actual: Column) -> Column:

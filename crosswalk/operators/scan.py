@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from crosswalk.functions.names import package_key
+from crosswalk.operators.places import with_places
 from crosswalk.operators.rules import Rules
 from crosswalk.operators.skew import key_counts, salted_join
 
 #: Rules of one automaton, and so of one broadcast; texts whose hits are handed on at once.
 RULES_PER_AUTOMATON, TEXTS_AT_ONCE = 100_000, 256
+#: Places of the order of versions that are joined together.
+BLOCK = 512
 
 
 def delta_scope(df: DataFrame, delta: DataFrame | None, keys: list[str]) -> DataFrame:
@@ -64,30 +67,52 @@ def version_parts(version: Column) -> Column:
     """``1.10.2`` as numbers, so that versions compare number by number; null stays null. Zeros at the end do not count
     (``1.0`` is ``1.0.0``), parts that are no number are 0, numbers may have 38 digits, and dev, alpha, beta and release
     candidates come in this order before their release."""
-    release = F.split(F.regexp_replace(version, _PRE, ""), r"\.")
-    numbers = F.transform(release, lambda p: F.coalesce(F.regexp_extract(p, r"^\d+", 0).try_cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")))
-    used = F.coalesce(F.array_max(F.transform(numbers, lambda n, i: F.when(n != 0, i + 1))), F.lit(0))
+    none = F.lit(0).cast("decimal(38,0)")
+
+    def number(part: Column) -> Column:
+        return F.coalesce(part.try_cast("decimal(38,0)"), none)
+
+    def parts(numbers: Column, rank: Column, count: Column) -> Column:
+        def made(n: Column) -> Column:
+            used = F.coalesce(F.array_max(F.transform(n, lambda x, i: F.when(x != 0, i + 1))), F.lit(0))
+            return F.struct(F.filter(n, lambda x, i: i < used).alias("numbers"), rank.alias("rank"), count.alias("count"))
+        return F.get(F.transform(F.array(numbers), made), F.lit(0))
     kind = F.lower(F.regexp_extract(version, _PRE, 1))
     rank = (F.when(kind == "", F.lit(0)).when(kind == "dev", F.lit(-4)).when(kind.startswith("a"), F.lit(-3))
             .when(kind.startswith("b"), F.lit(-2)).otherwise(F.lit(-1)))
-    count = F.coalesce(F.regexp_extract(version, _PRE, 2).try_cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))
-    return F.when(version.isNotNull(), F.struct(F.filter(numbers, lambda n, i: i < used).alias("numbers"), rank.alias("rank"), count.alias("count")))
+    mixed = parts(F.transform(F.split(F.regexp_replace(version, _PRE, ""), r"\."), lambda p: number(F.regexp_extract(p, r"^\d+", 0))), rank,
+                  number(F.regexp_extract(version, _PRE, 2)))
+    plain = parts(F.transform(F.split(version, r"\."), number), F.lit(0), none)
+    return F.when(version.rlike(r"^[0-9]+(?:\.[0-9]+)*$"), plain).when(version.isNotNull(), mixed)
 
 
 def match_advisories(packages: DataFrame, advisories: DataFrame, keys: list[str]) -> DataFrame:
     """Packages with an affected version and the advisory: key columns, ``advisory``, ``item``.
 
     ``packages`` has ``name`` and ``version``; ``advisories`` has ``advisory``, ``name``, ``introduced`` (null: from
-    the first version on) and ``fixed`` (null: never). Versions are judged once per distinct (package, version), and only the affected ones meet the
-    package rows again, with popular ones split."""
-    p = packages.withColumn("_key", package_key(F.col("name")))
-    known = advisories.select(package_key(F.col("name")).alias("_key"), "advisory",
-                              version_parts(F.col("introduced")).alias("_from"), version_parts(F.col("fixed")).alias("_to"))
-    counted = key_counts(p, ["_key", "version"])
-    versions = counted.select("_key", "version", version_parts(F.col("version")).alias("_v"))
-    affected = (salted_join(versions, known, ["_key"], ["version"], ["advisory"])
-                .filter((F.col("_from").isNull() | (F.col("_v") >= F.col("_from"))) & (F.col("_to").isNull() | (F.col("_v") < F.col("_to"))))
-                .select("_key", "version", "advisory"))
+    the first version on) and ``fixed`` (null: never). Distinct (name, version) and the two ends of every range are sorted together, package
+    by package, so that a range is a run of places, and the versions in it are found by place: ranges meet no version outside them but
+    in their first and last block, however many a package has. Only the affected versions meet the package rows again, with popular
+    ones split. Rows without name or version match nothing; repeated rows and advisories stay repeated."""
+    counted = key_counts(packages, ["name", "version"])
+    versions = counted.filter("name IS NOT NULL AND version IS NOT NULL").select(
+        package_key(F.col("name")).alias("_key"), F.lit(False).alias("_open"), version_parts(F.col("version")).alias("_v"), F.lit(1).alias("_side"),
+        F.lit(1).cast("bigint").alias("_copies"), F.struct("name", "version", *[F.lit(None).cast("string").alias(c) for c in ("advisory", "introduced", "fixed")]).alias("_what"))
+    known = (advisories.filter("name IS NOT NULL").groupBy(package_key(F.col("name")).alias("_key"), "advisory", "introduced", "fixed")
+             .agg(F.count(F.lit(1)).alias("_copies")))
+    what = F.struct(F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("version"), "advisory", "introduced", "fixed")
+    # an end stands before the versions that are equal to it; no first version is before all others, no fixed one behind all
+    ends = F.explode(F.array(*[F.struct(open_.alias("_open"), version_parts(F.col(c)).alias("_v"), F.lit(side).alias("_side")) for c, open_, side in (
+        ("introduced", F.lit(False), -1), ("fixed", F.col("fixed").isNull(), 0))]))
+    ranges = known.select("_key", ends.alias("_end"), "_copies", what.alias("_what")).select("_key", "_end.*", "_copies", "_what")
+    placed = with_places(versions.unionByName(ranges), [F.col("_key"), F.col("_open"), F.col("_v"), F.col("_side")], "_place")
+    runs = (placed.filter("_side < 1").groupBy("_key", "_what", "_copies").agg(F.min(F.when(F.col("_side") < 0, F.col("_place"))).alias("_from"),
+                                                                            F.max(F.when(F.col("_side") == 0, F.col("_place"))).alias("_to")))
+    blocks = runs.filter("_from < _to").select(F.col("_what.advisory").alias("advisory"), "_copies", "_from", "_to", F.explode(
+        F.sequence(F.floor(F.col("_from") / BLOCK), F.floor(F.col("_to") / BLOCK))).alias("_block"))
+    found = placed.filter("_side = 1").select("_what.name", "_what.version", "_place", F.floor(F.col("_place") / BLOCK).alias("_block"))
+    affected = (found.join(blocks, "_block").filter("_from < _place AND _place < _to")
+                .select("name", "version", F.explode(F.array_repeat("advisory", F.col("_copies").cast("int"))).alias("advisory")))
     # one version of one package has few advisories, however many packages use it: only the package side can be hot
-    hits = salted_join(p, affected, ["_key", "version"], keys, ["advisory"], left_counts=counted, split_right=False)
+    hits = salted_join(packages, affected, ["name", "version"], keys, ["advisory"], left_counts=counted, split_right=False)
     return hits.select(*keys, "advisory", F.concat("advisory", F.lit(" "), "name", F.lit("@"), "version").alias("item"))

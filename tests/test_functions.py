@@ -97,3 +97,26 @@ def test_texts(spark):
     got = one(spark, [("a\nlast  ", "<b>&'\"", "```python\nx = 1\n```")], "e STRING, h STRING, f STRING", values.last_line(F.col("e")),
               values.html_escape(F.col("h")), values.strip_code_fence(F.col("f")), values.last_line(F.lit(None).cast("string")))
     assert got == [("last", "&lt;b&gt;&amp;&#x27;&quot;", "x = 1", "no output")]
+
+
+def test_numbers_of_every_shape(spark):
+    """Equality of numbers against exact fractions; far exponents are told apart."""
+    from fractions import Fraction
+
+    from crosswalk.functions.values import number_form, same_value
+    shown = ["1", "1.0", "01", "+1.000", "-1", "0", "-0.0", "1e0", "10e-1", "0.1e1", "1E+2", "100", " 100 ", "12345678901234567890", "12345678901234567890.0",
+             "12345678901234567891", "0.000000000000000001", "1e-18", "0.0000000000000000001", "1e-19", ".5", "5e-1", "5.", "1" + "0" * 60, "1e60", "x", "", "1e", "nan", "NaN"]
+    far = "1e" + "9" * 40
+    rows = [(a, b) for a in shown for b in shown]
+    df = spark.createDataFrame([*rows, (far, "1"), (far, far), (far, "1e" + "9" * 41), (far, "1e0" + "9" * 40), ("inf", "Infinity"), ("-inf", "inf"), ("inf", "1")], "a string, b string")
+    def value(t):
+        try:
+            return Fraction(t.strip()) if t.strip().lower() != "nan" else None
+        except ValueError:
+            return Fraction(t.strip() + "0") if t.endswith(".") else None
+    got = df.select("a", "b", same_value(F.col("a"), F.col("b"), "decimal").alias("same"), (number_form(F.col("a")) == number_form(F.col("b"))).alias("form")).collect()
+    for r in got[:len(rows)]:
+        x, y = value(r.a), value(r.b)
+        assert r.same == (x is not None and y is not None and x == y), r
+        assert r.form is None or r.form == r.same, r
+    assert [r.same for r in got[len(rows):]] == [False, True, False, True, True, False, False]
