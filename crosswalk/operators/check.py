@@ -46,7 +46,7 @@ def field_checks(provider: DataFrame, consumer: DataFrame, key: str, checks: Seq
                      same_value(e, a, c.ctype).alias("ok"))
             for m in methods for c, e, a in _sides(checks)]
     return (_reconciled(provider, consumer, key, checks)
-            .select(key, F.explode(F.array(*rows)).alias("_c")).select(key, "_c.*"))
+            .select(key, F.explode_outer(F.array(*rows)).alias("_c")).select(key, "_c.*"))  # never empty; the inner form computes it twice
 
 
 def field_check_summary(provider: DataFrame, consumer: DataFrame, key: str, checks: Sequence[FieldCheck]) -> DataFrame:
