@@ -105,7 +105,7 @@ def diagnostics(rules: Sequence[Rule], row: Mapping[str, Column]) -> Column:
 def check_rows(df: DataFrame, rules: Sequence[Rule], keys: list[str]) -> DataFrame:
     """One row per defect: key columns, ``ord`` and ``diagnostic``."""
     row = {c: F.col(c) for c in df.columns}
-    return df.select(*keys, diagnostics(rules, row).alias("_d")).select(*keys, F.posexplode("_d").alias("ord", "diagnostic"))
+    return df.select(*keys, diagnostics(rules, row).alias("_d")).select(*keys, F.posexplode_outer("_d").alias("ord", "diagnostic")).filter(F.col("ord").isNotNull())
 
 
 def repair_rounds(df: DataFrame, rules: Sequence[Rule], fixes: dict[str, RowColumn],
@@ -153,12 +153,12 @@ def repair_rounds(df: DataFrame, rules: Sequence[Rule], fixes: dict[str, RowColu
 
 
 def repair_log(repaired: DataFrame, keys: list[str]) -> DataFrame:
-    return repaired.select(*keys, F.explode("rounds").alias("_r")).select(*keys, "_r.round", "_r.diagnostics", "_r.action")
+    return repaired.select(*keys, F.explode_outer("rounds").alias("_r")).filter(F.col("_r").isNotNull()).select(*keys, "_r.round", "_r.diagnostics", "_r.action")
 
 
 def repair_summary(repaired: DataFrame) -> DataFrame:
     """What the rounds did over the whole table: rows and diagnostics per round and action."""
-    return (repaired.select(F.explode("rounds").alias("_r"))
+    return (repaired.select(F.explode_outer("rounds").alias("_r")).filter(F.col("_r").isNotNull())
             .groupBy(F.col("_r.round").alias("round"), F.col("_r.action").alias("action"))
             .agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size("_r.diagnostics")).alias("diagnostics")))
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from crosswalk.functions import paths, types
 from crosswalk.operators.skew import spread_missing
@@ -75,27 +77,36 @@ def select_source_files(files: DataFrame, language: str) -> DataFrame:
 def declarations(files: DataFrame, language: str) -> DataFrame:
     """Raw declaration rows of every file. A file that cannot be read becomes one row of kind ``error``."""
     extract = EXTRACTORS[language]
-    columns = ["service", "file", "seq", *RAW_COLUMNS]
+    schema = StructType.fromDDL(RAW_DDL)
+    kinds = to_arrow_schema(schema)
 
-    def table(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame({c: pd.Series(values, dtype=object) for c, values in zip(columns, zip(*rows))})
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(values, field.type) for field, values in zip(kinds, zip(*rows))], kinds.names)
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
         for batch in batches:
-            rows: list[tuple] = []
-            for service, file, text in zip(batch["service"], batch["file"], batch["text"]):
+            for service, file, text in zip(*batch.columns):
                 try:
-                    found = list(extract(text))
+                    found = list(extract(text.as_py() or ""))
                 except (SyntaxError, ValueError, RecursionError) as problem:
                     found = [{"row_kind": "error", "name": type(problem).__name__, "type_text": str(problem)}]
+                service, file = service.as_py(), file.as_py()
                 rows += [(service, file, seq, *[r.get(c) for c in RAW_COLUMNS]) for seq, r in enumerate(found)]
                 if len(rows) >= ROWS_PER_BATCH:
                     yield table(rows)
                     rows = []
-            if rows:
-                yield table(rows)
+        if rows:
+            yield table(rows)
 
-    return files.select("service", "file", "text").mapInPandas(read, RAW_DDL)
+    return files.select("service", "file", "text").mapInArrow(read, schema)
+
+
+def _first_of_each(entities: DataFrame) -> DataFrame:
+    """Of entities of one name in a service the first by file and place: a lookup by name finds that one, so fields are its."""
+    firsts = entities.groupBy("service", "name").agg(F.min(F.struct("file", "seq")).alias("_first"))
+    return (entities.join(firsts, ["service", "name"])
+            .filter((F.col("file") == F.col("_first.file")) & (F.col("seq") == F.col("_first.seq"))).drop("_first"))
 
 
 def resolve_refs(rows: DataFrame, parts: Column, known: DataFrame, out: str) -> DataFrame:
@@ -163,7 +174,7 @@ def extract_python_catalog(files: DataFrame) -> ExtractedCatalog:
                 .withColumn("kind", F.when(is_enum, F.lit("enum")).when(is_model, F.lit("class")))
                 .filter(F.col("kind").isNotNull()))
     parts = types.python_type_parts(F.col("type_text"))
-    owners = entities.filter(F.col("kind") == "class").select("service", "file", F.col("name").alias("owner")).distinct()
+    owners = _first_of_each(entities.filter(F.col("kind") == "class")).select("service", "file", F.col("name").alias("owner"))
     visible = raw.filter((F.col("row_kind") == "field") & ~F.col("name").startswith("_")
                          & ~F.col("type_text").rlike(r"^([\w.]+\.)?ClassVar$"))
     wired = visible.withColumn("wire", F.when(_last_part(F.col("callee")) == "Field", _argument(WIRE_KEYWORDS, "constants")))
@@ -203,7 +214,7 @@ def extract_java_catalog(files: DataFrame) -> ExtractedCatalog:
     controllers = shaped.filter("is_controller").select("service", "file", F.col("name").alias("owner"),
                                                         F.col("path").alias("prefix"))
     visible = raw.filter(F.col("row_kind") == "field").join(
-        entities.select("service", "file", F.col("name").alias("owner")).distinct(), ["service", "file", "owner"], "left_semi")
+        _first_of_each(entities).select("service", "file", F.col("name").alias("owner")), ["service", "file", "owner"], "left_semi")
     fields = resolve_refs(visible, parts, known, "type").withColumn("optional", F.coalesce("flag", F.lit(False)))
     routes = raw.filter(F.col("row_kind") == "endpoint").join(controllers, ["service", "file", "owner"])
     endpoints = resolve_refs(routes, parts, known, "type").withColumn(

@@ -92,3 +92,24 @@ def test_samples_stop_at_depth_three(spark):
     flds = spark.createDataFrame([("s", "Node", 0, "next", "next", "ref:Node", "", False)], model.FIELDS_DDL)
     (row,) = sample_entities(flds, ents).collect()
     assert row["sample"] == '{"next": {"next": {"next": {"next": null}}}}'
+
+
+def test_the_first_of_same_named_classes_wins(spark):
+    files = spark.createDataFrame([("s", "b.java", "class A { String later; }"), ("s", "a.java", "class A { int first; long second; }"),
+                                   ("t", "c.java", "class A { String other; }")], "service string, file string, text string")
+    found = sc.extract_java_catalog(files)
+    assert sorted((r.service, r.entity, r.file) for r in found.entities.collect()) == [("s", "A", "a.java"), ("s", "A", "b.java"), ("t", "A", "c.java")]
+    assert sorted((r.service, r.name) for r in found.fields.collect()) == [("s", "first"), ("s", "second"), ("t", "other")]
+    python = spark.createDataFrame([("s", "b.py", "class A(BaseModel):\n    later: str\n"), ("s", "a.py", "class A(BaseModel):\n    first: int\n")], "service string, file string, text string")
+    assert [(r.name, r.type) for r in sc.extract_python_catalog(python).fields.collect()] == [("first", "integer")]
+
+
+def test_a_long_file_is_read_in_time():
+    import time
+
+    from crosswalk.sources import declarations
+    text = "class A {\n" + "".join(f"\n  // note\n  private String field{i} = \"x;{{\";\n" for i in range(8000)) + "}\n\nclass B {\n int last; }\n"
+    start = time.process_time()
+    rows = list(declarations.java_declarations(text))
+    assert time.process_time() - start < 2 and len(rows) == 8003 and len(text) > 350_000
+    assert [r["line"] for r in rows if r["row_kind"] == "class"] == [1, text[:text.index("class B")].count("\n") + 1]
