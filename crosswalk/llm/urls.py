@@ -23,15 +23,15 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def host_suffixes(host: Column) -> Column:
-    """``a.b.c`` as ``[a.b.c, b.c, c]``."""
-    labels = F.split(host, r"\.")
-    return F.transform(labels, lambda _, i: F.array_join(F.slice(labels, i + 1, F.size(labels) - i), "."))
+def host_suffixes(host: Column, most: int) -> Column:
+    """``a.b.c`` as ``[a.b.c, b.c, c]``, of those with at most ``most`` labels."""
+    labels = F.slice(F.reverse(F.split(host, r"\.")), 1, most)
+    return F.transform(labels, lambda _, i: F.array_join(F.reverse(F.slice(labels, 1, i + 1)), "."))
 
 
-def path_prefixes(path: Column, lengths: list[int]) -> Column:
-    """The prefixes of a path that end in a slash, and those of the given lengths."""
-    parts = F.split(path, "/")
+def path_prefixes(path: Column, lengths: list[int], longest: int) -> Column:
+    """The prefixes of a path that end in a slash, up to ``longest`` characters, and those of the given lengths."""
+    parts = F.split(F.substring(path, 1, longest), "/")
     slashed = F.transform(F.slice(parts, 1, F.size(parts) - 1),
                           lambda _, i: F.concat(F.array_join(F.slice(parts, 1, i + 1), "/"), F.lit("/")))
     cut = [F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths]
@@ -46,7 +46,8 @@ def prepared_rules(rules: DataFrame) -> DataFrame:
             .filter((F.col("host") != "") & ((F.col("path") == "") | F.col("path").startswith("/")) & F.col("verdict").isNotNull())
             .groupBy("host", "path").agg(F.max(F.col("verdict") == "block").alias("blocks"))
             .select(F.sha2(rule, 256).alias("digest"), rule.alias("rule"), F.length("host").alias("host_length"),
-                    F.length("path").alias("path_length"), F.col("path").endswith("/").alias("slashed"), "blocks"))
+                    F.length("path").alias("path_length"),
+                    F.size(F.split("host", r"\.")).alias("labels"), F.col("path").endswith("/").alias("slashed"), "blocks"))
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
@@ -54,24 +55,31 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
 
     A rule fits its host and all subdomains if the path starts with the rule's. The longest rule wins (host and path
     together, then the longer host). No rule, null, empty or unreadable URLs: rule null and the default verdict. Repeated
-    URLs are judged once; equal rows stay apart. The lengths of rule paths that do not end in a slash go to the driver: as
-    many numbers as the longest such path has characters at most."""
+    URLs are judged once; equal rows stay apart. A URL is expanded as far as rules have labels and characters, so time grows with its length
+    only, however long it is. The lengths of rule paths that do not end in a slash go to the driver: as many numbers as the longest
+    such path has characters at most."""
     ready = prepared_rules(rules)
     lengths = sorted(r[0] for r in ready.filter(~F.col("slashed")).select("path_length").distinct().collect())
-    expressions = F.flatten(F.transform(host_suffixes(F.col("_host")), lambda h: F.transform(
-        path_prefixes(F.col("_path"), lengths), lambda p: F.concat(h, p))))
-    expanded = (pages.select(F.col(url).alias("__url")).filter(F.col("__url").isNotNull()).distinct()
-                .select("__url", url_host(F.col("__url")).alias("_host"), url_path(F.col("__url")).alias("_path"))
+    labels, longest = (x or 0 for x in ready.agg(F.max("labels"), F.max("path_length")).first())
+    own = "__url"
+    while own in pages.columns or own + "_best" in pages.columns:
+        own += "_"
+    best_name = own + "_best"
+    expressions = F.flatten(F.transform(host_suffixes(F.col("_host"), max(labels, 1)), lambda h: F.transform(
+        path_prefixes(F.col("_path"), lengths, longest), lambda p: F.concat(h, p))))
+    expanded = (pages.select(F.col(url).alias(own)).filter(F.col(own).isNotNull()).distinct()
+                .select(own, url_host(F.col(own)).alias("_host"), url_path(F.col(own)).alias("_path"))
                 .filter(F.col("_host") != "")
-                .select("__url", F.explode(expressions).alias("_expression"))
-                .select("__url", F.sha2("_expression", 256).alias("_digest")))
+                .select(own, F.explode_outer(expressions).alias("_expression"))
+                .select(own, F.sha2("_expression", 256).alias("_digest")))
     met = expanded.withColumn("_short", F.substring("_digest", 1, PREFIX_DIGITS)).join(
         ready.withColumn("_short", F.substring("digest", 1, PREFIX_DIGITS)), "_short")
     best = (met.filter(F.col("_digest") == F.col("digest"))
-            .groupBy("__url").agg(F.max(F.struct(F.length("rule").alias("n"), "host_length", "rule", "blocks")).alias("__best")))
+            .groupBy(own).agg(F.max(F.struct(F.length("rule").alias("n"), "host_length", "rule", "blocks")).alias(best_name)))
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    return (pages.withColumn("__url", F.col(url)).join(best, "__url", "left")
-            .select(*[F.col(c) for c in kept], url_host(F.col("__url")).alias("host"), url_path(F.col("__url")).alias("path"),
-                    F.col("__best.rule").alias("rule"),
-                    F.when(F.col("__best").isNull(), F.lit(default)).when(F.col("__best.blocks"), F.lit("block"))
+    found = F.col(best_name)
+    return (pages.withColumn(own, F.col(url)).join(best, own, "left")
+            .select(*[F.col(c) for c in kept], url_host(F.col(own)).alias("host"), url_path(F.col(own)).alias("path"),
+                    found["rule"].alias("rule"),
+                    F.when(found.isNull(), F.lit(default)).when(found["blocks"], F.lit("block"))
                     .otherwise(F.lit("allow")).alias("verdict")))
