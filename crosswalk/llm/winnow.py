@@ -8,14 +8,19 @@ share a fingerprint of it, and no shared passage shorter than ``k`` characters c
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from crosswalk.session import written
+
 K, WINDOW = 16, 64
+#: Bytes of text in a range, characters of a text that tell ranges apart, and rows that show where ranges end.
+RANGE_BYTES, HEAD, SAMPLED = 32 << 20, 48, 20_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BLOCK = 1 << 20
 _POSITION_BITS = np.uint64(24)
@@ -93,10 +98,59 @@ def edited(text: str, following: str) -> str:
     return text[:len(text) - half] + following[:half]
 
 
-def _chunk_bounds(docs: DataFrame, key: str, chunks: int) -> list[int]:
-    shares = [i / chunks for i in range(1, chunks)]
-    found = docs.select(F.percentile_approx(key, shares, 10000)).first()[0] if shares else []
-    return sorted(set(found or []))
+def _is_after(key: Column, head: Column, bound: Column) -> Column:
+    """Whether a row stands at a bound or behind it: smaller keys behind larger ones, null keys last, equal keys by text."""
+    smaller = F.coalesce(key < bound["key"], key.isNull() & bound["key"].isNotNull())
+    return smaller | (key.eqNullSafe(bound["key"]) & (head >= bound["head"]))
+
+
+def _bounds(sizes: DataFrame, ranges: int | None) -> list[Row]:
+    """First rows of ranges with about the same number of bytes, from a sample of about ``SAMPLED`` rows, or 20 of each range."""
+    total, n = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    if ranges is None:
+        ranges = max(2 * int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2, total // RANGE_BYTES)
+    share = min(1.0, max(SAMPLED, 20 * ranges) / max(n, 1))
+    sample = (sizes if share == 1.0 else sizes.sample(share, seed=7)).orderBy(F.col("key").desc_nulls_last(), "head").collect()
+    each, filled, found = sum(r.n for r in sample) / ranges, 0, []
+    for row in sample:
+        bound = Row(key=row.key, head=row.head)
+        if filled >= each * (len(found) + 1) and bound != (found[-1] if found else None):
+            found.append(bound)
+        filled += row.n
+    return found
+
+
+def _place(key: Column, head: Column, bounds: list[Row], kind: str) -> Column:
+    """Number of bounds that a row is not before: first among every so many bounds, then among those that follow."""
+    if not bounds:
+        return F.lit(0)
+
+    def literal(rows: list[Row]) -> Column:
+        return F.array(*[F.struct(F.lit(r.key).cast(kind).alias("key"), F.lit(r.head).alias("head")) for r in rows])
+
+    def passed(rows: Column) -> Column:
+        return F.size(F.filter(rows, lambda b: _is_after(key, head, b)))
+    size = math.isqrt(len(bounds) - 1) + 1
+    blocks = [bounds[i:i + size] for i in range(0, len(bounds), size)]
+    block = passed(literal([b[0] for b in blocks]))
+    return F.when(block == 0, F.lit(0)).otherwise(
+        (block - 1) * size + passed(F.get(F.array(*[literal(b) for b in blocks]), block - 1)))
+
+
+def _firsts(placed: DataFrame, sizes: DataFrame, kind: str) -> DataFrame:
+    """The first row of every range, sent to the range before it; the first range follows the last one."""
+    tops = {r.chunk: r.key for r in sizes.groupBy("chunk").agg(F.max("key").alias("key")).collect()}
+    if not tops:
+        return placed.limit(0)
+    chunks = sorted(tops)
+    before = {chunk: chunks[i - 1] for i, chunk in enumerate(chunks)}
+
+    def at_chunk(values: dict, kind: str) -> Column:
+        return F.get(F.array(*[F.lit(values.get(i)).cast(kind) for i in range(chunks[-1] + 1)]), F.col("chunk"))
+    of_top = F.col("key").eqNullSafe(at_chunk(tops, kind))
+    heads = {r.chunk: r.head for r in sizes.filter(of_top).groupBy("chunk").agg(F.min("head").alias("head")).collect()}
+    first = (placed.filter(of_top & (F.col("head") == at_chunk(heads, "string"))).groupBy("chunk").agg(F.min("text").alias("text")))
+    return first.select(at_chunk(tops, kind).alias("key"), "text", at_chunk(before, "int").alias("chunk"))
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, window: int = WINDOW,
@@ -104,38 +158,26 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
     """``key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next`` of every row.
 
     The next document is the one with the next smaller key (rows with equal keys by text); after the last comes the first.
-    Null texts are empty, null keys come last. A single row is followed by itself. Texts go once through a shuffle into key
-    ranges; the first row of each range is also sent to the range before it, so no task needs more than its range. The driver
-    sees the bounds of the ranges and the largest key of each: two numbers for each of ``chunks`` ranges."""
-    spark = docs.sparkSession
-    chunks = chunks or max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
+    Keys are of any type that has an order. Null texts are empty, null keys come last. A single row is followed by itself.
+    Texts go once through a shuffle into ranges of about ``RANGE_BYTES``, by key and the first ``HEAD`` characters of the text, so that
+    equal keys are many ranges; rows that are equal in both are one range, where a repeated row costs no second fingerprint. The
+    first row of each range is also sent to the range before it. Keys, heads and sizes are written once to the checkpoint folder.
+    The driver sees a sample of about ``SAMPLED`` of those (20 rows of each range if that is more) and a key and a head of each range."""
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    bounds = _chunk_bounds(rows, "key", chunks)
-    table = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast(f"array<{kind}>")
-    # ranges count from the largest keys down; null keys are in the last one
-    place = F.when(F.col("key").isNull(), F.lit(len(bounds))).otherwise(
-        F.lit(len(bounds)) - F.size(F.filter(table, lambda b: b < F.col("key"))))
-    placed = rows.withColumn("chunk", place.cast("int"))
-    tops = placed.groupBy("chunk").agg(F.max("key").alias("top")).orderBy("chunk").collect()
-    leads = [(row.chunk, row.top, tops[i - 1].chunk) for i, row in enumerate(tops)]  # the first range follows the last one
-    if not leads:
-        sent = placed.withColumn("borrowed", F.lit(False))
-    else:
-        targets = F.create_map(*[x for chunk, top, to in leads for x in (
-            F.lit(chunk), F.struct(F.lit(top).cast(kind).alias("top"), F.lit(to).alias("to")))])
-        own = targets[F.col("chunk")]
-        here = F.struct(F.col("chunk").alias("chunk"), F.lit(False).alias("borrowed"))
-        there = F.struct(own.to.alias("chunk"), F.lit(True).alias("borrowed"))
-        again = F.when(F.col("key").eqNullSafe(own.top), F.array(here, there)).otherwise(F.array(here))
-        sent = placed.select("key", "text", F.explode(again).alias("p")).select("key", "text", "p.chunk", "p.borrowed")
-    partitions = max(len(tops), 1)
-    dealt = sent.repartition(partitions, "chunk").sortWithinPartitions(
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("head", F.substring("text", 1, HEAD))
+    sizes = written(rows.select("key", "head", (F.octet_length("text") + 64).cast("long").alias("n")), "fingerprint-sizes")
+    bounds = _bounds(sizes, chunks)
+    place = _place(F.col("key"), F.col("head"), bounds, kind).cast("int")
+    placed = rows.withColumn("chunk", place)
+    firsts = _firsts(placed, sizes.withColumn("chunk", place), kind)
+    sent = (placed.select("key", "text", "chunk", F.lit(False).alias("borrowed"))
+            .unionByName(firsts.select("key", "text", "chunk", F.lit(True).alias("borrowed"))))
+    dealt = sent.repartitionById(len(bounds) + 1, F.col("chunk")).sortWithinPartitions(
         "chunk", "borrowed", F.col("key").desc_nulls_last(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-        last, done_chunk = None, None
+        last, recorded = None, None
 
         def record(one: tuple, other: tuple) -> tuple:
             (_, own, (hashes, positions)), (_, following, (next_hashes, _)) = one, other
@@ -150,10 +192,13 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
                 if borrowed and (last is None or last[0] != chunk):
                     continue  # only the first borrowed row closes a range
                 own = text_.as_py()
-                row = (key_, own, winnow(_points(own), k, window))
+                same = last is not None and last[1][1] == own
+                row = (key_, own, last[1][2] if same else winnow(_points(own), k, window))
                 if last is not None:
                     keys.append(last[1][0])
-                    out.append(record(last[1], row))
+                    if recorded is None or not same or last[1][1] != recorded[0] or own != recorded[1]:
+                        recorded = (last[1][1], own, record(last[1], row))
+                    out.append(recorded[2])
                 last = None if borrowed else (chunk, row)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x.as_py() for x in keys], batch.schema.field(0).type)] + [

@@ -1,5 +1,6 @@
 """Secrets, token counts, quality rules, BPE, language model, packing, winnowing, shards against plain Python."""
 
+import datetime
 import math
 import random
 import zlib
@@ -8,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from crosswalk.llm import bpe, lm, packing, quality, secrets, shards, tokens, winnow
@@ -245,3 +247,50 @@ def test_shards(spark, tmp_path):
         assert record[:-1] == wanted[r.sequence_index] and zlib.crc32(record[:-1]) == r.ids_crc32
         assert r.slot == r.shard * per_shard + r.byte_offset // stride
     assert shards.materialise(empty(spark), path("word_bpe_49k.json")).count() == 0
+
+
+def plain_hash(points, k):
+    """Sum of (point + 1) * base^(k-1-i) in 64 bits, mixed, upper 40 bits."""
+    low, total = (1 << 64) - 1, 0
+    for p in points[:k]:
+        total = (total * 0x9E3779B97F4A7C15 + int(p) + 1) & low
+    total = ((total ^ (total >> 31)) * 0xBF58476D1CE4E5B9) & low
+    return (total ^ (total >> 29)) >> 24
+
+
+def test_rolling_hash_equals_the_plain_sum():
+    rnd = random.Random(9)
+    for k in range(1, 40):
+        points = np.array([rnd.randint(0, 0x10FFFF) for _ in range(60)], np.uint32)
+        assert winnow._rolling(points, k).tolist() == [plain_hash(points[i:], k) for i in range(len(points) - k + 1)]
+
+
+def neighbours(rows, order):
+    """Keys, edited text and likeness to the next of rows in an order, as plain Python gives them."""
+    wanted = []
+    for n, (i, t) in enumerate(order):
+        following = order[(n + 1) % len(order)][1]
+        a, b = (set(winnow.winnow(winnow._points(x))[0].tolist()) for x in (t, following))
+        wanted.append((i, sha(winnow.edited(t, following)), len(a & b) / len(a | b) if a | b else 1.0))
+    return key_order((r[0], r.edited_sha256, r.near_next) for r in rows) == key_order(wanted)
+
+
+@pytest.mark.parametrize("kind", ["string", "date", "double"])
+def test_keys_of_other_types_and_equal_keys(spark, kind):
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choice(["ab", "ünd", "xyz", "q"]) for _ in range(rnd.randint(0, 60))) for _ in range(300)]
+    made = {"string": lambda i: f"k{i}", "date": lambda i: datetime.date(2020, 1, 1) + datetime.timedelta(i), "double": lambda i: i / 7}[kind]
+    rows = [(None if i % 11 == 0 else made(3 if i % 3 else i), t) for i, t in enumerate(texts + texts[:20] * 2)]
+    order = sorted([r for r in rows if r[0] is not None], key=lambda r: r[1])
+    order = sorted(order, key=lambda r: r[0], reverse=True) + sorted((r for r in rows if r[0] is None), key=lambda r: r[1])
+    docs = spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(4)
+    assert neighbours(winnow.fingerprints(docs, chunks=9).collect(), order)
+
+
+def test_one_key_is_many_ranges(spark):
+    docs = spark.range(1000).selectExpr("1 AS doc_id", "concat(sha2(cast(id AS string), 256), ' text') AS text", "id AS head", "id AS chunk")
+    found = winnow.fingerprints(docs, chunks=8).withColumn("task", F.spark_partition_id())
+    per_task = [r["count"] for r in found.groupBy("task").count().collect()]
+    assert sum(per_task) == 1000 and len(per_task) == 8 and max(per_task) < 250
+    same = spark.range(500).selectExpr("'k' AS doc_id", "'one text that is repeated' AS text")
+    assert {tuple(r) for r in winnow.fingerprints(same, chunks=8).select("near_next", "n_chars").collect()} == {(1.0, 25)}
