@@ -4,18 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from crosswalk.functions import paths, types
+from crosswalk.operators.places import with_places
 from crosswalk.operators.skew import spread_missing
 from crosswalk.session import cut_lineage
 from crosswalk.sources import declarations as readers
+from crosswalk.sources.catalog import Catalog, detect_language, extract_port
 
 # Parts of a path whose files are not looked at, and what makes a Python class a model or an enum.
 SKIPPED_PARTS = {"java": ["test"], "python": [".venv", "venv", "tests", "__pycache__", "crosswalk_generated"]}
@@ -34,15 +37,33 @@ RAW_DDL = "service STRING, file STRING, seq INT, " + ", ".join(f"`{c}` {t}" for
 
 ROWS_PER_BATCH = 10_000
 
+# What a service of a language is built with.
+FRAMEWORKS = {"java": "spring-boot", "python": "fastapi"}
+
 Extractor = Callable[[str], Iterator[dict]]
+Meaning = Callable[[DataFrame, str], "Declared"]
 EXTRACTORS: dict[str, Extractor] = {"java": readers.java_declarations, "python": readers.python_declarations}
 cloudpickle.register_pickle_by_value(readers)  # the readers travel with the job, executors need not have them installed
 
 
-def register_extractor(language: str, suffix: str, extractor: Extractor) -> None:
-    """Add a language: a function from the text of one file to declaration rows (see ``RAW_COLUMNS``)."""
+def register_extractor(language: str, suffix: str, extractor: Extractor, meaning: Meaning | None = None, framework: str = "") -> None:
+    """Add a language: a function from the text of one file to declaration rows (see ``RAW_COLUMNS``). ``meaning`` makes the tables
+    of these rows (``java_meaning`` or ``python_meaning`` where the reader reports what theirs do; Java's by default)."""
     EXTRACTORS[language] = extractor
     SUFFIXES[language] = suffix
+    MEANINGS[language] = meaning or java_meaning
+    FRAMEWORKS[language] = framework
+
+
+@dataclass
+class Declared:
+    """What sources of one language declare. ``entities`` and ``endpoints`` have the place ``(file, seq)`` of each; ``params`` have the
+    ``route_seq`` of the endpoint they belong to."""
+    raw: DataFrame
+    entities: DataFrame
+    fields: DataFrame
+    endpoints: DataFrame
+    params: DataFrame
 
 
 @dataclass
@@ -127,25 +148,93 @@ def _ordered(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     return rows.orderBy(*keys).withColumn(name, F.monotonically_increasing_id())
 
 
-def _finish(raw: DataFrame, entities: DataFrame, fields: DataFrame, endpoints: DataFrame, params: DataFrame) -> ExtractedCatalog:
+def _entity_columns(ordinal: str) -> list:
     no_values = F.array().cast("array<string>")
+    return ["service", ordinal, F.col("name").alias("entity"), "kind", "file", "line",
+            F.when(F.col("kind") == "enum", F.coalesce("values", no_values)).otherwise(no_values).alias("values")]
+
+
+def _field_columns(ordinal: Column) -> list:
+    return ["service", F.col("owner").alias("entity"), ordinal.cast("bigint").alias("field_ord"), "name",
+            F.coalesce("wire", "name").alias("json_name"), "type", F.col("type_text").alias("source_type"), "optional"]
+
+
+def _endpoint_columns(ordinal: str) -> list:
+    return ["service", ordinal, "method", F.col("full_path").alias("path"), F.col("name").alias("handler"),
+            types.normalize_return(F.col("type")).alias("returns"), "file", "line"]
+
+
+def _errors(raw: DataFrame) -> DataFrame:
+    return raw.filter(F.col("row_kind") == "error").select(
+        "service", "file", F.col("name").alias("error"), F.col("type_text").alias("message"))
+
+
+def _finish(d: Declared) -> ExtractedCatalog:
     return ExtractedCatalog(
-        entities=_ordered(entities, ["service", "file", "seq"], "entity_ord").select(
-            "service", "entity_ord", F.col("name").alias("entity"), "kind", "file", "line",
-            F.when(F.col("kind") == "enum", F.coalesce("values", no_values)).otherwise(no_values).alias("values")),
-        fields=fields.select("service", F.col("owner").alias("entity"), F.col("seq").cast("bigint").alias("field_ord"),
-                             "name", F.coalesce("wire", "name").alias("json_name"), "type",
-                             F.col("type_text").alias("source_type"), "optional"),
-        endpoints=_ordered(endpoints, ["service", "file", "seq"], "ep_ord").select(
-            "service", "ep_ord", "method", F.col("full_path").alias("path"), F.col("name").alias("handler"),
-            types.normalize_return(F.col("type")).alias("returns"), "file", "line"),
-        params=params.select("service", "file", F.col("owner").alias("handler"), F.col("seq").alias("param_ord"), "name",
-                             "location", "type"),
-        errors=raw.filter(F.col("row_kind") == "error").select(
-            "service", "file", F.col("name").alias("error"), F.col("type_text").alias("message")),
+        entities=_ordered(d.entities, ["service", "file", "seq"], "entity_ord").select(*_entity_columns("entity_ord")),
+        fields=d.fields.select(*_field_columns(F.col("seq"))),
+        endpoints=_ordered(d.endpoints, ["service", "file", "seq"], "ep_ord").select(*_endpoint_columns("ep_ord")),
+        params=d.params.select("service", "file", F.col("owner").alias("handler"), F.col("seq").alias("param_ord"), "name",
+                               "location", "type"),
+        errors=_errors(d.raw),
     )
 
 
+def _numbered(rows: DataFrame, name: str) -> DataFrame:
+    """Ordinals from 0 without gaps within each service, by file and declaration: places in one order of all services less the
+    first place of the service. Nothing is ordered by one task, however large a service is."""
+    placed = with_places(rows, [F.col("service"), F.col("file"), F.col("seq")], "_place")
+    firsts = placed.groupBy("service").agg(F.min("_place").alias("_first"))
+    return placed.join(firsts, "service").withColumn(name, F.col("_place") - F.col("_first")).drop("_place", "_first")
+
+
+def extracted_catalog(files: DataFrame, services: DataFrame) -> tuple[Catalog, DataFrame]:
+    """The five catalog tables of source files, and the files that could not be read.
+
+    ``files`` has ``service, file, text``, ``services`` the columns of its catalog table. The language of a service says which reader
+    gets its files, by suffix, skipped parts of paths left out; registered languages take part. Entities and endpoints are numbered
+    from 0 within their service, fields and parameters within their owner, all by file and declaration. Fields of same-named
+    classes are those of the first."""
+    spoken = files.join(services.select("service", "language"), "service")
+    found = [MEANINGS[language](select_source_files(spoken.filter(F.col("language") == language), language), language)
+             for language in EXTRACTORS]
+
+    def all_of(part: Callable[[Declared], DataFrame], *columns: str | Column) -> DataFrame:
+        return reduce(DataFrame.unionByName, [part(d).select(*columns) for d in found])
+
+    entities = _numbered(all_of(lambda d: d.entities, "service", "file", "seq", "name", "kind", "line", "values"), "entity_ord")
+    endpoints = _numbered(all_of(lambda d: d.endpoints, "service", "file", "seq", "method", "full_path", "name",
+                                 "type", "line"), "ep_ord")
+    fields = all_of(lambda d: d.fields, "service", "file", "seq", "owner", "name", "wire", "type", "type_text", "optional")
+    params = all_of(lambda d: d.params, "service", "file", "seq", "route_seq", "name", "location", "type")
+    field_place = F.row_number().over(Window.partitionBy("service", "file", "owner").orderBy("seq")) - 1
+    param_place = F.row_number().over(Window.partitionBy("service", "file", "route_seq").orderBy("seq")) - 1
+    routed = (params.withColumn("param_ord", param_place)
+              .join(endpoints.select("service", "file", F.col("seq").alias("route_seq"), "ep_ord"), ["service", "file", "route_seq"]))
+    catalog = Catalog(
+        services=services, entities=entities.select(*_entity_columns("entity_ord")),
+        fields=fields.withColumn("_place", field_place).select(*_field_columns(F.col("_place"))),
+        endpoints=endpoints.select(*_endpoint_columns("ep_ord")),
+        params=routed.select("service", "ep_ord", "param_ord", "name", "location", "type"))
+    return catalog, reduce(DataFrame.unionByName, [_errors(d.raw) for d in found])
+
+
+def parse_services(files: DataFrame) -> tuple[Catalog, DataFrame]:
+    """``extracted_catalog`` of whole source trees, ``files(service, root, file, text)``: languages by what the trees hold, ports by
+    their configuration. Trees of no known language get an error row without a file."""
+    spoken = detect_language(files.select("root", F.col("file").alias("path")))
+    trees = files.select("service", "root").distinct().join(spoken, "root")
+    known = trees.filter(F.col("language").isNotNull())
+    ports = extract_port(files.join(known.select("service", "root", "language"), ["service", "root"])
+                         .select("service", "language", F.col("file").alias("path"), "text"))
+    framework = F.coalesce(*[F.when(F.col("language") == k, F.lit(v)) for k, v in FRAMEWORKS.items()], F.lit(""))
+    services = cut_lineage(known.join(ports, "service").select("service", "language", framework.alias("framework"), "root", "port"))
+    catalog, errors = extracted_catalog(files.select("service", "file", "text"), services)
+    unknown = trees.filter(F.col("language").isNull()).select(
+        "service", F.lit(None).cast("string").alias("file"), F.lit("ValueError").alias("error"), F.col("error").alias("message"))
+    return catalog, errors.unionByName(unknown)
+
+
 def _last_part(dotted: Column) -> Column:
     return F.element_at(F.split(dotted, r"\."), -1)
 
@@ -156,9 +245,9 @@ def _argument(keywords: list[str], what: str) -> Column:
     return F.get(fitting, F.lit(0))[what]
 
 
-def extract_python_catalog(files: DataFrame) -> ExtractedCatalog:
+def python_meaning(files: DataFrame, language: str = "python") -> Declared:
     """Models, dataclasses, enums and routes of Python sources."""
-    raw = cut_lineage(declarations(files, "python"))  # read by every table, parsed once
+    raw = cut_lineage(declarations(files, language))  # read by every table, parsed once
     constants = (raw.filter(F.col("row_kind") == "constant").groupBy("service", "file", F.col("owner").alias("name"))
                  .agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "name"))), lambda c: c["name"]).alias("values")))
     classes = (raw.filter(F.col("row_kind") == "class").drop("values")
@@ -188,16 +277,21 @@ def extract_python_catalog(files: DataFrame) -> ExtractedCatalog:
     endpoints = resolve_refs(routes, parts, known, "_type").withColumn(
         "type", F.when(F.col("type_text").isNotNull(), F.col("_type"))).withColumn("full_path", F.col("path"))
     handled = (raw.filter(F.col("row_kind") == "argument").drop("path")
-               .join(routes.select("service", "file", "owner", "line", "path"), ["service", "file", "owner", "line"]))
+               .join(routes.select("service", "file", "owner", "line", "path", F.col("seq").alias("route_seq")),
+                     ["service", "file", "owner", "line"]))
     params = resolve_refs(handled, parts, known, "type").withColumn(
         "location", paths.param_location(F.col("name"), F.col("type"), F.col("path")))
-    return _finish(raw, entities, fields, endpoints, params)
+    return Declared(raw, entities, fields, endpoints, params)
 
 
-def extract_java_catalog(files: DataFrame) -> ExtractedCatalog:
+def extract_python_catalog(files: DataFrame) -> ExtractedCatalog:
+    return _finish(python_meaning(files))
+
+
+def java_meaning(files: DataFrame, language: str = "java") -> Declared:
     """Classes, records, enums and controller routes of Java sources. A class with routes is no entity, nor is a
-    class without fields."""
-    raw = cut_lineage(declarations(files, "java"))  # read by every table, parsed once
+    class without fields. Parameters follow the route they belong to."""
+    raw = cut_lineage(declarations(files, language))  # read by every table, parsed once
     types_rows = raw.filter((F.col("row_kind") == "class") & F.col("java_kind").isin("class", "record", "enum"))
     known = types_rows.select("service", "name").distinct()
     members = raw.groupBy("service", "file", "owner").agg(
@@ -221,8 +315,16 @@ def extract_java_catalog(files: DataFrame) -> ExtractedCatalog:
         "full_path", paths.join_path(F.col("prefix"), F.col("path")))
     location = F.coalesce(*[F.when(F.array_contains("marks", mark), F.lit(place))
                             for mark, place in paths.JAVA_PARAM_LOCATIONS.items()])
-    bound = (raw.filter(F.col("row_kind") == "param").withColumn("location", location)
-             .filter(F.col("location").isNotNull())
-             .join(routes.select("service", "file", F.col("name").alias("owner")).distinct(), ["service", "file", "owner"],
-                   "left_semi"))
-    return _finish(raw, entities, fields, endpoints, resolve_refs(bound, parts, known, "type"))
+    before = Window.partitionBy("service", "file").orderBy("seq")
+    route_seq = F.last(F.when(F.col("row_kind") == "endpoint", F.col("seq")), ignorenulls=True).over(before)
+    bound = (raw.filter(F.col("row_kind").isin("endpoint", "param")).withColumn("route_seq", route_seq)
+             .filter(F.col("row_kind") == "param").withColumn("location", location).filter(F.col("location").isNotNull())
+             .join(routes.select("service", "file", F.col("seq").alias("route_seq")), ["service", "file", "route_seq"], "left_semi"))
+    return Declared(raw, entities, fields, endpoints, resolve_refs(bound, parts, known, "type"))
+
+
+def extract_java_catalog(files: DataFrame) -> ExtractedCatalog:
+    return _finish(java_meaning(files))
+
+
+MEANINGS: dict[str, Meaning] = {"java": java_meaning, "python": python_meaning}

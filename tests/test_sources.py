@@ -113,3 +113,43 @@ def test_a_long_file_is_read_in_time():
     rows = list(declarations.java_declarations(text))
     assert time.process_time() - start < 2 and len(rows) == 8003 and len(text) > 350_000
     assert [r["line"] for r in rows if r["row_kind"] == "class"] == [1, text[:text.index("class B")].count("\n") + 1]
+
+
+def test_services_of_three_languages_as_documents(spark):
+    from crosswalk.sources import declarations
+    java = ("@RestController class Web {\n @GetMapping(\"/a\") String get(@PathVariable Long id) { return null; }\n"
+            " @GetMapping(\"/b\") String get(@RequestParam int n, Foo skipped, @RequestBody A body) { return null; }\n}\nclass A { int x; String y; }\n")
+    rows = [("j", "r1", "Web.java", java), ("j", "r1", "Early.java", "record B(int z) {}"), ("j", "r1", "src/test/T.java", "class T { int t; }"),
+            ("j", "r1", "application.properties", "server.port=99"), ("p", "r2", "m.py", PYTHON), ("p", "r2", "bad.py", "def broken(:\n"),
+            ("k", "r3", "a.toy", "class A { int only; }"), ("n", "r4", "readme.md", "text"), ("j", "r1", "empty.java", "")]
+    files = spark.createDataFrame(rows, "service string, root string, file string, text string").repartition(3)
+    services = spark.createDataFrame([("k", "toy", "", "r3", 1), ("j", "java", "spring-boot", "r1", 99)], model.SERVICES_DDL)
+    sc.register_extractor("toy", ".toy", declarations.java_declarations)
+    try:
+        toy, _ = sc.extracted_catalog(files.select("service", "file", "text"), services)
+        assert [(r.service, r.entity, r.name) for r in toy.fields.filter("service = 'k'").collect()] == [("k", "A", "only")]
+    finally:
+        for known in (sc.EXTRACTORS, sc.SUFFIXES, sc.MEANINGS, sc.FRAMEWORKS):
+            del known["toy"]
+    catalog, errors = sc.parse_services(files)
+    documents = {r["name"]: r.asDict(recursive=True) for r in cat.catalog_documents(catalog).collect()}
+    assert set(documents) == {"j", "p"}
+    j, p = documents["j"], documents["p"]
+    assert (j["language"], j["framework"], j["root"], j["port"], p["framework"], p["port"]) == ("java", "spring-boot", "r1", 99, "fastapi", 8000)
+    assert [(e["name"], [f["name"] for f in e["fields"]]) for e in j["entities"]] == [("B", ["z"]), ("A", ["x", "y"])]
+    assert [(e["path"], [(x["name"], x["location"]) for x in e["params"]]) for e in j["endpoints"]] == [
+        ("/a", [("id", "path")]), ("/b", [("n", "query"), ("body", "body")])]
+    assert [e["name"] for e in p["entities"]] == ["Tier", "Seat", "Booking"] and [e["path"] for e in p["endpoints"]] == ["/", "/bookings/{booking_id}"]
+    assert [f["name"] for f in p["entities"][1]["fields"]] == ["row", "tier", "price"]
+    assert [[x["name"] for x in e["params"]] for e in p["endpoints"]] == [["booking_id", "body", "note"]] * 2
+    assert {(r.service, r.file, r.error) for r in errors.collect()} == {
+        ("p", "bad.py", "SyntaxError"), ("n", None, "ValueError"), ("k", None, "ValueError")}
+    ords = sorted((r.service, r.entity_ord) for r in catalog.entities.collect())
+    assert ords == [("j", 0), ("j", 1), ("p", 0), ("p", 1), ("p", 2)]
+    assert sorted((r.service, r.ep_ord, r.param_ord) for r in catalog.params.filter("service = 'j'").collect()) == [("j", 0, 0), ("j", 1, 0), ("j", 1, 1)]
+
+
+def test_catalog_of_no_files(spark):
+    none = spark.createDataFrame([], "service string, root string, file string, text string")
+    catalog, errors = sc.parse_services(none)
+    assert cat.catalog_documents(catalog).count() == 0 and errors.count() == 0

@@ -170,3 +170,31 @@ def extract_java_endpoints(spark, sf):
 CASE n WHEN 'id' THEN 'integer' ELSE 'string' END AS type FROM part CROSS JOIN (VALUES ('id'), ('q')) v(n)""")
 def extract_java_params(spark, sf):
     return source_code.extract_java_catalog(_sources(spark, sf, _JAVA_FILE, ".java")).params.select("service", "file", "handler", "name", "location", "type")
+
+
+# both trees of a brand: Java sources with a configuration file, Python sources with files that cannot be read
+@query("extracted_catalog", """WITH j AS (SELECT 'java-' || p_brand AS name, 'java' AS language, 'spring-boot' AS framework, 9000 + substr(p_brand, 7)::INT AS port,
+  'm' || p_partkey || '.java' AS file, p_partkey AS k, p_size AS z FROM part),
+p AS (SELECT 'python-' || p_brand AS name, 'python' AS language, 'fastapi' AS framework, 8000 AS port, 'm' || p_partkey || '.py' AS file, p_partkey AS k, p_size AS z
+  FROM part WHERE p_partkey % 50 <> 0),
+e AS (SELECT name, language, framework, port, file, 0 AS seq, 'Part' || k AS item, 'partKey' AS first_part, 3 AS n FROM j UNION ALL SELECT name, language, framework, port, file, 1, 'Size' || z, NULL, 0 FROM j
+  UNION ALL SELECT name, language, framework, port, file, 2, 'Pair' || k, 'left', 2 FROM j WHERE k % 3 = 0
+  UNION ALL SELECT name, language, framework, port, file, 0, 'Size' || z, NULL, 0 FROM p UNION ALL SELECT name, language, framework, port, file, 1, 'Part' || k, 'part_key', 4 FROM p WHERE k % 4 <> 0),
+r AS (SELECT name, language, framework, port, file, 'list' AS item, 'id' AS first_part, 2 AS n FROM j UNION ALL SELECT name, language, framework, port, file, 'read' || k, 'part_key', 3 FROM p)
+SELECT name, language, framework, port, 'entity' AS what, row_number() OVER (PARTITION BY name ORDER BY file, seq) - 1 AS ord, item, first_part, n FROM e
+UNION ALL SELECT name, language, framework, port, 'endpoint', row_number() OVER (PARTITION BY name ORDER BY file) - 1, item, first_part, n FROM r""")
+def extracted_catalog(spark, sf):
+    """Source trees to service documents: what each document lists, in its order."""
+    def tree(language, text, suffix):
+        return _sources(spark, sf, text, suffix).withColumn("service", F.concat(F.lit(language + "-"), "service"))
+    settings = table(spark, sf, "part").select(F.concat(F.lit("java-"), "p_brand").alias("service"), F.lit("application.properties").alias("file"),
+                                               F.expr("concat('server.port=', 9000 + cast(substr(p_brand, 7) AS INT))").alias("text")).distinct()
+    files = tree("java", _JAVA_FILE, ".java").unionByName(tree("python", _PY_FILE, ".py")).unionByName(settings)
+    catalog, _ = source_code.parse_services(files.withColumn("root", F.col("service")))
+    documents = cat.catalog_documents(catalog)
+
+    def listed(what, items, item, parts):
+        rows = documents.select("name", "language", "framework", "port", F.lit(what).alias("what"), F.posexplode(items).alias("ord", "i"))
+        return rows.select("name", "language", "framework", "port", "what", "ord", F.col(f"i.{item}").alias("item"),
+                           F.get(F.col(f"i.{parts}.name"), F.lit(0)).alias("first_part"), F.size(f"i.{parts}").alias("n"))
+    return listed("entity", "entities", "name", "fields").unionByName(listed("endpoint", "endpoints", "handler", "params"))
