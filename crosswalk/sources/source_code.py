@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 from crosswalk.functions import paths, types
 from crosswalk.operators.places import with_places
 from crosswalk.operators.skew import spread_missing
-from crosswalk.session import cut_lineage
+from crosswalk.session import cut_lineage, written
 from crosswalk.sources import declarations as readers
 from crosswalk.sources.catalog import Catalog, detect_language, extract_port
 
@@ -247,7 +247,7 @@ def _argument(keywords: list[str], what: str) -> Column:
 
 def python_meaning(files: DataFrame, language: str = "python") -> Declared:
     """Models, dataclasses, enums and routes of Python sources."""
-    raw = cut_lineage(declarations(files, language))  # read by every table, parsed once
+    raw = written(declarations(files, language), "declarations")  # read by every table, parsed once
     constants = (raw.filter(F.col("row_kind") == "constant").groupBy("service", "file", F.col("owner").alias("name"))
                  .agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "name"))), lambda c: c["name"]).alias("values")))
     classes = (raw.filter(F.col("row_kind") == "class").drop("values")
@@ -291,7 +291,7 @@ def extract_python_catalog(files: DataFrame) -> ExtractedCatalog:
 def java_meaning(files: DataFrame, language: str = "java") -> Declared:
     """Classes, records, enums and controller routes of Java sources. A class with routes is no entity, nor is a
     class without fields. Parameters follow the route they belong to."""
-    raw = cut_lineage(declarations(files, language))  # read by every table, parsed once
+    raw = written(declarations(files, language), "declarations")  # read by every table, parsed once
     types_rows = raw.filter((F.col("row_kind") == "class") & F.col("java_kind").isin("class", "record", "enum"))
     known = types_rows.select("service", "name").distinct()
     members = raw.groupBy("service", "file", "owner").agg(
