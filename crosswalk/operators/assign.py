@@ -7,21 +7,48 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crosswalk.session import cut_lineage
+from crosswalk.session import cut_lineage, written
 
+#: Candidates of a scope that are walked in one array.
+FOLDED = 1024
 
-def assign_one_to_one(candidates: DataFrame, scope: list[str], left: str, right: str, order: list[Column]) -> DataFrame:
+
+def assign_one_to_one(candidates: DataFrame, scope: list[str], left: str, right: str, order: list[Column],
+                      folded: int = FOLDED) -> DataFrame:
     """Walk the candidates of each scope in the given order and keep those whose two ends are both still free.
 
-    ``order`` has to be a total order within a scope. A candidate that comes first for both of its ends is taken
-    by that walk whatever else there is, so each round takes all of these at once and drops the candidates that
-    lost an end. What is best for an end is an aggregation with map-side merging, so a popular end is no
-    hot spot. Rounds end when no candidate is open: usually after three to five, at worst after as many as one
-    scope has pairs."""
-    rank = F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)])
-    columns = candidates.columns
-    # every round reads the rows three times, so they are computed once up front
-    open_rows = cut_lineage(candidates.withColumn("_rank", rank))
+    ``order`` has to be a total order within a scope. Scopes of at most ``folded`` candidates are sorted in one array and walked in
+    one expression; larger ones go in rounds over all rows (``_in_rounds``), so no array grows with its scope. Both keep the same."""
+    # read by the count and by the walk, so the rows are computed once up front
+    rows = written(candidates.withColumn("_rank", F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)])), "candidates")
+    large = rows.groupBy(*scope).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > folded).drop("_n")
+    if large.isEmpty():
+        return _folded(rows, scope, left, right, candidates.columns)
+    if not scope:
+        return _in_rounds(rows, scope, left, right, candidates.columns)
+    small = _folded(rows.join(large, scope, "left_anti"), scope, left, right, candidates.columns)
+    return small.unionByName(_in_rounds(rows.join(large, scope, "left_semi"), scope, left, right, candidates.columns))
+
+
+def _folded(rows: DataFrame, scope: list[str], left: str, right: str, columns: list[str]) -> DataFrame:
+    """The walk itself: the array of what is kept so far grows by each candidate that shares no end with it."""
+    rest = [c for c in columns if c not in scope]
+    walked = rows.groupBy(*scope).agg(F.array_sort(F.collect_list(F.struct("_rank", *rest))).alias("_all"))
+    kind = walked.schema["_all"].dataType
+
+    def step(kept: Column, one: Column) -> Column:
+        met = F.exists(kept, lambda k: k[left].eqNullSafe(one[left]) | k[right].eqNullSafe(one[right]))
+        return F.when(met, kept).otherwise(F.concat(kept, F.array(one)))
+    kept = F.aggregate("_all", F.array().cast(kind), step)
+    return walked.select(*scope, F.explode_outer(kept).alias("_k")).filter(F.col("_k").isNotNull()).select(
+        *[c if c in scope else F.col(f"_k.{c}").alias(c) for c in columns])
+
+
+def _in_rounds(open_rows: DataFrame, scope: list[str], left: str, right: str, columns: list[str]) -> DataFrame:
+    """A candidate that comes first for both of its ends is taken by the walk whatever else there is, so each round takes all of
+    these at once and drops the candidates that lost an end. What is best for an end is an aggregation with map-side merging, so
+    a popular end is no hot spot. Rounds end when no candidate is open: usually after three to five, at worst after as many
+    as one scope has pairs."""
     taken = []
     while True:
         ends = F.struct("_rank", F.col(left).alias("l"), F.col(right).alias("r"))  # the rank decides, it is unique

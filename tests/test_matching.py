@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from crosswalk import model
@@ -80,7 +81,8 @@ def test_keys_lose_no_pair(spark):
     assert got == want and len(want) > 200
 
 
-def test_rounds_equal_the_greedy_walk(spark):
+@pytest.mark.parametrize("folded", [0, 30, 1024])
+def test_folds_and_rounds_equal_the_greedy_walk(spark, folded):
     rng = random.Random(3)
     rows = [(g, f"c{c}", f"p{p}", c, p, rng.choice([0.5, 0.7, 0.8, 0.9, 1.0]))
             for g in range(30) for c in range(7) for p in range(7) if rng.random() < 0.6]
@@ -90,8 +92,12 @@ def test_rounds_equal_the_greedy_walk(spark):
             used |= {(g, c), (g, p)}
             want.add((g, c, p))
     df = spark.createDataFrame(rows, "g INT, c STRING, p STRING, c_ord INT, p_ord INT, score DOUBLE")
-    got = assign_one_to_one(df, ["g"], "c", "p", [-F.col("score"), F.col("c_ord"), F.col("p_ord")])
-    assert {(r["g"], r["c"], r["p"]) for r in got.collect()} == want
+    order = [-F.col("score"), F.col("c_ord"), F.col("p_ord")]
+    got = assign_one_to_one(df, ["g"], "c", "p", order, folded=folded)
+    assert got.columns == df.columns and {(r["g"], r["c"], r["p"]) for r in got.collect()} == want
+    one = assign_one_to_one(df.filter("g = 4"), [], "c", "p", order, folded=folded).collect()
+    assert {(r["g"], r["c"], r["p"]) for r in one} == {w for w in want if w[0] == 4}
+    assert assign_one_to_one(df.filter("false"), ["g"], "c", "p", order, folded=folded).count() == 0
 
 
 def test_salted_join_splits_hot_keys_and_keeps_every_row(spark):
