@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from crosswalk.functions import names, types
 from crosswalk.operators.assign import assign_one_to_one, first_wins
-from crosswalk.operators.skew import salted_join, spread_missing
+from crosswalk.operators.skew import salted_join, spread_missing, unbounded
 from crosswalk.session import cut_lineage
 
 THRESHOLD = 0.5
@@ -35,7 +35,7 @@ def resolve_enum(fields: DataFrame, entities: DataFrame) -> DataFrame:
         "service", F.col("entity").alias("_ref"), F.col("kind").alias("ref_kind"))
     ref = F.when(F.col("type").startswith("ref:"), F.substr(F.col("type"), F.lit(5)))
     keyed = fields.withColumn("_ref", spread_missing(ref, F.col("service"), F.col("entity"), F.col("name")))
-    return keyed.join(kinds, ["service", "_ref"], "left").drop("_ref")
+    return keyed.join(unbounded(kinds), ["service", "_ref"], "left").drop("_ref")
 
 
 def provider_side(fields: DataFrame, entities: DataFrame, pairings: DataFrame | None = None, scope: list[str] = ()) -> DataFrame:
@@ -67,7 +67,7 @@ def _of_pairings(rows: DataFrame, pairings: DataFrame | None, scope: list[str],
     if pairings is None:
         return rows
     on = [c for c in (f"{role}_service", f"{role}_entity") if c in pairings.columns]
-    return rows.join(pairings.select(*scope, *on), on)
+    return rows.join(unbounded(pairings.select(*scope, *on)), on)
 
 
 def _score() -> Column:
@@ -94,7 +94,7 @@ def candidate_pairs(pairings: DataFrame, fields: DataFrame, entities: DataFrame,
     ``distinct`` is needed. Types that cannot reach the threshold are dropped before the names are compared."""
     by_entity = "provider_entity" in pairings.columns
     records = non_enum_entities(lookup_entity(entities)).select("service", "entity")
-    usable = fields if by_entity else fields.join(records, ["service", "entity"], "left_semi")
+    usable = fields if by_entity else fields.join(unbounded(records), ["service", "entity"], "left_semi")
     # both sides are counted and joined; taking names apart twice would cost more than writing them down
     consumers = cut_lineage(consumer_side(usable, pairings, scope))
     providers = cut_lineage(provider_side(usable, entities, pairings, scope))
@@ -140,7 +140,7 @@ def entity_pairs(pairings: DataFrame, entities: DataFrame, candidates: DataFrame
     usable = non_enum_entities(lookup_entity(entities)).select("service", "entity", "entity_ord")
 
     def side(prefix: str, role: str) -> DataFrame:
-        return (pairings.select(*scope, F.col(f"{role}_service").alias("service")).join(usable, "service")
+        return (pairings.select(*scope, F.col(f"{role}_service").alias("service")).join(unbounded(usable), "service")
                 .select(*scope, F.col("entity").alias(f"{role}_entity"), F.col("entity_ord").alias(f"{prefix}_ent_ord"),
                         names.tagged("entity").alias(f"{prefix}_words"))
                 .withColumn(f"{prefix}_keys", names.blocking_keys(f"{prefix}_words")))
@@ -153,8 +153,9 @@ def entity_pairs(pairings: DataFrame, entities: DataFrame, candidates: DataFrame
              .filter(F.array_min(F.array_intersect("c_keys", "p_keys")) == F.col("key")))
     keys = [*scope, "provider_entity", "consumer_entity"]
     wanted = (candidates.select(*keys).unionByName(alike.select(*keys))
-              .unionByName(first_p.join(first_c, scope).select(*keys)).distinct())
-    return (wanted.join(p.drop("p_keys"), [*scope, "provider_entity"]).join(c.drop("c_keys"), [*scope, "consumer_entity"])
+              .unionByName(first_p.join(unbounded(first_c), scope).select(*keys)).distinct())
+    return (wanted.join(unbounded(p.drop("p_keys")), [*scope, "provider_entity"])
+            .join(unbounded(c.drop("c_keys")), [*scope, "consumer_entity"])
             .withColumn("name_score", names.list_similarity("p_words", "c_words"))
             .select(*scope, "provider_entity", "consumer_entity", "p_ent_ord", "c_ent_ord", "name_score"))
 
@@ -166,9 +167,9 @@ def score_entity_pairs(pairings: DataFrame, fields: DataFrame, entities: DataFra
     mapped = heuristic_pairs(candidates, pair_scope).groupBy(*pair_scope).agg(F.count(F.lit(1)).alias("n_pairs"))
     sizes = (fields.groupBy("service", "entity").agg(F.count(F.lit(1)).alias("n_fields"))
              .withColumnsRenamed({"service": "consumer_service", "entity": "consumer_entity"}))
-    pairs = (entity_pairs(pairings, entities, candidates, scope).join(mapped, pair_scope, "left")
-             .join(pairings.select(*scope, "consumer_service"), scope)
-             .join(sizes, ["consumer_service", "consumer_entity"], "left"))
+    pairs = (entity_pairs(pairings, entities, candidates, scope).join(unbounded(mapped), pair_scope, "left")
+             .join(unbounded(pairings.select(*scope, "consumer_service")), scope)
+             .join(unbounded(sizes), ["consumer_service", "consumer_entity"], "left"))
     covered = F.coalesce("n_pairs", F.lit(0)) / F.greatest(F.coalesce("n_fields", F.lit(0)), F.lit(1))
     return pairs.select(*pair_scope, "p_ent_ord", "c_ent_ord",
                         (covered + F.lit(ENTITY_NAME_WEIGHT) * F.col("name_score")).alias("score"))
@@ -204,9 +205,9 @@ def validate_proposals(proposals: DataFrame, pairings: DataFrame, fields: DataFr
     c = consumer_side(one).select("consumer_service", "consumer_entity", "consumer_field", "c_type", "c_base", "c_ord")
     p = provider_side(one, entities).select("provider_service", "provider_entity", "provider_field", "provider_json",
                                             "p_type", "p_base", "p_ord")
-    known = (proposals.join(wide, scope)
-             .join(c, ["consumer_service", "consumer_entity", "consumer_field"], "left")
-             .join(p, ["provider_service", "provider_entity", "provider_field"], "left")
+    known = (proposals.join(unbounded(wide), scope)
+             .join(unbounded(c), ["consumer_service", "consumer_entity", "consumer_field"], "left")
+             .join(unbounded(p), ["provider_service", "provider_entity", "provider_field"], "left")
              .withColumn("known", F.col("c_ord").isNotNull() & F.col("p_ord").isNotNull())
              .withColumn("fits", types.type_compat(F.col("p_base"), F.col("c_base")) >= F.lit(THRESHOLD)))
     accepted = assign_one_to_one(
@@ -214,7 +215,8 @@ def validate_proposals(proposals: DataFrame, pairings: DataFrame, fields: DataFr
         scope, "consumer_field", "provider_field", [F.col("ord")])
     by_c = accepted.select(*scope, "consumer_field", F.col("ord").alias("_c_ord"))
     by_p = accepted.select(*scope, "provider_field", F.col("ord").alias("_p_ord"))
-    judged = (known.join(by_c, [*scope, "consumer_field"], "left").join(by_p, [*scope, "provider_field"], "left"))
+    judged = (known.join(unbounded(by_c), [*scope, "consumer_field"], "left")
+              .join(unbounded(by_p), [*scope, "provider_field"], "left"))
     taken = F.coalesce(F.col("_c_ord") < F.col("ord"), F.lit(False)) | F.coalesce(F.col("_p_ord") < F.col("ord"), F.lit(False))
     is_accepted = F.col("_c_ord").eqNullSafe(F.col("ord")) & F.col("_p_ord").eqNullSafe(F.col("ord"))
     outcome = (F.when(~F.col("known"), F.lit("unknown")).when(is_accepted, F.lit("accepted"))
@@ -240,8 +242,8 @@ def accepted_pairs(validated: DataFrame, scope: list[str]) -> DataFrame:
 
 def fill_gaps(pairs: DataFrame, heuristic: DataFrame, scope: list[str]) -> DataFrame:
     """Heuristic pairs whose consumer and provider field are both free, added to the given pairs."""
-    free = (heuristic.join(pairs.select(*scope, "consumer_field"), [*scope, "consumer_field"], "left_anti")
-            .join(pairs.select(*scope, "provider_field"), [*scope, "provider_field"], "left_anti"))
+    free = (heuristic.join(unbounded(pairs.select(*scope, "consumer_field")), [*scope, "consumer_field"], "left_anti")
+            .join(unbounded(pairs.select(*scope, "provider_field")), [*scope, "provider_field"], "left_anti"))
     return pairs.unionByName(free.select(*pairs.columns))
 
 
@@ -249,20 +251,21 @@ def side_fields(pairings: DataFrame, fields: DataFrame, scope: list[str], role:
     """Fields of the provider or consumer entity of each pairing: scope columns, ``ord``, ``name``."""
     keyed = fields.select(F.col("service").alias(f"{role}_service"), F.col("entity").alias(f"{role}_entity"),
                           F.col("field_ord").alias("ord"), "name", "type", "source_type")
-    return pairings.select(*scope, f"{role}_service", f"{role}_entity").join(keyed, [f"{role}_service", f"{role}_entity"])
+    return pairings.select(*scope, f"{role}_service", f"{role}_entity").join(
+        unbounded(keyed), [f"{role}_service", f"{role}_entity"])
 
 
 def unmapped_consumer(pairings: DataFrame, fields: DataFrame, pairs: DataFrame, scope: list[str]) -> DataFrame:
     """Consumer fields in no pair."""
     mapped = pairs.select(*scope, F.col("consumer_field").alias("name"))
-    return side_fields(pairings, fields, scope, "consumer").join(mapped, [*scope, "name"], "left_anti").select(
+    return side_fields(pairings, fields, scope, "consumer").join(unbounded(mapped), [*scope, "name"], "left_anti").select(
         *scope, "ord", "name")
 
 
 def unused_provider(pairings: DataFrame, fields: DataFrame, pairs: DataFrame, scope: list[str]) -> DataFrame:
     """Provider fields in no pair."""
     mapped = pairs.select(*scope, F.col("provider_field").alias("name"))
-    return side_fields(pairings, fields, scope, "provider").join(mapped, [*scope, "name"], "left_anti").select(
+    return side_fields(pairings, fields, scope, "provider").join(unbounded(mapped), [*scope, "name"], "left_anti").select(
         *scope, "ord", "name")
 
 
@@ -279,8 +282,8 @@ def pair_types(pairings: DataFrame, fields: DataFrame, pairs: DataFrame, scope:
         last = rows.groupBy(*scope, "name").agg(F.max_by("shown", "ord").alias(f"{role}_type"))
         return last.withColumnRenamed("name", f"{role}_field")
 
-    return (pairs.join(typed("consumer"), [*scope, "consumer_field"], "left")
-            .join(typed("provider"), [*scope, "provider_field"], "left"))
+    return (pairs.join(unbounded(typed("consumer")), [*scope, "consumer_field"], "left")
+            .join(unbounded(typed("provider")), [*scope, "provider_field"], "left"))
 
 
 def coverage(pairings: DataFrame, fields: DataFrame, pairs: DataFrame, scope: list[str]) -> DataFrame:
@@ -289,7 +292,7 @@ def coverage(pairings: DataFrame, fields: DataFrame, pairs: DataFrame, scope: li
     missing = unmapped_consumer(pairings, fields, pairs, scope).groupBy(*scope).agg(F.count(F.lit(1)).alias("unmapped"))
     n, m = F.coalesce("mapped", F.lit(0)), F.coalesce("unmapped", F.lit(0))
     share = F.coalesce(F.try_divide(n.cast("double"), n + m), F.lit(0.0))
-    return (pairings.select(*scope).join(mapped, scope, "left").join(missing, scope, "left")
+    return (pairings.select(*scope).join(unbounded(mapped), scope, "left").join(unbounded(missing), scope, "left")
             .select(*scope, n.alias("mapped"), m.alias("unmapped"), share.alias("coverage")))
 
 

@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 ROWS_PER_SALT = 1_000_000
 
 
+def unbounded(df: DataFrame) -> DataFrame:
+    """``df`` as one side of a join that is never broadcast. The planner takes a table for as large as its files or what it came from,
+    and neither tells how many rows an explode makes or how well rows were packed, so a table of any size may look small enough to
+    be collected by the driver. Tables that grow with the input are joined by sorting both sides."""
+    return df.hint("merge")
+
+
 def key_counts(df: DataFrame, keys: list[str]) -> DataFrame:
     """Rows per key, merged before the shuffle."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))

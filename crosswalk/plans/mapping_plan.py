@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from crosswalk.functions.types import round_half_even
 from crosswalk.operators import match
+from crosswalk.operators.skew import unbounded
 from crosswalk.session import cut_lineage
 
 PAIR_COLUMNS = ["consumer_field", "provider_field", "provider_json", "confidence", "source", "reason"]
@@ -39,14 +40,14 @@ class MappingPlan:
         proposed = F.col("source") == "llm"
         who = self.pairs.groupBy(*self.scope).agg(F.bool_or(proposed).alias("_any"), F.bool_and(proposed).alias("_all"))
         label = match.engine_label(F.lit(self.engine).cast("string"), F.col("_any"), F.col("_all"))
-        return self.pairings.select(*self.scope).join(who, self.scope, "left").select(*self.scope, label.alias("engine"))
+        return self.pairings.select(*self.scope).join(unbounded(who), self.scope, "left").select(*self.scope, label.alias("engine"))
 
     def documents(self) -> DataFrame:
         """One row per pairing with its lists in field order. A list is as long as an entity is wide."""
         def listed(df: DataFrame, order: str, columns: list[str], name: str) -> DataFrame:
             item = F.struct(F.col(order).alias("_o"), F.struct(*columns).alias("v"))
             pick = (lambda x: x["v"]) if len(columns) > 1 else (lambda x: x["v"][columns[0]])
-            return df.groupBy(*self.scope).agg(F.transform(F.array_sort(F.collect_list(item)), pick).alias(name))
+            return unbounded(df.groupBy(*self.scope).agg(F.transform(F.array_sort(F.collect_list(item)), pick).alias(name)))
 
         scope = self.scope
         out = self.pairings.select(*scope, "provider_service", "consumer_service", "provider_entity", "consumer_entity")
@@ -57,8 +58,8 @@ class MappingPlan:
             out = out.join(listed(self.notes, "ord", ["note"], "notes"), scope, "left")
         else:
             out = out.withColumn("notes", F.lit(None).cast("array<string>"))
-        out = out.join(self.engines(), scope).join(
-            self.coverage().select(*scope, round_half_even(F.col("coverage")).alias("coverage")), scope)
+        out = out.join(unbounded(self.engines()), scope).join(
+            unbounded(self.coverage().select(*scope, round_half_even(F.col("coverage")).alias("coverage"))), scope)
         empty = {c: F.coalesce(F.col(c), F.array().cast("array<string>"))
                  for c in ("unmapped_consumer", "unused_provider", "notes")}
         pair_type = out.schema["pairs"].dataType.simpleString()

@@ -106,3 +106,15 @@ def test_salted_join_splits_hot_keys_and_keeps_every_row(spark):
     plain = left.join(right, ["k"]).select("l", "r", "k")
     salted = salted_join(left, right, ["k"], ["l"], ["r"], rows_per_salt=25).select("l", "r", "k")
     assert salted.exceptAll(plain).count() == 0 and plain.exceptAll(salted).count() == 0
+
+
+def test_no_table_of_a_plan_is_broadcast(spark):
+    """Small as they look to the planner, all of these grow with the input."""
+    rows = [(1, 0, "client_id", "customerId", 0.97, None)]
+    proposals = spark.createDataFrame(rows, "plan_id INT, ord INT, consumer_field STRING, provider_field STRING, confidence DOUBLE, reason STRING")
+    plan = build_plan(entity_pairing(spark), fields(spark), entities(spark), ["plan_id"], proposals, "fake")
+    tables = [match.resolve_enum(fields(spark), entities(spark)), plan.documents(), plan.coverage(), plan.unmapped(), plan.unused(), plan.engines(),
+              match.pair_types(plan.pairings, plan.fields, plan.pairs, ["plan_id"]), match.fill_gaps(plan.pairs, plan.pairs, ["plan_id"]),
+              match.validate_proposals(proposals, plan.pairings, fields(spark), entities(spark), ["plan_id"])]
+    for table in tables:
+        assert "Broadcast" not in table._jdf.queryExecution().executedPlan().toString()
