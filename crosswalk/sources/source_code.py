@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 
 from crosswalk.functions import paths, types
 from crosswalk.operators.places import with_places
-from crosswalk.operators.skew import spread_missing
+from crosswalk.operators.skew import spread_missing, unbounded
 from crosswalk.session import cut_lineage, written
 from crosswalk.sources import declarations as readers
 from crosswalk.sources.catalog import Catalog, detect_language, extract_port
@@ -126,7 +126,7 @@ def declarations(files: DataFrame, language: str) -> DataFrame:
 def _first_of_each(entities: DataFrame) -> DataFrame:
     """Of entities of one name in a service the first by file and place: a lookup by name finds that one, so fields are its."""
     firsts = entities.groupBy("service", "name").agg(F.min(F.struct("file", "seq")).alias("_first"))
-    return (entities.join(firsts, ["service", "name"])
+    return (entities.join(unbounded(firsts), ["service", "name"])
             .filter((F.col("file") == F.col("_first.file")) & (F.col("seq") == F.col("_first.seq"))).drop("_first"))
 
 
@@ -138,7 +138,7 @@ def resolve_refs(rows: DataFrame, parts: Column, known: DataFrame, out: str) ->
     lookup = F.when(F.col("_parts.scalar").isNull(), F.col("_parts.name"))
     keyed = staged.withColumn("_ref", spread_missing(lookup, F.col("service"), F.col("name"), F.col("type_text")))
     found = known.select("service", F.col("name").alias("_ref"), F.lit(True).alias("_known"))
-    return (keyed.join(found, ["service", "_ref"], "left")
+    return (keyed.join(unbounded(found), ["service", "_ref"], "left")
             .withColumn(out, types.canonical_text(F.col("_parts"), F.coalesce("_known", F.lit(False))))
             .drop("_ref", "_known"))
 
@@ -196,6 +196,8 @@ def extracted_catalog(files: DataFrame, services: DataFrame) -> tuple[Catalog, D
     from 0 within their service, fields and parameters within their owner, all by file and declaration. Fields of same-named
     classes are those of the first."""
     spoken = files.join(services.select("service", "language"), "service")
+    # the join deals files out by service, of which there may be few; they are spread before they are read
+    spoken = spoken.repartition(4 * files.sparkSession.sparkContext.defaultParallelism, "service", "file")
     found = [MEANINGS[language](select_source_files(spoken.filter(F.col("language") == language), language), language)
              for language in EXTRACTORS]
 
@@ -210,7 +212,7 @@ def extracted_catalog(files: DataFrame, services: DataFrame) -> tuple[Catalog, D
     field_place = F.row_number().over(Window.partitionBy("service", "file", "owner").orderBy("seq")) - 1
     param_place = F.row_number().over(Window.partitionBy("service", "file", "route_seq").orderBy("seq")) - 1
     routed = (params.withColumn("param_ord", param_place)
-              .join(endpoints.select("service", "file", F.col("seq").alias("route_seq"), "ep_ord"), ["service", "file", "route_seq"]))
+              .join(unbounded(endpoints.select("service", "file", F.col("seq").alias("route_seq"), "ep_ord")), ["service", "file", "route_seq"]))
     catalog = Catalog(
         services=services, entities=entities.select(*_entity_columns("entity_ord")),
         fields=fields.withColumn("_place", field_place).select(*_field_columns(F.col("_place"))),
@@ -252,14 +254,14 @@ def python_meaning(files: DataFrame, language: str = "python") -> Declared:
                  .agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "name"))), lambda c: c["name"]).alias("values")))
     classes = (raw.filter(F.col("row_kind") == "class").drop("values")
                .withColumns({c: F.transform(c, _last_part) for c in ("bases", "marks")})
-               .join(constants, ["service", "file", "name"], "left"))
+               .join(unbounded(constants), ["service", "file", "name"], "left"))
     known = classes.select("service", "name").distinct()
     bases = classes.select("service", "file", "seq", F.explode("bases").alias("name"))
-    derived = bases.join(known, ["service", "name"], "left_semi").select("service", "file", "seq").distinct()
+    derived = bases.join(unbounded(known), ["service", "name"], "left_semi").select("service", "file", "seq").distinct()
     is_enum = F.arrays_overlap("bases", F.array(*map(F.lit, ENUM_BASES)))
     is_model = (F.arrays_overlap("bases", F.array(*map(F.lit, MODEL_BASES))) | F.array_contains("marks", "dataclass")
                 | F.coalesce("_derived", F.lit(False)))
-    entities = (classes.join(derived.withColumn("_derived", F.lit(True)), ["service", "file", "seq"], "left")
+    entities = (classes.join(unbounded(derived.withColumn("_derived", F.lit(True))), ["service", "file", "seq"], "left")
                 .withColumn("kind", F.when(is_enum, F.lit("enum")).when(is_model, F.lit("class")))
                 .filter(F.col("kind").isNotNull()))
     parts = types.python_type_parts(F.col("type_text"))
@@ -267,7 +269,7 @@ def python_meaning(files: DataFrame, language: str = "python") -> Declared:
     visible = raw.filter((F.col("row_kind") == "field") & ~F.col("name").startswith("_")
                          & ~F.col("type_text").rlike(r"^([\w.]+\.)?ClassVar$"))
     wired = visible.withColumn("wire", F.when(_last_part(F.col("callee")) == "Field", _argument(WIRE_KEYWORDS, "constants")))
-    fields = (resolve_refs(wired.join(owners, ["service", "file", "owner"], "left_semi"), parts, known, "type")
+    fields = (resolve_refs(wired.join(unbounded(owners), ["service", "file", "owner"], "left_semi"), parts, known, "type")
               .withColumn("optional", F.col("_parts.optional") | F.coalesce("flag", F.lit(False))))
     verb = _last_part(F.col("callee"))
     unnamed = F.when(F.get("keys", F.lit(0)) == "", F.get("constants", F.lit(0)))
@@ -277,7 +279,7 @@ def python_meaning(files: DataFrame, language: str = "python") -> Declared:
     endpoints = resolve_refs(routes, parts, known, "_type").withColumn(
         "type", F.when(F.col("type_text").isNotNull(), F.col("_type"))).withColumn("full_path", F.col("path"))
     handled = (raw.filter(F.col("row_kind") == "argument").drop("path")
-               .join(routes.select("service", "file", "owner", "line", "path", F.col("seq").alias("route_seq")),
+               .join(unbounded(routes.select("service", "file", "owner", "line", "path", F.col("seq").alias("route_seq"))),
                      ["service", "file", "owner", "line"]))
     params = resolve_refs(handled, parts, known, "type").withColumn(
         "location", paths.param_location(F.col("name"), F.col("type"), F.col("path")))
@@ -297,7 +299,7 @@ def java_meaning(files: DataFrame, language: str = "java") -> Declared:
     members = raw.groupBy("service", "file", "owner").agg(
         F.bool_or(F.col("row_kind") == "field").alias("has_fields"),
         F.bool_or(F.col("row_kind") == "endpoint").alias("has_routes")).filter(F.col("owner").isNotNull())
-    shaped = types_rows.join(members.withColumnRenamed("owner", "name"), ["service", "file", "name"], "left")
+    shaped = types_rows.join(unbounded(members.withColumnRenamed("owner", "name")), ["service", "file", "name"], "left")
     is_controller = F.coalesce(F.arrays_overlap("marks", F.array(*map(F.lit, CONTROLLER_MARKS))), F.lit(False)) \
         & F.coalesce("has_routes", F.lit(False)) & (F.col("java_kind") == "class")
     shaped = shaped.withColumn("is_controller", is_controller)
@@ -308,9 +310,9 @@ def java_meaning(files: DataFrame, language: str = "java") -> Declared:
     controllers = shaped.filter("is_controller").select("service", "file", F.col("name").alias("owner"),
                                                         F.col("path").alias("prefix"))
     visible = raw.filter(F.col("row_kind") == "field").join(
-        _first_of_each(entities).select("service", "file", F.col("name").alias("owner")), ["service", "file", "owner"], "left_semi")
+        unbounded(_first_of_each(entities).select("service", "file", F.col("name").alias("owner"))), ["service", "file", "owner"], "left_semi")
     fields = resolve_refs(visible, parts, known, "type").withColumn("optional", F.coalesce("flag", F.lit(False)))
-    routes = raw.filter(F.col("row_kind") == "endpoint").join(controllers, ["service", "file", "owner"])
+    routes = raw.filter(F.col("row_kind") == "endpoint").join(unbounded(controllers), ["service", "file", "owner"])
     endpoints = resolve_refs(routes, parts, known, "type").withColumn(
         "full_path", paths.join_path(F.col("prefix"), F.col("path")))
     location = F.coalesce(*[F.when(F.array_contains("marks", mark), F.lit(place))
@@ -319,7 +321,7 @@ def java_meaning(files: DataFrame, language: str = "java") -> Declared:
     route_seq = F.last(F.when(F.col("row_kind") == "endpoint", F.col("seq")), ignorenulls=True).over(before)
     bound = (raw.filter(F.col("row_kind").isin("endpoint", "param")).withColumn("route_seq", route_seq)
              .filter(F.col("row_kind") == "param").withColumn("location", location).filter(F.col("location").isNotNull())
-             .join(routes.select("service", "file", F.col("seq").alias("route_seq")), ["service", "file", "route_seq"], "left_semi"))
+             .join(unbounded(routes.select("service", "file", F.col("seq").alias("route_seq"))), ["service", "file", "route_seq"], "left_semi"))
     return Declared(raw, entities, fields, endpoints, resolve_refs(bound, parts, known, "type"))
 
 

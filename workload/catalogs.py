@@ -100,7 +100,9 @@ _PY_FILE = """concat('from x import BaseModel, Field\n\nclass Size', p_size, '(s
 
 
 def _sources(spark, sf, text, suffix):
-    return table(spark, sf, "part").select(F.col("p_brand").alias("service"), F.expr(f"concat('m', p_partkey, '{suffix}')").alias("file"),
+    # each part becomes a file to parse: the keys are spread before the texts are made, the table may be one small file
+    keys = table(spark, sf, "part").select("p_brand", "p_partkey", "p_size")
+    return keys.repartition(4 * spark.sparkContext.defaultParallelism, *keys.columns).select(F.col("p_brand").alias("service"), F.expr(f"concat('m', p_partkey, '{suffix}')").alias("file"),
                                            F.expr(text).alias("text"))
 
 
