@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from crosswalk.functions.values import json_text, name_seed, sample_scalar
 from crosswalk.operators.match import lookup_entity
-from crosswalk.operators.skew import spread_missing
-from crosswalk.session import cut_lineage
+from crosswalk.operators.skew import spread_missing, unbounded
+from crosswalk.session import written
 
 MAX_DEPTH = 3
 
@@ -22,7 +22,7 @@ def sample_fields(fields: DataFrame, entities: DataFrame) -> DataFrame:
     ref = F.when(F.col("inner").startswith("ref:"), F.substr(F.col("inner"), F.lit(5)))
     return (fields.withColumn("inner", inner).withColumn("nesting", nesting).withColumn("seed", name_seed(F.col("name")))
             .withColumn("ref", ref).withColumn("_ref", spread_missing(ref, F.col("service"), F.col("entity"), F.col("name")))
-            .join(known, ["service", "_ref"], "left").drop("_ref"))
+            .join(unbounded(known), ["service", "_ref"], "left").drop("_ref"))
 
 
 def sample_values(fields: DataFrame, entities: DataFrame) -> DataFrame:
@@ -53,7 +53,7 @@ def _in_lists(value):
 def sample_entities(fields: DataFrame, entities: DataFrame) -> DataFrame:
     """One sample record per class or record: ``service, entity, sample``. Records nest three levels deep; a reference
     below that is null. Each level is built from the finished records of the level under it."""
-    rows = cut_lineage(sample_fields(fields, entities))
+    rows = written(sample_fields(fields, entities), "samples")  # read by every level
     declared = lookup_entity(entities).filter(F.col("kind") != "enum").select("service", "entity")
     built: dict[int, DataFrame] = {}
     for depth in range(MAX_DEPTH, -1, -1):
@@ -67,7 +67,7 @@ def sample_entities(fields: DataFrame, entities: DataFrame) -> DataFrame:
                 part = records.select("service", F.col("entity").alias("_ref"), F.lit(d).alias("_at"),
                                       F.col("sample").alias("_inner"))
                 below = part if below is None else below.unionByName(part)
-            staged = staged.join(below, ["service", "_ref", "_at"], "left")
+            staged = staged.join(unbounded(below), ["service", "_ref", "_at"], "left")
         else:
             staged = staged.withColumn("_inner", F.lit(None).cast("string"))
         value = F.when(_is_record(), F.coalesce("_inner", F.lit("null"))).otherwise(_flat_value())
@@ -76,7 +76,7 @@ def sample_entities(fields: DataFrame, entities: DataFrame) -> DataFrame:
                   .agg(F.array_sort(F.collect_list(F.struct("field_ord", item.alias("kv")))).alias("_kv"))
                   .select("service", "entity", F.concat(F.lit("{"), F.array_join(F.transform("_kv", lambda x: x["kv"]), ", "),
                                                         F.lit("}")).alias("sample")))
-        records = declared.join(joined, ["service", "entity"], "left").select(
+        records = declared.join(unbounded(joined), ["service", "entity"], "left").select(
             "service", "entity", F.coalesce("sample", F.lit("{}")).alias("sample"))
-        built[depth] = cut_lineage(records) if depth else records
+        built[depth] = written(records, "records") if depth else records
     return built[0]
