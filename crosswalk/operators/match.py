@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crosswalk.functions import names, types
 from crosswalk.operators.assign import assign_one_to_one, first_wins
 from crosswalk.operators.skew import salted_join, spread_missing, unbounded
-from crosswalk.session import cut_lineage
+from crosswalk.session import cut_lineage, written
 
 THRESHOLD = 0.5
 ENTITY_NAME_WEIGHT = 0.25
 DEFAULT_CONFIDENCE = 0.8
+#: Pairs of a scope up to which all of them are looked at; of larger scopes only rows that share a blocking key meet.
+PAIRS_PER_SCOPE = 4096
 
 
 def lookup_entity(entities: DataFrame) -> DataFrame:
@@ -39,17 +43,16 @@ def resolve_enum(fields: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def provider_side(fields: DataFrame, entities: DataFrame, pairings: DataFrame | None = None, scope: list[str] = ()) -> DataFrame:
-    """Everything about a provider field that does not depend on what it is compared with. With ``pairings`` only the
-    fields these need, with the scope columns: names are taken apart after that join, on its parallelism."""
-    rows = resolve_enum(fields, entities).select(
+    """What is compared of a provider field. With ``pairings`` only the fields these need, with the scope columns."""
+    rows = fields.select(
         F.col("service").alias("provider_service"), F.col("entity").alias("provider_entity"),
         F.col("field_ord").alias("p_ord"), F.col("name").alias("provider_field"),
-        F.col("json_name").alias("provider_json"), F.col("type").alias("p_type"),
-        types.provider_base(F.col("type"), F.col("ref_kind")).alias("p_base"))
-    rows = _of_pairings(rows, pairings, scope, "provider").withColumns({
-        "p_words": names.tagged("provider_field"), "p_wire": names.tagged("provider_json"),
-        "p_strip": names.tokens("provider_entity")})
-    return rows.withColumn("p_keys", F.array_union(names.blocking_keys("p_words"), names.blocking_keys("p_wire")))
+        F.col("json_name").alias("provider_json"), F.col("type").alias("p_type"))
+    rows = _of_pairings(rows, pairings, scope, "provider").withColumnsRenamed(
+        {"provider_service": "service", "provider_entity": "entity", "provider_field": "name", "p_type": "type"})
+    rows = resolve_enum(rows, entities).withColumnsRenamed(
+        {"service": "provider_service", "entity": "provider_entity", "name": "provider_field", "type": "p_type"})
+    return rows.withColumn("p_base", types.provider_base(F.col("p_type"), F.col("ref_kind"))).drop("ref_kind")
 
 
 def consumer_side(fields: DataFrame, pairings: DataFrame | None = None, scope: list[str] = ()) -> DataFrame:
@@ -58,11 +61,47 @@ def consumer_side(fields: DataFrame, pairings: DataFrame | None = None, scope: l
         F.col("service").alias("consumer_service"), F.col("entity").alias("consumer_entity"),
         F.col("field_ord").alias("c_ord"), F.col("name").alias("consumer_field"), F.col("type").alias("c_type"),
         types.base_type(F.col("type")).alias("c_base"))
-    rows = _of_pairings(rows, pairings, scope, "consumer").withColumns({
-        "c_words": names.tagged("consumer_field"), "c_strip": names.tokens("consumer_entity")})
+    return _of_pairings(rows, pairings, scope, "consumer")
+
+
+def _provider_words(rows: DataFrame) -> DataFrame:
+    rows = rows.withColumns({"p_words": names.tagged("provider_field"), "p_wire": names.tagged("provider_json"),
+                             "p_strip": names.tokens("provider_entity")})
+    return rows.withColumn("p_keys", F.array_union(names.blocking_keys("p_words"), names.blocking_keys("p_wire")))
+
+
+def _consumer_words(rows: DataFrame) -> DataFrame:
+    rows = rows.withColumns({"c_words": names.tagged("consumer_field"), "c_strip": names.tokens("consumer_entity")})
     return rows.withColumn("c_keys", names.blocking_keys("c_words"))
 
 
+def _met(consumers: DataFrame, providers: DataFrame, c_words: Callable[[DataFrame], DataFrame], p_words: Callable[[DataFrame], DataFrame],
+         scope: list[str], c_spread: list[str], p_spread: list[str], fits: Column, pairs_per_scope: int) -> DataFrame:
+    """Each pair of rows of a scope that ``fits`` and shares one of ``c_keys`` and ``p_keys``, once. ``c_words`` and ``p_words`` add these.
+
+    The rows are shuffled by scope as they are, and names are taken apart behind that shuffle. Scopes of more than
+    ``pairs_per_scope`` pairs are joined by key, where a pair sharing several is produced by the first of them."""
+    def by_scope(left: DataFrame, right: DataFrame) -> DataFrame:
+        sides = c_words(left.repartition(*scope)), p_words(right.repartition(*scope))
+        return sides[0].join(unbounded(sides[1]), scope).filter(fits & F.arrays_overlap("c_keys", "p_keys"))
+
+    def by_key(left: DataFrame, right: DataFrame) -> DataFrame:
+        # both sides are counted and joined; taking names apart twice would cost more than writing them down
+        sides = cut_lineage(c_words(left)), cut_lineage(p_words(right))
+        return salted_join(sides[0].withColumn("key", F.explode("c_keys")), sides[1].withColumn("key", F.explode("p_keys")),
+                           [*scope, "key"], c_spread, p_spread).filter(
+            (F.array_min(F.array_intersect("c_keys", "p_keys")) == F.col("key")) & fits).drop("key")
+
+    if not scope:
+        return by_key(consumers, providers)
+    n_left, n_right = (side.groupBy(*scope).agg(F.count(F.lit(1)).alias(n)) for side, n in ((consumers, "_c"), (providers, "_p")))
+    large = n_left.join(unbounded(n_right), scope).filter(F.col("_c") * F.col("_p") > pairs_per_scope).select(*scope)
+    if large.isEmpty():
+        return by_scope(consumers, providers)
+    met = by_scope(*(side.join(large, scope, "left_anti") for side in (consumers, providers)))
+    return met.unionByName(by_key(*(side.join(large, scope, "left_semi") for side in (consumers, providers))))
+
+
 def _of_pairings(rows: DataFrame, pairings: DataFrame | None, scope: list[str], role: str) -> DataFrame:
     if pairings is None:
         return rows
@@ -85,26 +124,21 @@ def score_threshold(scored: DataFrame, threshold: float = THRESHOLD) -> DataFram
 
 
 def candidate_pairs(pairings: DataFrame, fields: DataFrame, entities: DataFrame, scope: list[str],
-                    threshold: float = THRESHOLD) -> DataFrame:
+                    threshold: float = THRESHOLD, pairs_per_scope: int = PAIRS_PER_SCOPE) -> DataFrame:
     """Consumer fields against provider fields of each pairing, scored and cut at the threshold.
 
     ``pairings`` names the two services, and optionally the two entities, that are matched with each other;
     ``scope`` are its key columns. Fields meet only where they share a blocking key: a pair without one has
-    no two words alike and scores zero. A pair sharing several keys is produced by the first of them only, so no
-    ``distinct`` is needed. Types that cannot reach the threshold are dropped before the names are compared."""
+    no two words alike and scores zero. Types that cannot reach the threshold are dropped before the names are compared."""
     by_entity = "provider_entity" in pairings.columns
     records = non_enum_entities(lookup_entity(entities)).select("service", "entity")
     usable = fields if by_entity else fields.join(unbounded(records), ["service", "entity"], "left_semi")
-    # both sides are counted and joined; taking names apart twice would cost more than writing them down
-    consumers = cut_lineage(consumer_side(usable, pairings, scope))
-    providers = cut_lineage(provider_side(usable, entities, pairings, scope))
-    left = consumers.withColumn("key", F.explode("c_keys"))
-    right = providers.withColumn("key", F.explode("p_keys"))
-    met = salted_join(left, right, [*scope, "key"], ["consumer_service", "consumer_entity", "consumer_field"],
-                      ["provider_service", "provider_entity", "provider_field"])
-    first_shared = F.array_min(F.array_intersect("c_keys", "p_keys")) == F.col("key")
+    consumers = written(consumer_side(usable, pairings, scope).drop("c_type"), "consumers")  # counted and joined
+    providers = written(provider_side(usable, entities, pairings, scope).drop("p_type"), "providers")
     fits = types.type_compat(F.col("p_base"), F.col("c_base")) >= F.lit(threshold)
-    scored = met.filter(first_shared & fits).withColumn("score", _score())
+    met = _met(consumers, providers, _consumer_words, _provider_words, scope, ["consumer_service", "consumer_entity", "consumer_field"],
+               ["provider_service", "provider_entity", "provider_field"], fits, pairs_per_scope)
+    scored = met.withColumn("score", _score())
     return score_threshold(scored, threshold).select(
         *scope, *[c for c in ("provider_entity", "consumer_entity") if c not in scope],
         "c_ord", "p_ord", "consumer_field", "provider_field", "provider_json", "score")
@@ -140,29 +174,30 @@ def entity_pairs(pairings: DataFrame, entities: DataFrame, candidates: DataFrame
     usable = non_enum_entities(lookup_entity(entities)).select("service", "entity", "entity_ord")
 
     def side(prefix: str, role: str) -> DataFrame:
-        return (pairings.select(*scope, F.col(f"{role}_service").alias("service")).join(unbounded(usable), "service")
-                .select(*scope, F.col("entity").alias(f"{role}_entity"), F.col("entity_ord").alias(f"{prefix}_ent_ord"),
-                        names.tagged("entity").alias(f"{prefix}_words"))
-                .withColumn(f"{prefix}_keys", names.blocking_keys(f"{prefix}_words")))
+        return written(pairings.select(*scope, F.col(f"{role}_service").alias("service")).join(unbounded(usable), "service")
+                       .select(*scope, F.col("entity").alias(f"{role}_entity"), F.col("entity_ord").alias(f"{prefix}_ent_ord")), f"{role}s")
+
+    def with_words(prefix: str, role: str) -> Callable[[DataFrame], DataFrame]:
+        return lambda rows: (rows.withColumn(f"{prefix}_words", names.tagged(f"{role}_entity"))
+                             .withColumn(f"{prefix}_keys", names.blocking_keys(f"{prefix}_words")))
 
     p, c = side("p", "provider"), side("c", "consumer")
     first_p = p.groupBy(*scope).agg(F.min_by("provider_entity", "p_ent_ord").alias("provider_entity"))
     first_c = c.groupBy(*scope).agg(F.min_by("consumer_entity", "c_ent_ord").alias("consumer_entity"))
-    alike = (salted_join(c.withColumn("key", F.explode("c_keys")), p.withColumn("key", F.explode("p_keys")),
-                         [*scope, "key"], ["consumer_entity"], ["provider_entity"])
-             .filter(F.array_min(F.array_intersect("c_keys", "p_keys")) == F.col("key")))
+    alike = _met(c, p, with_words("c", "consumer"), with_words("p", "provider"), scope, ["consumer_entity"], ["provider_entity"],
+                 F.lit(True), PAIRS_PER_SCOPE)
     keys = [*scope, "provider_entity", "consumer_entity"]
     wanted = (candidates.select(*keys).unionByName(alike.select(*keys))
               .unionByName(first_p.join(unbounded(first_c), scope).select(*keys)).distinct())
-    return (wanted.join(unbounded(p.drop("p_keys")), [*scope, "provider_entity"])
-            .join(unbounded(c.drop("c_keys")), [*scope, "consumer_entity"])
+    return (wanted.join(unbounded(p), [*scope, "provider_entity"]).join(unbounded(c), [*scope, "consumer_entity"])
+            .withColumns({"p_words": names.tagged("provider_entity"), "c_words": names.tagged("consumer_entity")})
             .withColumn("name_score", names.list_similarity("p_words", "c_words"))
             .select(*scope, "provider_entity", "consumer_entity", "p_ent_ord", "c_ent_ord", "name_score"))
 
 
 def score_entity_pairs(pairings: DataFrame, fields: DataFrame, entities: DataFrame, scope: list[str]) -> DataFrame:
     """Entity pairs with ``coverage + 0.25 * likeness of the names``."""
-    candidates = cut_lineage(candidate_pairs(pairings, fields, entities, scope))
+    candidates = written(candidate_pairs(pairings, fields, entities, scope), "candidates")
     pair_scope = [*scope, "provider_entity", "consumer_entity"]
     mapped = heuristic_pairs(candidates, pair_scope).groupBy(*pair_scope).agg(F.count(F.lit(1)).alias("n_pairs"))
     sizes = (fields.groupBy("service", "entity").agg(F.count(F.lit(1)).alias("n_fields"))

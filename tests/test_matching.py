@@ -118,3 +118,21 @@ def test_no_table_of_a_plan_is_broadcast(spark):
               match.validate_proposals(proposals, plan.pairings, fields(spark), entities(spark), ["plan_id"])]
     for table in tables:
         assert "Broadcast" not in table._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("pairs_per_scope", [10, 4096])
+def test_candidates_by_scope_and_by_key_are_the_same(spark, pairs_per_scope):
+    """Two pairings; rows that occur twice count twice, a pairing without a key matches nothing."""
+    pairing = service_pairing(spark)
+    wide = pairing.unionByName(pairing.selectExpr("2 AS pairing_id", "provider_service", "consumer_service"))
+    wide = wide.unionByName(pairing.selectExpr("cast(NULL AS INT) AS pairing_id", "provider_service", "consumer_service"))
+    twice = fields(spark).unionByName(fields(spark).filter("name = 'orderId'"))
+    got = match.candidate_pairs(wide, twice, entities(spark), ["pairing_id"], pairs_per_scope=pairs_per_scope).collect()
+    first = sorted((r["consumer_field"], r["provider_field"]) for r in got if r["pairing_id"] == 1)
+    assert first.count(("order_ref", "orderId")) == 4 and len(first) == sum(r["pairing_id"] == 2 for r in got) == len(got) / 2
+
+
+def test_candidates_are_not_shuffled_by_their_keys(spark):
+    """A row has several blocking keys; where a scope is small, it is sent once."""
+    plan = match.candidate_pairs(entity_pairing(spark), fields(spark), entities(spark), ["plan_id"])._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(plan_id" in plan and "explode(" not in plan
