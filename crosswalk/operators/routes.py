@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from crosswalk.functions.paths import request_path
+from crosswalk.session import written
 
-#: Routes of one trie, and so of one broadcast. More routes are more tries, asked one after the other in the same pass.
+#: Routes of one trie, and so of one broadcast. More routes are more tries, asked one after the other.
 ROUTES_PER_TRIE = 100_000
 _PLAIN = re.compile(r"[A-Za-z0-9_~-]*", re.ASCII)
 _VARIABLE = re.compile(r"\{\w+\}", re.ASCII)
@@ -92,8 +93,9 @@ def match_routes(requests: DataFrame, routes: DataFrame, keys: list[str], url: s
     ``routes`` has ``ep_ord``, ``method``, ``path``, ``handler``; ``{name}`` stands for one segment or a part of one, other signs
     mean what they mean in a pattern, and a final slash of the request is optional. Each task asks a trie of the templates, so
     requests are not shuffled, a frequent path is no hot key, and the same plan runs on a batch and on a stream, with any number of
-    routes: the routes, which services declare in their sources, pass the
-    driver and come to the tasks in tries of ``routes_per_trie``. Keys only pass through: they may repeat or be null, and
+    routes: the first route of each method and template, which are the only ones that can match, pass the
+    driver and come to the tasks in tries of ``routes_per_trie``. What a trie found in a batch is written before the next one is asked,
+    so no task holds two; a stream asks them in one pass. Keys only pass through: they may repeat or be null, and
     requests without method or url match nothing."""
     spark = requests.sparkSession
     rows = requests.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col(method).cast("string").alias("method"),
@@ -102,7 +104,9 @@ def match_routes(requests: DataFrame, routes: DataFrame, keys: list[str], url: s
                            F.lit(None).cast("string").alias("handler"))
     n, schema = len(keys), StructType([*rows.schema.fields[:len(keys) + 2], StructField("ep_ord", LongType()),
                                        StructField("route", StringType()), StructField("handler", StringType())])
-    declared = routes.select("method", F.col("ep_ord").cast("bigint"), "path", "handler").filter("method IS NOT NULL AND path IS NOT NULL")
+    named = routes.filter("method IS NOT NULL AND path IS NOT NULL")
+    first = F.min(F.struct(F.col("ep_ord").cast("bigint").alias("ep_ord"), F.coalesce("handler", F.lit("")).alias("_h"), "handler"))
+    declared = named.groupBy("method", "path").agg(first.alias("_f")).select("method", "_f.ep_ord", "path", "_f.handler")
 
     def asked(rows: DataFrame, some: list[tuple]) -> DataFrame:
         shared = spark.sparkContext.broadcast(some)
@@ -122,5 +126,5 @@ def match_routes(requests: DataFrame, routes: DataFrame, keys: list[str], url: s
         return rows.mapInArrow(run, schema)
     listed = [tuple(r) for r in declared.collect()]
     for at in range(0, len(listed), routes_per_trie):
-        rows = asked(rows, listed[at:at + routes_per_trie])
+        rows = asked(rows if at == 0 or requests.isStreaming else written(rows, "routed"), listed[at:at + routes_per_trie])
     return rows.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], "ep_ord", "route", "handler")

@@ -183,3 +183,17 @@ def test_wire_records_by_snake_name_and_as_deep_as_they_are(spark):
     row = apply.parse_dto(spark.createDataFrame([(body,)], "body STRING"), "body", "E0", catalog).select(
         "ship_city", "next.next.next.next.next.next.leaf_value", "next.next.next.next.next.next.back").first()
     assert tuple(row) == ("Rome", 7, '{"a":1}')
+
+
+def test_routes_that_cannot_match_stay_out_of_the_tries(spark, monkeypatch):
+    """Of one method and template only the first route, however often it is declared; and no pass holds two tries."""
+    from pyspark import SparkContext
+    sent, share = [], SparkContext.broadcast
+    monkeypatch.setattr(SparkContext, "broadcast", lambda self, value: sent.append(len(value)) or share(self, value))
+    declared = [(i, "GET", f"/a/{{id}}/{i % 3}", f"h{i}") for i in range(300)] + [(7, "GET", "/a/{id}/1", None), (None, "GET", "/a/{id}/2", "x")]
+    requests = spark.createDataFrame([(i, "GET", f"/a/9/{i}") for i in range(4)], "id INT, method STRING, url STRING")
+    for per_trie, sizes in ((100, [3]), (2, [2, 1])):
+        sent.clear()
+        found = routes.match_routes(requests, spark.createDataFrame(declared, ROUTE_DDL), ["id"], routes_per_trie=per_trie)
+        assert sent == sizes and found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+        assert {r.id: (r.ep_ord, r.handler) for r in found.collect()} == {0: (0, "h0"), 1: (1, "h1"), 2: (None, "x"), 3: (None, None)}
