@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crosswalk.functions.values import json_text, name_seed, sample_scalar
@@ -52,15 +52,20 @@ def _in_lists(value):
 
 def sample_entities(fields: DataFrame, entities: DataFrame) -> DataFrame:
     """One sample record per class or record: ``service, entity, sample``. Records nest three levels deep; a reference
-    below that is null. Each level is built from the finished records of the level under it."""
+    below that is null. Each level is built from the finished records of the level under it; only fields that refer to records are
+    joined with these, the others are the same at every level."""
     rows = written(sample_fields(fields, entities), "samples")  # read by every level
     declared = lookup_entity(entities).filter(F.col("kind") != "enum").select("service", "entity")
     built: dict[int, DataFrame] = {}
+
+    def items(some: DataFrame, value: Column) -> DataFrame:
+        return some.select("service", "entity", "field_ord", F.concat(json_text(F.col("json_name")), F.lit(": "), _in_lists(value)).alias("kv"))
+
+    flat = items(rows.filter(~_is_record()), _flat_value())
     for depth in range(MAX_DEPTH, -1, -1):
         # a list uses up a level of its own, so the level a reference finds depends on its nesting
         inner_depth = F.col("nesting") + depth + 1
-        staged = rows.withColumn("_at", inner_depth).withColumn(
-            "_ref", spread_missing(F.when(_is_record(), F.col("ref")), F.col("service"), F.col("entity"), F.col("name")))
+        staged = rows.filter(_is_record()).withColumns({"_at": inner_depth, "_ref": F.col("ref")})
         if built:
             below = None
             for d, records in built.items():
@@ -70,10 +75,8 @@ def sample_entities(fields: DataFrame, entities: DataFrame) -> DataFrame:
             staged = staged.join(unbounded(below), ["service", "_ref", "_at"], "left")
         else:
             staged = staged.withColumn("_inner", F.lit(None).cast("string"))
-        value = F.when(_is_record(), F.coalesce("_inner", F.lit("null"))).otherwise(_flat_value())
-        item = F.concat(json_text(F.col("json_name")), F.lit(": "), _in_lists(value))
-        joined = (staged.groupBy("service", "entity")
-                  .agg(F.array_sort(F.collect_list(F.struct("field_ord", item.alias("kv")))).alias("_kv"))
+        joined = (flat.unionByName(items(staged, F.coalesce("_inner", F.lit("null")))).groupBy("service", "entity")
+                  .agg(F.array_sort(F.collect_list(F.struct("field_ord", "kv"))).alias("_kv"))
                   .select("service", "entity", F.concat(F.lit("{"), F.array_join(F.transform("_kv", lambda x: x["kv"]), ", "),
                                                         F.lit("}")).alias("sample")))
         records = declared.join(unbounded(joined), ["service", "entity"], "left").select(

@@ -168,3 +168,14 @@ def test_files_are_read_by_many_tasks(spark, tmp_path, monkeypatch):
     services = spark.createDataFrame([("s", "python", "fastapi", "s", 8000)], "service STRING, language STRING, framework STRING, root STRING, port INT")
     sc.extracted_catalog(files, services)
     assert [n >= 8 for n in seen if n] == [True, True]  # no file is Java: nothing to read
+
+
+def test_sample_levels_send_only_references(spark):
+    """A level joins the records under it to fields that refer to records; a list uses up a level, below the last is null."""
+    rows = [("s", "A", 0, "id", "id", "integer", "", False), ("s", "A", 1, "next", "next", "list<ref:A>", "", False), ("s", "A", 2, "kind", "kind", "ref:K", "", False)]
+    ents = [("s", 0, "A", "class", "f", 1, []), ("s", 1, "K", "enum", "f", 2, ["ON"])]
+    out = sample_entities(spark.createDataFrame(rows, model.FIELDS_DDL), spark.createDataFrame(ents, model.ENTITIES_DDL))
+    (sample,) = [r["sample"] for r in out.collect()]
+    assert sample.count('"kind": "ON"') == 2 and sample.count('"next": [{') == 1 and sample.count('"next": [null]') == 1
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert any("Filter" in line and "ref_kind" in line for line in plan)
