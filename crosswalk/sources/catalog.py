@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from crosswalk import model
 from crosswalk.functions.types import canonical_spark
+from crosswalk.operators.skew import unbounded
 
 # Ports used where a service does not state one.
 DEFAULT_PORTS = {"java": 8080, "python": 8000}
@@ -63,16 +64,16 @@ def catalog_documents(catalog: Catalog) -> DataFrame:
     empty = F.array()
     fields = folded(catalog.fields, ["service", "entity"], "field_ord",
                     ["name", "json_name", "type", "source_type", "optional"], "fields")
-    ents = catalog.entities.join(fields, ["service", "entity"], "left")
+    ents = catalog.entities.join(unbounded(fields), ["service", "entity"], "left")
     ents = folded(ents, ["service"], "entity_ord",
                   [F.col("entity").alias("name"), F.coalesce("fields", empty).alias("fields"), "file", "line", "kind",
                    "values"], "entities")
     params = folded(catalog.params, ["service", "ep_ord"], "param_ord", ["name", "location", "type"], "params")
-    eps = catalog.endpoints.join(params, ["service", "ep_ord"], "left")
+    eps = catalog.endpoints.join(unbounded(params), ["service", "ep_ord"], "left")
     eps = folded(eps, ["service"], "ep_ord",
                  ["method", "path", "handler", "returns", F.coalesce("params", empty).alias("params"), "file", "line"],
                  "endpoints")
-    return (catalog.services.join(ents, "service", "left").join(eps, "service", "left")
+    return (catalog.services.join(unbounded(ents), "service", "left").join(unbounded(eps), "service", "left")
             .select(F.col("service").alias("name"), "language", "framework", "root", "port",
                     F.coalesce("entities", empty).alias("entities"), F.coalesce("endpoints", empty).alias("endpoints")))
 

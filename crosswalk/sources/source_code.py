@@ -185,7 +185,7 @@ def _numbered(rows: DataFrame, name: str) -> DataFrame:
     first place of the service. Nothing is ordered by one task, however large a service is."""
     placed = with_places(rows, [F.col("service"), F.col("file"), F.col("seq")], "_place")
     firsts = placed.groupBy("service").agg(F.min("_place").alias("_first"))
-    return placed.join(firsts, "service").withColumn(name, F.col("_place") - F.col("_first")).drop("_place", "_first")
+    return placed.join(unbounded(firsts), "service").withColumn(name, F.col("_place") - F.col("_first")).drop("_place", "_first")
 
 
 def extracted_catalog(files: DataFrame, services: DataFrame) -> tuple[Catalog, DataFrame]:
@@ -195,7 +195,7 @@ def extracted_catalog(files: DataFrame, services: DataFrame) -> tuple[Catalog, D
     gets its files, by suffix, skipped parts of paths left out; registered languages take part. Entities and endpoints are numbered
     from 0 within their service, fields and parameters within their owner, all by file and declaration. Fields of same-named
     classes are those of the first."""
-    spoken = files.join(services.select("service", "language"), "service")
+    spoken = files.join(unbounded(services.select("service", "language")), "service")
     # the join deals files out by service, of which there may be few; they are spread before they are read
     spoken = spoken.repartition(4 * files.sparkSession.sparkContext.defaultParallelism, "service", "file")
     found = [MEANINGS[language](select_source_files(spoken.filter(F.col("language") == language), language), language)
@@ -225,12 +225,12 @@ def parse_services(files: DataFrame) -> tuple[Catalog, DataFrame]:
     """``extracted_catalog`` of whole source trees, ``files(service, root, file, text)``: languages by what the trees hold, ports by
     their configuration. Trees of no known language get an error row without a file."""
     spoken = detect_language(files.select("root", F.col("file").alias("path")))
-    trees = files.select("service", "root").distinct().join(spoken, "root")
+    trees = files.select("service", "root").distinct().join(unbounded(spoken), "root")
     known = trees.filter(F.col("language").isNotNull())
-    ports = extract_port(files.join(known.select("service", "root", "language"), ["service", "root"])
+    ports = extract_port(files.join(unbounded(known.select("service", "root", "language")), ["service", "root"])
                          .select("service", "language", F.col("file").alias("path"), "text"))
     framework = F.coalesce(*[F.when(F.col("language") == k, F.lit(v)) for k, v in FRAMEWORKS.items()], F.lit(""))
-    services = cut_lineage(known.join(ports, "service").select("service", "language", framework.alias("framework"), "root", "port"))
+    services = cut_lineage(known.join(unbounded(ports), "service").select("service", "language", framework.alias("framework"), "root", "port"))
     catalog, errors = extracted_catalog(files.select("service", "file", "text"), services)
     unknown = trees.filter(F.col("language").isNull()).select(
         "service", F.lit(None).cast("string").alias("file"), F.lit("ValueError").alias("error"), F.col("error").alias("message"))
