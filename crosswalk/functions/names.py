@@ -43,10 +43,10 @@ def tokens(name: str) -> Column:
 
 def tagged_sql(token_list: str) -> str:
     """Words with the number of their synonym group (null outside all groups), looked up once per name instead of
-    once per compared pair. The groups do not overlap, so a word has at most one."""
-    entries = ",".join(f"{word}:{number}" for number, words in enumerate(SYNONYM_GROUPS) for word in words)
-    group = f"cast(try_element_at(str_to_map('{entries}'), t) AS INT)"
-    return f"transform({token_list}, t -> named_struct('t', t, 'g', {group}))"
+    once per compared pair. The groups do not overlap, so a word has at most one. The groups are a map of literals: the planner
+    would fold ``str_to_map`` on the driver, and its first call there sets up tables of all characters, 3 GB of garbage."""
+    entries = ", ".join(f"'{word}', {number}" for number, words in enumerate(SYNONYM_GROUPS) for word in words)
+    return f"transform({token_list}, t -> named_struct('t', t, 'g', try_element_at(map({entries}), t)))"
 
 
 def token_similarity_sql(a: str, b: str) -> str:

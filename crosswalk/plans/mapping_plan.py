@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from crosswalk.functions.types import round_half_even
 from crosswalk.operators import match
 from crosswalk.operators.skew import unbounded
-from crosswalk.session import cut_lineage
+from crosswalk.session import written
 
 PAIR_COLUMNS = ["consumer_field", "provider_field", "provider_json", "confidence", "source", "reason"]
 
@@ -74,8 +74,8 @@ def build_plan(pairings: DataFrame, fields: DataFrame, entities: DataFrame, scop
     heuristic = match.heuristic_pairs(candidates, scope).select(*scope, "c_ord", "p_ord", *PAIR_COLUMNS)
     if proposals is None:
         return MappingPlan(pairings, fields, heuristic, None, engine, scope)
-    validated = cut_lineage(match.validate_proposals(proposals, pairings, fields, entities, scope))
+    validated = written(match.validate_proposals(proposals, pairings, fields, entities, scope), "validated")
     accepted = match.accepted_pairs(validated, scope).select(*heuristic.columns)
     notes = validated.filter(F.col("note").isNotNull()).select(*scope, "ord", "note")
-    pairs = cut_lineage(match.fill_gaps(accepted, heuristic, scope))  # read by every table of the plan
+    pairs = written(match.fill_gaps(accepted, heuristic, scope), "pairs")  # read by every table of the plan
     return MappingPlan(pairings, fields, pairs, notes, engine, scope)

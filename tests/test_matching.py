@@ -136,3 +136,22 @@ def test_candidates_are_not_shuffled_by_their_keys(spark):
     """A row has several blocking keys; where a scope is small, it is sent once."""
     plan = match.candidate_pairs(entity_pairing(spark), fields(spark), entities(spark), ["plan_id"])._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(plan_id" in plan and "explode(" not in plan
+
+
+def test_planning_names_stays_cheap_for_the_driver(spark):
+    """The first ``str_to_map`` of a session costs whoever calls it gigabytes, and the planner calls it on the driver where its text is fixed."""
+    candidates = match.candidate_pairs(entity_pairing(spark), fields(spark), entities(spark), ["plan_id"])
+    names = spark.createDataFrame([("orderId", "mail_x", "")], "a STRING, b STRING, none STRING").select(*map(N.tagged, ["a", "b", "none"]))
+    for table in (candidates, names):
+        assert "str_to_map" not in table._jdf.queryExecution().analyzed().toString()
+    assert [[tuple(w) for w in words] for words in names.first()] == [[("order", None), ("id", 0)], [("mail", 8), ("x", None)], []]
+
+
+def test_tables_of_a_plan_are_computed_once(spark):
+    """What the tables of a plan are made from is written once; a checkpoint computes it twice."""
+    rows = [(1, 0, "client_id", "customerId", 0.97, None)]
+    proposals = spark.createDataFrame(rows, "plan_id INT, ord INT, consumer_field STRING, provider_field STRING, confidence DOUBLE, reason STRING")
+    plan = build_plan(entity_pairing(spark), fields(spark), entities(spark), ["plan_id"], proposals, "fake")
+    for table in (plan.pairs, plan.notes):
+        assert "Scan ExistingRDD" not in table._jdf.queryExecution().executedPlan().toString()
+    assert plan.pairs.count() == 7 and plan.notes.count() == 0
