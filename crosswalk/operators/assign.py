@@ -14,13 +14,14 @@ FOLDED = 1024
 
 
 def assign_one_to_one(candidates: DataFrame, scope: list[str], left: str, right: str, order: list[Column],
-                      folded: int = FOLDED) -> DataFrame:
+                      folded: int = FOLDED, stored: bool = False) -> DataFrame:
     """Walk the candidates of each scope in the given order and keep those whose two ends are both still free.
 
     ``order`` has to be a total order within a scope. Scopes of at most ``folded`` candidates are sorted in one array and walked in
-    one expression; larger ones go in rounds over all rows (``_in_rounds``), so no array grows with its scope. Both keep the same."""
-    # read by the count and by the walk, so the rows are computed once up front
-    rows = written(candidates.withColumn("_rank", F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)])), "candidates")
+    one expression; larger ones go in rounds over all rows (``_in_rounds``), so no array grows with its scope. Both keep the same.
+    The candidates are read by the count and by the walk, so they are computed once up front, unless they are ``stored`` already."""
+    rows = candidates.withColumn("_rank", F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)]))
+    rows = rows if stored else written(rows, "candidates")
     large = rows.groupBy(*scope).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > folded).drop("_n")
     if large.isEmpty():
         return _folded(rows, scope, left, right, candidates.columns)

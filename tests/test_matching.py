@@ -155,3 +155,38 @@ def test_tables_of_a_plan_are_computed_once(spark):
     for table in (plan.pairs, plan.notes):
         assert "Scan ExistingRDD" not in table._jdf.queryExecution().executedPlan().toString()
     assert plan.pairs.count() == 7 and plan.notes.count() == 0
+
+
+def proposed_plan(spark, tally=None):
+    rows = [(1, 0, "client_id", "customerId", 0.97, None), (1, 1, "client_id", "orderId", 0.9, None), (1, 2, "city", "invented", None, "said so")]
+    proposals = spark.createDataFrame(rows, "plan_id INT, ord INT, consumer_field STRING, provider_field STRING, confidence DOUBLE, reason STRING")
+    if tally is not None:
+        proposals = proposals.withColumn("reason", F.udf(lambda text: tally.add(1) or text, "string")("reason"))
+    return build_plan(entity_pairing(spark), fields(spark), entities(spark), ["plan_id"], proposals, "fake")
+
+
+@pytest.mark.parametrize("wanted, most, rows", [
+    (lambda plan: plan.engines(), 44, [(1, "fake + heuristic")]),
+    (lambda plan: match.order_pairs(plan.pairs, ["plan_id"]).select("consumer_field"), 44, None),
+    (lambda plan: match.pair_types(plan.pairings, plan.fields, plan.pairs, ["plan_id"]).select("consumer_field"), 49, None),
+    (lambda plan: plan.pairs.select("consumer_field"), 42, None),
+    (lambda plan: plan.unmapped(), 46, []),
+    (lambda plan: plan.unused().select("plan_id", "name"), 46, [(1, "items")]),
+], ids=["engine_label", "order_pairs", "pair_types", "fill_gaps", "unmapped_consumer", "unused_provider"])
+def test_a_table_of_a_plan_takes_few_jobs(spark, wanted, most, rows):
+    """Each job leaves threads, generated classes and compiled code in the driver, so what a plan is made from is joined once."""
+    group = f"plan-{most}-{random.random()}"
+    spark.sparkContext.setJobGroup(group, group)
+    got = sorted(map(tuple, wanted(proposed_plan(spark)).collect()))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == (sorted((name,) for name in EXPECTED) if rows is None else rows)
+    assert 0 < jobs <= most
+
+
+def test_proposals_are_joined_to_the_catalogs_once(spark):
+    """The assignment and the verdict read the same rows."""
+    tally = spark.sparkContext.accumulator(0)
+    plan = proposed_plan(spark, tally)
+    assert sorted(r["note"].split(":")[0] for r in plan.notes.collect()) == ["rejected LLM pair with unknown field", "rejected duplicate LLM pair"]
+    assert tally.value == 3
