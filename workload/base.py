@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,35 +61,31 @@ FIELD_EXPRS = {
 def fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     # each customer becomes 26 fields: the two keys are spread first, the table may be one small file
     keys = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    customers = (keys.repartition(spark.sparkContext.defaultParallelism, "c_custkey")
-                 .withColumn("e", F.explode(F.sequence(F.lit(0), F.lit(1)))))
-    parts = []
-    for role, n in (("provider", P_FIELDS), ("consumer", C_FIELDS)):
-        rows = customers.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-        x = FIELD_EXPRS[role]
-        parts.append(rows.select(
-            F.expr(x["service"]).alias("service"), F.expr(x["entity"]).alias("entity"),
-            F.col("i").cast("bigint").alias("field_ord"), F.expr(x["name"]).alias("name"),
-            F.expr(x["json_name"]).alias("json_name"), F.expr(x["type"]).alias("type"),
-            F.expr(x["source_type"]).alias("source_type"), F.lit(False).alias("optional")))
-    return parts[0].unionByName(parts[1])
+    rows = (keys.repartition(spark.sparkContext.defaultParallelism, "c_custkey")
+            .withColumn("e", F.explode(F.sequence(F.lit(0), F.lit(1))))
+            .withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(P_FIELDS + C_FIELDS - 1))))
+            .withColumn("i", F.expr(f"IF(k < {P_FIELDS}, k, k - {P_FIELDS})")))
+
+    def of_role(name: str) -> Column:
+        """The provider's fields come first. One pass makes both, as each scan of the table costs the driver a broadcast."""
+        return F.expr(f"CASE WHEN k < {P_FIELDS} THEN {FIELD_EXPRS['provider'][name]} ELSE {FIELD_EXPRS['consumer'][name]} END").alias(name)
+
+    return rows.select(of_role("service"), of_role("entity"), F.col("i").cast("bigint").alias("field_ord"), of_role("name"),
+                       of_role("json_name"), of_role("type"), of_role("source_type"), F.lit(False).alias("optional"))
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers = table(spark, sf_dir, "customer")
-    pairs = customers.select("c_custkey", "c_nationkey", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("e"))
-    rows = None
-    for role in ("provider", "consumer"):
-        x = FIELD_EXPRS[role]
-        part = pairs.select(F.expr(x["service"]).alias("service"), F.col("e").cast("bigint").alias("entity_ord"),
-                            F.expr(x["entity"]).alias("entity"), F.lit("class").alias("kind"),
-                            F.array().cast("array<string>").alias("values"))
-        rows = part if rows is None else rows.unionByName(part)
-    enums = customers.filter(HAS_STATUS).select(
-        F.expr("concat('prov-', c_custkey)").alias("service"), F.lit(2).cast("bigint").alias("entity_ord"),
-        F.lit("OrderStatus").alias("entity"), F.lit("enum").alias("kind"),
-        F.array(*map(F.lit, ["PENDING", "PAID", "SHIPPED"])).alias("values"))
-    return rows.unionByName(enums).withColumns({"file": F.lit("model"), "line": F.lit(1)})
+    # number k of a service pair's entities: two of the provider, two of the consumer, the enum; one pass makes all
+    rows = (table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"))
+            .filter(f"k < 4 OR {HAS_STATUS}").withColumn("e", F.col("k") % 2))
+    provider, consumer = FIELD_EXPRS["provider"], FIELD_EXPRS["consumer"]
+    return rows.select(
+        F.expr(f"CASE WHEN k IN (2, 3) THEN {consumer['service']} ELSE {provider['service']} END").alias("service"),
+        F.expr("IF(k = 4, 2, e)").cast("bigint").alias("entity_ord"),
+        F.expr(f"CASE WHEN k < 2 THEN {provider['entity']} WHEN k < 4 THEN {consumer['entity']} ELSE 'OrderStatus' END").alias("entity"),
+        F.expr("IF(k = 4, 'enum', 'class')").alias("kind"),
+        F.expr("IF(k = 4, array('PENDING', 'PAID', 'SHIPPED'), cast(array() AS ARRAY<STRING>))").alias("values"),
+        F.lit("model").alias("file"), F.lit(1).alias("line"))
 
 
 def pairings(spark: SparkSession, sf_dir: str) -> DataFrame:
