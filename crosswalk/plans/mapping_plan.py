@@ -70,12 +70,14 @@ def build_plan(pairings: DataFrame, fields: DataFrame, entities: DataFrame, scop
                proposals: DataFrame | None = None, engine: str | None = None) -> MappingPlan:
     """Plan for every pairing. The heuristic assignment is computed for the whole entity first and fills what
     the accepted proposals leave open; it is not run again on the rest."""
-    candidates = match.candidate_pairs(pairings, fields, entities, scope)
-    heuristic = match.heuristic_pairs(candidates, scope).select(*scope, "c_ord", "p_ord", *PAIR_COLUMNS)
+    sides = match.field_sides(pairings, fields, entities, scope)
+    most = match.most_of_scope(scope, sides, pairings, proposals)
+    candidates = match.candidates_of(sides, scope, most=most.pairs)
+    heuristic = match.heuristic_pairs(candidates, scope, most.pairs).select(*scope, "c_ord", "p_ord", *PAIR_COLUMNS)
     if proposals is None:
         return MappingPlan(pairings, fields, heuristic, None, engine, scope)
-    validated = written(match.validate_proposals(proposals, pairings, fields, entities, scope), "validated")
+    validated = written(match.judge_proposals(proposals, pairings, sides, scope, most), "validated")
     accepted = match.accepted_pairs(validated, scope).select(*heuristic.columns)
     notes = validated.filter(F.col("note").isNotNull()).select(*scope, "ord", "note")
-    pairs = written(match.fill_gaps(accepted, heuristic, scope), "pairs")  # read by every table of the plan
+    pairs = written(match.fill_gaps(accepted, heuristic, scope, most), "pairs")  # read by every table of the plan
     return MappingPlan(pairings, fields, pairs, notes, engine, scope)

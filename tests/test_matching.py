@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -190,3 +191,62 @@ def test_proposals_are_joined_to_the_catalogs_once(spark):
     plan = proposed_plan(spark, tally)
     assert sorted(r["note"].split(":")[0] for r in plan.notes.collect()) == ["rejected LLM pair with unknown field", "rejected duplicate LLM pair"]
     assert tally.value == 3
+
+
+@pytest.mark.parametrize("wanted, most", [
+    (lambda plan: plan.pairs.select("plan_id", "consumer_field"), 24),
+], ids=["fill_gaps"])
+def test_tables_of_small_scopes_take_one_shuffle_by_scope(spark, wanted, most):
+    """Proposals, candidates and gaps of a scope meet in one place, and the leftovers read the fields that the plan has written."""
+    group = f"scopes-{most}-{random.random()}"
+    spark.sparkContext.setJobGroup(group, group)
+    wanted(proposed_plan(spark)).collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < jobs <= most
+
+
+def odd_plan(spark):
+    """Pairings that occur twice or are null, entities and fields that do too, and proposals of one ordinal that differ."""
+    rng = random.Random(11)
+    pairing = entity_pairing(spark)
+    other = pairing.selectExpr("2 AS plan_id", "provider_service", "'OrderItem' AS provider_entity", "consumer_service", "'Invoice' AS consumer_entity")
+    pairings = pairing.unionByName(pairing).unionByName(other).unionByName(pairing.selectExpr("cast(NULL AS INT) AS plan_id", *pairing.columns[1:]))
+    flds = fields(spark).unionByName(fields(spark).filter("name IN ('orderId', 'city')")).unionByName(
+        fields(spark).filter("name = 'status'").withColumns({"name": F.lit(None).cast("string"), "field_ord": F.lit(90).cast("bigint")})).unionByName(
+        fields(spark).filter("name = 'currency'").withColumn("type", F.lit("boolean")))
+    left = ["client_id", "order_ref", "city", "currency", "status", "sku", "invented", None]
+    right = ["customerId", "orderId", "shippingCity", "currencyCode", "quantity", "invented", None]
+    rows = [(rng.choice([1, 2, 3, None]), rng.choice([0, 1, 2, 3, 4, None]), rng.choice(left), rng.choice(right), rng.choice([0.5, 0.75, None]), None) for _ in range(80)]
+    proposals = spark.createDataFrame(rows, "plan_id INT, ord INT, consumer_field STRING, provider_field STRING, confidence DOUBLE, reason STRING")
+    return pairings, flds, entities(spark), proposals
+
+
+def test_small_and_large_scopes_make_the_same_plan(spark):
+    scope, (pairings, flds, ents, proposals) = ["plan_id"], odd_plan(spark)
+    sides = match.field_sides(pairings, flds, ents, scope)
+    most = match.most_of_scope(scope, sides, pairings, proposals)
+    of_scope = Counter(r["plan_id"] for r in proposals.collect())
+    assert most.folds() and most.proposals == max(2 * of_scope[1], of_scope[2]) and not match.Most().folds()
+
+    def rows(df):
+        return sorted(map(repr, df.select(*sorted(df.columns)).collect()))
+    small, large = (match.judge_proposals(proposals, pairings, sides, scope, m) for m in (most, match.Most()))
+    assert rows(small) == rows(large) and {r["outcome"] for r in small.collect()} == {"accepted", "unknown", "duplicate", "type_clash"}
+    candidates = match.candidates_of(sides, scope, most=most.pairs)
+    assert rows(candidates) == rows(match.candidates_of(sides, scope))
+    walked = match.heuristic_pairs(candidates, scope, most.pairs)
+    assert rows(walked) == rows(match.heuristic_pairs(candidates, scope)) and walked.count() > 5
+    accepted = match.accepted_pairs(small, scope)
+    assert rows(match.fill_gaps(accepted, walked, scope, most)) == rows(match.fill_gaps(accepted, walked, scope))
+
+
+def test_a_scope_that_no_array_holds_takes_the_larger_path(spark):
+    """The same plan where a scope has more than 1,024 proposals."""
+    rows = [(1, i, "client_id" if i % 2 else "city", f"invented{i}" if i != 1200 else "customerId", 0.9, None) for i in range(1300)] + [
+        (1, 1301, "client_id", "customerId", 0.9, None)]
+    proposals = spark.createDataFrame(rows, "plan_id INT, ord INT, consumer_field STRING, provider_field STRING, confidence DOUBLE, reason STRING")
+    plan = build_plan(entity_pairing(spark), fields(spark), entities(spark), ["plan_id"], proposals, "fake")
+    assert {r["consumer_field"]: r["source"] for r in plan.pairs.collect()} == {
+        c: "llm" if c == "client_id" else "heuristic" for c in EXPECTED}
+    assert plan.notes.count() == 1300
