@@ -346,8 +346,12 @@ def fill_gaps(pairs: DataFrame, heuristic: DataFrame, scope: list[str], most: Mo
     return pairs.unionByName(free.select(*pairs.columns))
 
 
-def side_fields(pairings: DataFrame, fields: DataFrame, scope: list[str], role: str) -> DataFrame:
-    """Fields of the provider or consumer entity of each pairing: scope columns, ``ord``, ``name``."""
+def side_fields(pairings: DataFrame, fields: DataFrame, scope: list[str], role: str, sides: DataFrame | None = None) -> DataFrame:
+    """Fields of the provider or consumer entity of each pairing: scope columns, ``ord``, ``name``. Read from the ``field_sides`` of
+    the pairings where these are written already."""
+    if sides is not None:
+        kept = [c for c in ("ord", "name", "type", "source_type") if c in sides.columns]
+        return _side(sides, scope, role, **{c: c for c in kept})
     keyed = fields.select(F.col("service").alias(f"{role}_service"), F.col("entity").alias(f"{role}_entity"),
                           F.col("field_ord").alias("ord"), "name", "type", "source_type")
     return pairings.select(*scope, f"{role}_service", f"{role}_entity").join(
@@ -372,12 +376,12 @@ def order_pairs(pairs: DataFrame, scope: list[str]) -> DataFrame:
     return pairs.orderBy(*scope, "c_ord")
 
 
-def pair_types(pairings: DataFrame, fields: DataFrame, pairs: DataFrame, scope: list[str]) -> DataFrame:
+def pair_types(pairings: DataFrame, fields: DataFrame, pairs: DataFrame, scope: list[str], sides: DataFrame | None = None) -> DataFrame:
     """Pairs with the type both fields have in their source, or the canonical type where there is none."""
     shown = F.coalesce(F.nullif(F.col("source_type"), F.lit("")), F.col("type"))
 
     def typed(role: str) -> DataFrame:
-        rows = side_fields(pairings, fields, scope, role).withColumn("shown", shown)
+        rows = side_fields(pairings, fields, scope, role, sides).withColumn("shown", shown)
         last = rows.groupBy(*scope, "name").agg(F.max_by("shown", "ord").alias(f"{role}_type"))
         return last.withColumnRenamed("name", f"{role}_field")
 

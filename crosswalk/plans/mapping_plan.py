@@ -25,6 +25,7 @@ class MappingPlan:
     notes: DataFrame | None
     engine: str | None
     scope: list[str]
+    sides: DataFrame | None = None
 
     def unmapped(self) -> DataFrame:
         return match.unmapped_consumer(self.pairings, self.fields, self.pairs, self.scope)
@@ -32,6 +33,9 @@ class MappingPlan:
     def unused(self) -> DataFrame:
         return match.unused_provider(self.pairings, self.fields, self.pairs, self.scope)
 
+    def types(self) -> DataFrame:
+        return match.pair_types(self.pairings, self.fields, self.pairs, self.scope, self.sides)
+
     def coverage(self) -> DataFrame:
         return match.coverage(self.pairings, self.fields, self.pairs, self.scope)
 
@@ -75,9 +79,9 @@ def build_plan(pairings: DataFrame, fields: DataFrame, entities: DataFrame, scop
     candidates = match.candidates_of(sides, scope, most=most.pairs)
     heuristic = match.heuristic_pairs(candidates, scope, most.pairs).select(*scope, "c_ord", "p_ord", *PAIR_COLUMNS)
     if proposals is None:
-        return MappingPlan(pairings, fields, heuristic, None, engine, scope)
+        return MappingPlan(pairings, fields, heuristic, None, engine, scope, sides)
     validated = written(match.judge_proposals(proposals, pairings, sides, scope, most), "validated")
     accepted = match.accepted_pairs(validated, scope).select(*heuristic.columns)
     notes = validated.filter(F.col("note").isNotNull()).select(*scope, "ord", "note")
     pairs = written(match.fill_gaps(accepted, heuristic, scope, most), "pairs")  # read by every table of the plan
-    return MappingPlan(pairings, fields, pairs, notes, engine, scope)
+    return MappingPlan(pairings, fields, pairs, notes, engine, scope, sides)

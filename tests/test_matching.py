@@ -194,8 +194,9 @@ def test_proposals_are_joined_to_the_catalogs_once(spark):
 
 
 @pytest.mark.parametrize("wanted, most", [
+    (lambda plan: plan.types().select("plan_id", "consumer_field"), 30),
     (lambda plan: plan.pairs.select("plan_id", "consumer_field"), 24),
-], ids=["fill_gaps"])
+], ids=["pair_types", "fill_gaps"])
 def test_tables_of_small_scopes_take_one_shuffle_by_scope(spark, wanted, most):
     """Proposals, candidates and gaps of a scope meet in one place, and the leftovers read the fields that the plan has written."""
     group = f"scopes-{most}-{random.random()}"
@@ -239,6 +240,9 @@ def test_small_and_large_scopes_make_the_same_plan(spark):
     assert rows(walked) == rows(match.heuristic_pairs(candidates, scope)) and walked.count() > 5
     accepted = match.accepted_pairs(small, scope)
     assert rows(match.fill_gaps(accepted, walked, scope, most)) == rows(match.fill_gaps(accepted, walked, scope))
+    pairs = match.fill_gaps(accepted, walked, scope, most).filter("c_ord < 4")
+    for table in (match.pair_types,):
+        assert rows(table(pairings, flds, pairs, scope, sides)) == rows(table(pairings, flds, pairs, scope))
 
 
 def test_a_scope_that_no_array_holds_takes_the_larger_path(spark):

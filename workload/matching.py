@@ -173,8 +173,7 @@ def unused_provider(spark, sf):
 coalesce(nullif(c.source_type, ''), c.type) AS consumer_type, coalesce(nullif(v.source_type, ''), v.type) AS provider_type FROM pairs p
 LEFT JOIN cf c ON c.plan_id = p.plan_id AND c.name = p.consumer_field LEFT JOIN pf v ON v.plan_id = p.plan_id AND v.name = p.provider_field""")
 def pair_types(spark, sf):
-    plan = _plan(spark, sf)
-    return match.pair_types(plan.pairings, plan.fields, plan.pairs, SCOPE).select("plan_id", *PAIR, "consumer_type", "provider_type")
+    return _plan(spark, sf).types().select("plan_id", *PAIR, "consumer_type", "provider_type")
 
 
 @query("coverage", f"WITH RECURSIVE {_PLAN_SQL} SELECT plan_id, mapped, unmapped, coverage FROM cov")
