@@ -358,10 +358,11 @@ def side_fields(pairings: DataFrame, fields: DataFrame, scope: list[str], role:
         unbounded(keyed), [f"{role}_service", f"{role}_entity"])
 
 
-def unmapped_consumer(pairings: DataFrame, fields: DataFrame, pairs: DataFrame, scope: list[str]) -> DataFrame:
+def unmapped_consumer(pairings: DataFrame, fields: DataFrame, pairs: DataFrame, scope: list[str],
+                      sides: DataFrame | None = None) -> DataFrame:
     """Consumer fields in no pair."""
     mapped = pairs.select(*scope, F.col("consumer_field").alias("name"))
-    return side_fields(pairings, fields, scope, "consumer").join(unbounded(mapped), [*scope, "name"], "left_anti").select(
+    return side_fields(pairings, fields, scope, "consumer", sides).join(unbounded(mapped), [*scope, "name"], "left_anti").select(
         *scope, "ord", "name")
 
 
@@ -389,10 +390,10 @@ def pair_types(pairings: DataFrame, fields: DataFrame, pairs: DataFrame, scope:
             .join(unbounded(typed("provider")), [*scope, "provider_field"], "left"))
 
 
-def coverage(pairings: DataFrame, fields: DataFrame, pairs: DataFrame, scope: list[str]) -> DataFrame:
+def coverage(pairings: DataFrame, fields: DataFrame, pairs: DataFrame, scope: list[str], sides: DataFrame | None = None) -> DataFrame:
     """Share of mapped consumer fields per pairing, 0.0 where there are none."""
     mapped = pairs.groupBy(*scope).agg(F.count(F.lit(1)).alias("mapped"))
-    missing = unmapped_consumer(pairings, fields, pairs, scope).groupBy(*scope).agg(F.count(F.lit(1)).alias("unmapped"))
+    missing = unmapped_consumer(pairings, fields, pairs, scope, sides).groupBy(*scope).agg(F.count(F.lit(1)).alias("unmapped"))
     n, m = F.coalesce("mapped", F.lit(0)), F.coalesce("unmapped", F.lit(0))
     share = F.coalesce(F.try_divide(n.cast("double"), n + m), F.lit(0.0))
     return (pairings.select(*scope).join(unbounded(mapped), scope, "left").join(unbounded(missing), scope, "left")

@@ -28,7 +28,7 @@ class MappingPlan:
     sides: DataFrame | None = None
 
     def unmapped(self) -> DataFrame:
-        return match.unmapped_consumer(self.pairings, self.fields, self.pairs, self.scope)
+        return match.unmapped_consumer(self.pairings, self.fields, self.pairs, self.scope, self.sides)
 
     def unused(self) -> DataFrame:
         return match.unused_provider(self.pairings, self.fields, self.pairs, self.scope)
@@ -37,7 +37,7 @@ class MappingPlan:
         return match.pair_types(self.pairings, self.fields, self.pairs, self.scope, self.sides)
 
     def coverage(self) -> DataFrame:
-        return match.coverage(self.pairings, self.fields, self.pairs, self.scope)
+        return match.coverage(self.pairings, self.fields, self.pairs, self.scope, self.sides)
 
     def engines(self) -> DataFrame:
         """``engine`` label per pairing."""
