@@ -366,10 +366,11 @@ def unmapped_consumer(pairings: DataFrame, fields: DataFrame, pairs: DataFrame,
         *scope, "ord", "name")
 
 
-def unused_provider(pairings: DataFrame, fields: DataFrame, pairs: DataFrame, scope: list[str]) -> DataFrame:
+def unused_provider(pairings: DataFrame, fields: DataFrame, pairs: DataFrame, scope: list[str],
+                    sides: DataFrame | None = None) -> DataFrame:
     """Provider fields in no pair."""
     mapped = pairs.select(*scope, F.col("provider_field").alias("name"))
-    return side_fields(pairings, fields, scope, "provider").join(unbounded(mapped), [*scope, "name"], "left_anti").select(
+    return side_fields(pairings, fields, scope, "provider", sides).join(unbounded(mapped), [*scope, "name"], "left_anti").select(
         *scope, "ord", "name")
 
 

@@ -31,7 +31,7 @@ class MappingPlan:
         return match.unmapped_consumer(self.pairings, self.fields, self.pairs, self.scope, self.sides)
 
     def unused(self) -> DataFrame:
-        return match.unused_provider(self.pairings, self.fields, self.pairs, self.scope)
+        return match.unused_provider(self.pairings, self.fields, self.pairs, self.scope, self.sides)
 
     def types(self) -> DataFrame:
         return match.pair_types(self.pairings, self.fields, self.pairs, self.scope, self.sides)

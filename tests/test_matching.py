@@ -197,7 +197,8 @@ def test_proposals_are_joined_to_the_catalogs_once(spark):
     (lambda plan: plan.types().select("plan_id", "consumer_field"), 30),
     (lambda plan: plan.pairs.select("plan_id", "consumer_field"), 24),
     (lambda plan: plan.unmapped(), 28),
-], ids=["pair_types", "fill_gaps", "unmapped_consumer"])
+    (lambda plan: plan.unused(), 28),
+], ids=["pair_types", "fill_gaps", "unmapped_consumer", "unused_provider"])
 def test_tables_of_small_scopes_take_one_shuffle_by_scope(spark, wanted, most):
     """Proposals, candidates and gaps of a scope meet in one place, and the leftovers read the fields that the plan has written."""
     group = f"scopes-{most}-{random.random()}"
@@ -242,7 +243,7 @@ def test_small_and_large_scopes_make_the_same_plan(spark):
     accepted = match.accepted_pairs(small, scope)
     assert rows(match.fill_gaps(accepted, walked, scope, most)) == rows(match.fill_gaps(accepted, walked, scope))
     pairs = match.fill_gaps(accepted, walked, scope, most).filter("c_ord < 4")
-    for table in (match.unmapped_consumer, match.pair_types, match.coverage):
+    for table in (match.unmapped_consumer, match.unused_provider, match.pair_types, match.coverage):
         assert rows(table(pairings, flds, pairs, scope, sides)) == rows(table(pairings, flds, pairs, scope))
 
 
