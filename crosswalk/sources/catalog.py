@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from crosswalk import model
 from crosswalk.functions.types import canonical_spark
 from crosswalk.operators.skew import unbounded
+from crosswalk.session import new_folder, written
 
 # Ports used where a service does not state one.
 DEFAULT_PORTS = {"java": 8080, "python": 8000}
@@ -18,6 +26,10 @@ DEFAULT_PORTS = {"java": 8080, "python": 8000}
 LANGUAGE_MARKS = [("java", ["pom.xml", "build.gradle"], ".java"),
                   ("python", ["pyproject.toml", "requirements.txt"], ".py")]
 
+# Lists are folded in pieces of at most 16 items before they are put together; so many pieces make a range of services.
+PIECE_BITS = 4
+ROWS_PER_RANGE = 10_000
+
 
 @dataclass
 class Catalog:
@@ -56,26 +68,119 @@ def read_catalog_json(spark: SparkSession, path: str, one_per_file: bool = False
 
 
 def catalog_documents(catalog: Catalog) -> DataFrame:
-    """The five tables folded back to one nested row per service. A list is as long as its owner declares it."""
-    def folded(rows: DataFrame, keys: list[str], order: str, item: list, name: str) -> DataFrame:
+    """The five tables folded back to one nested row per service. A list is as long as its owner declares it.
+
+    A document is as large as its service, so it is a row only for who asks for all of it. Pieces of lists are dealt out by ranges of
+    services (one with more than ``ROWS_PER_RANGE`` pieces shares its range with small ones only), sorted there and put together one
+    service after another, as columns of a table, from which a later reader gets the columns that it needs. No document is shuffled,
+    sorted or joined."""
+    def folded(rows: DataFrame, keys: list, order: str, item: list, name: str) -> DataFrame:
         pair = F.struct(F.col(order).alias("_o"), F.struct(*item).alias("v"))
         return rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(pair)), lambda x: x["v"]).alias(name))
 
+    def pieces(rows: DataFrame, order: str, item: list, name: str) -> DataFrame:
+        piece = F.shiftright(F.col(order).cast("bigint"), PIECE_BITS).alias("piece")
+        return folded(rows.filter(F.col("service").isNotNull()), ["service", piece], order, item, name)  # no service is found by null
+
     empty = F.array()
     fields = folded(catalog.fields, ["service", "entity"], "field_ord",
                     ["name", "json_name", "type", "source_type", "optional"], "fields")
     ents = catalog.entities.join(unbounded(fields), ["service", "entity"], "left")
-    ents = folded(ents, ["service"], "entity_ord",
+    ents = pieces(ents, "entity_ord",
                   [F.col("entity").alias("name"), F.coalesce("fields", empty).alias("fields"), "file", "line", "kind",
                    "values"], "entities")
     params = folded(catalog.params, ["service", "ep_ord"], "param_ord", ["name", "location", "type"], "params")
     eps = catalog.endpoints.join(unbounded(params), ["service", "ep_ord"], "left")
-    eps = folded(eps, ["service"], "ep_ord",
+    eps = pieces(eps, "ep_ord",
                  ["method", "path", "handler", "returns", F.coalesce("params", empty).alias("params"), "file", "line"],
                  "endpoints")
-    return (catalog.services.join(unbounded(ents), "service", "left").join(unbounded(eps), "service", "left")
-            .select(F.col("service").alias("name"), "language", "framework", "root", "port",
-                    F.coalesce("entities", empty).alias("entities"), F.coalesce("endpoints", empty).alias("endpoints")))
+    heads = catalog.services.select("service", F.struct(F.col("service").alias("name"), "language", "framework", "root", "port").alias("head"))
+    rows = written(reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True),
+                          [part.withColumn("list", F.lit(k)) for k, part in enumerate((heads, ents, eps))]), "pieces")
+    spark = rows.sparkSession
+    ranges = max(spark.sparkContext.defaultParallelism, rows.count() // ROWS_PER_RANGE + 1)
+    dealt = rows.repartitionByRange(ranges, "service").sortWithinPartitions("service", "list", "piece")
+    schema = T.StructType([*rows.schema["head"].dataType, rows.schema["entities"], rows.schema["endpoints"]])
+    folder = new_folder(spark, "documents")
+    # Spark has no writer of ready files but that of text; its ends of lines are the four bytes that a Parquet file ends with
+    (dealt.select("service", "head", "entities", "endpoints").mapInArrow(_document_file(schema), "file BINARY").select(F.col("file").cast("string"))
+     .write.option("compression", "none").option("lineSep", "PAR1").text(folder))
+    return spark.read.schema(schema).parquet(folder)
+
+
+def _document_file(schema: T.StructType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function from heads and pieces, sorted by service, to a Parquet file without its last four bytes: a row for each head, with
+    the lists of its service. It holds one service, or those of one batch, as Arrow columns, and the file, as the rows are not."""
+    form = pa.schema([pa.field(f.name, f.type) for f in to_arrow_schema(schema)])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[pa.Array]] = [[], [], []]  # heads, entities and endpoints of services not yet in the file
+        sizes: list[np.ndarray] = []  # of each of them, by service
+        last, file, writer = None, pa.BufferOutputStream(), None
+
+        def starts(rows: pa.RecordBatch) -> np.ndarray:
+            return np.concatenate([[0], pc.run_end_encode(rows.column("service")).run_ends.to_numpy()[:-1]])
+
+        def hold(rows: pa.RecordBatch, goes_on: bool) -> None:
+            heads, *lists = (rows.column(k) for k in (1, 2, 3))
+            counts = [pc.cast(heads.is_valid(), "int64"), *[pc.cast(pc.fill_null(pc.list_value_length(x), 0), "int64") for x in lists]]
+            by_service = np.stack([np.add.reduceat(n.to_numpy(zero_copy_only=False), starts(rows)) for n in counts], axis=1)
+            if goes_on:
+                sizes[-1] = sizes[-1] + by_service[0]
+            sizes.extend(by_service[goes_on:])
+            for part, found in zip(held, (heads.drop_null(), *[x.flatten() for x in lists])):
+                if len(found):
+                    part.append(found)
+                else:
+                    joined(part)
+
+        def joined(part: list[pa.Array]) -> None:
+            if len(part) > 1:
+                part[:] = [pa.concat_arrays(part)]
+                pa.default_memory_pool().release_unused()
+
+        def documents() -> pa.RecordBatch | None:
+            n, columns = np.array(sizes), []
+            sizes.clear()
+            for k in (1, 2):
+                joined(held[k])
+                kind = form.types[k - 3]
+                items = held[k].pop() if held[k] else pa.array([], kind.value_type)
+                columns.append(pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n[:, k])]).astype("int32"), items, type=kind))
+            if (n[:, 0] != 1).any():  # services with several heads, and pieces of services without one
+                of = pa.array(np.repeat(np.arange(len(n)), n[:, 0]))
+                columns = [x.take(of) for x in columns]
+            joined(held[0])
+            return pa.RecordBatch.from_arrays([*held[0].pop().flatten(), *columns], schema=form) if held[0] else None
+
+        def put() -> None:
+            nonlocal writer
+            found = documents()
+            if found is not None:
+                # a row may go on over many pages of the first version; those of the second end with a row
+                writer = writer or pq.ParquetWriter(file, form, data_page_version="1.0", write_statistics=False, store_schema=False)
+                writer.write_batch(found)
+                del found
+                pa.default_memory_pool().release_unused()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cut, goes_on = int(starts(batch)[-1]), bool(sizes) and batch.column("service")[0].as_py() == last
+            if cut:
+                hold(batch.slice(0, cut), goes_on)
+            if sizes and (cut or not goes_on):
+                put()
+                goes_on = False
+            last = batch.column("service")[cut].as_py()
+            hold(batch.slice(cut), goes_on)
+        if sizes:
+            put()
+        if writer:
+            writer.close()
+            yield pa.RecordBatch.from_arrays([pa.array([file.getvalue().to_pybytes()[:-4]], pa.binary())], ["file"])
+
+    return read
 
 
 def write_catalog_json(catalog: Catalog, path: str) -> None:

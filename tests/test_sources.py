@@ -179,3 +179,48 @@ def test_sample_levels_send_only_references(spark):
     assert sample.count('"kind": "ON"') == 2 and sample.count('"next": [{') == 1 and sample.count('"next": [null]') == 1
     plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert any("Filter" in line and "ref_kind" in line for line in plan)
+
+
+def test_documents_are_never_rows_on_their_way(spark):
+    """They are put together as columns of a table: nothing sorts, joins, shuffles or aggregates them, and a reader of one list gets that one."""
+    services = spark.createDataFrame([("s", "java", "f", "r", 1)], model.SERVICES_DDL)
+    ents = spark.createDataFrame([("s", 0, "A", "class", "f", 1, [])], model.ENTITIES_DDL)
+    eps = spark.createDataFrame([("s", 0, "GET", "/", "h", None, "f", 1)], model.ENDPOINTS_DDL)
+    found = cat.catalog_documents(cat.Catalog(services, ents, spark.createDataFrame([], model.FIELDS_DDL), eps, spark.createDataFrame([], model.PARAMS_DDL)))
+    plan = found.select("name", F.posexplode("entities"))._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in plan for word in ("Exchange", "Join", "Sort", "Aggregate", "MapInArrow")) and "endpoints" not in plan
+    assert found.dtypes[:5] == [("name", "string"), ("language", "string"), ("framework", "string"), ("root", "string"), ("port", "int")]
+
+
+def test_documents_of_odd_services(spark, monkeypatch):
+    """Services that come twice, have no name or no lists, lists without a service, ordinals that repeat, are missing or leave gaps."""
+    monkeypatch.setattr(cat, "ROWS_PER_RANGE", 2)
+    heads = [("a", "java", "f", "r", 1), ("a", "java", "f", "r2", 2), ("b", "python", None, "r", None), (None, "java", "f", "r", 3), ("c", "java", "f", "r", 4), ("c", "java", "f", "r", 4)]
+    ents = [(s, o, n, "class", "f", 1, v) for s, o, n, v in (("a", 70, "Z", []), ("a", 2, "M", ["x"]), ("a", 2, "B", []), ("a", 1 << 40, "Far", None), ("a", -3, "Less", []), ("a", None, "None", []),
+                                                              ("gone", 0, "G", []), (None, 0, "N", []), ("c", 0, "C", []))]
+    fields = [("a", "M", 1, "y", "y", "string", "t", True), ("a", "M", 0, "x", "x", "string", "t", False), (None, "N", 0, "n", "n", "string", "t", False), ("gone", "G", 0, "g", "g", "string", "t", False)]
+    eps = [(s, o, "GET", p, "h", None, "f", 1) for s, o, p in (("a", 1, "/1"), ("a", 0, "/0"), ("b", 0, "/b"), ("gone", 0, "/g"), (None, 0, "/n"))]
+    params = [("a", 1, 1, "q", "query", "string"), ("a", 1, 0, "p", "path", "string"), (None, 0, 0, "n", "path", "string")]
+    catalog = cat.Catalog(*(spark.createDataFrame(rows, ddl) for rows, ddl in ((heads, model.SERVICES_DDL), (ents, model.ENTITIES_DDL), (fields, model.FIELDS_DDL), (eps, model.ENDPOINTS_DDL), (params, model.PARAMS_DDL))))
+    found = [r.asDict(recursive=True) for r in cat.catalog_documents(catalog).collect()]
+    assert sorted((r["name"] or "", r["root"], r["port"] or 0) for r in found) == [("", "r", 3), ("a", "r", 1), ("a", "r2", 2), ("b", "r", 0), ("c", "r", 4), ("c", "r", 4)]
+    lists = {r["name"]: ([(e["name"], [f["name"] for f in e["fields"]], e["values"]) for e in r["entities"]], [(e["path"], [p["name"] for p in e["params"]]) for e in r["endpoints"]]) for r in found}
+    assert lists["a"] == ([("None", [], []), ("Less", [], []), ("B", [], []), ("M", ["x", "y"], ["x"]), ("Z", [], []), ("Far", [], None)], [("/0", []), ("/1", ["p", "q"])])
+    assert (lists["b"], lists["c"], lists[None]) == (([], [("/b", [])]), ([("C", [], [])], []), ([], []))
+
+
+def test_document_of_a_service_that_goes_on_over_batches_and_pages(spark):
+    n, long = 200_000, "x" * 40
+    services = spark.createDataFrame([("s", "java", "f", "r", 1), ("t", "java", "f", "r", 1)], model.SERVICES_DDL)
+    ents = spark.range(n).select(F.lit("s").alias("service"), F.col("id").alias("entity_ord"), F.concat(F.lit(long), "id").alias("entity"), F.lit("class").alias("kind"), F.lit("f").alias("file"),
+                                 F.lit(1).alias("line"), F.array().cast("array<string>").alias("values"))
+    fields = ents.select("service", "entity", F.lit(0).cast("bigint").alias("field_ord"), F.concat(F.lit("f"), "entity_ord").alias("name"), F.lit("j").alias("json_name"), F.lit("string").alias("type"),
+                         F.lit("t").alias("source_type"), F.lit(False).alias("optional")).filter("name NOT LIKE '%7'")
+    eps = spark.createDataFrame([("s", 0, "GET", "/", "h", None, "f", 1), ("t", 0, "GET", "/t", "h", None, "f", 1)], model.ENDPOINTS_DDL)
+    found = cat.catalog_documents(cat.Catalog(services, ents, fields, eps, spark.createDataFrame([], model.PARAMS_DDL)))
+    rows = found.select("name", F.posexplode("entities").alias("ord", "e"))
+    assert rows.count() == n
+    wrong = rows.filter((F.col("e.name") != F.concat(F.lit(long), "ord")) | (F.size("e.fields") != F.when(F.col("ord") % 10 == 7, 0).otherwise(1))
+                        | (F.get("e.fields.name", F.lit(0)) != F.concat(F.lit("f"), "ord")))
+    assert wrong.count() == 0
+    assert sorted((r.name, r.n, r.p) for r in found.select("name", F.size("entities").alias("n"), F.col("endpoints.path").alias("p")).collect()) == [("s", n, ["/"]), ("t", 0, ["/t"])]
