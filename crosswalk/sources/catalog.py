@@ -26,7 +26,7 @@ DEFAULT_PORTS = {"java": 8080, "python": 8000}
 LANGUAGE_MARKS = [("java", ["pom.xml", "build.gradle"], ".java"),
                   ("python", ["pyproject.toml", "requirements.txt"], ".py")]
 
-# Lists are folded in pieces of at most 16 items before they are put together; so many pieces make a range of services.
+# Lists are folded by so many bits of their ordinals before they are put together; about so many pieces make a range of services.
 PIECE_BITS = 4
 ROWS_PER_RANGE = 10_000
 
@@ -71,9 +71,8 @@ def catalog_documents(catalog: Catalog) -> DataFrame:
     """The five tables folded back to one nested row per service. A list is as long as its owner declares it.
 
     A document is as large as its service, so it is a row only for who asks for all of it. Pieces of lists are dealt out by ranges of
-    services (one with more than ``ROWS_PER_RANGE`` pieces shares its range with small ones only), sorted there and put together one
-    service after another, as columns of a table, from which a later reader gets the columns that it needs. No document is shuffled,
-    sorted or joined."""
+    services, sorted there and put together one service after another, as columns of a table, from which a later reader gets the lists
+    that it asks for. No document is shuffled, sorted or joined."""
     def folded(rows: DataFrame, keys: list, order: str, item: list, name: str) -> DataFrame:
         pair = F.struct(F.col(order).alias("_o"), F.struct(*item).alias("v"))
         return rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(pair)), lambda x: x["v"]).alias(name))
@@ -110,7 +109,7 @@ def catalog_documents(catalog: Catalog) -> DataFrame:
 
 def _document_file(schema: T.StructType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A function from heads and pieces, sorted by service, to a Parquet file without its last four bytes: a row for each head, with
-    the lists of its service. It holds one service, or those of one batch, as Arrow columns, and the file, as the rows are not."""
+    the lists of its service. It holds one service, or those of one batch, as Arrow columns, and the file."""
     form = pa.schema([pa.field(f.name, f.type) for f in to_arrow_schema(schema)])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
